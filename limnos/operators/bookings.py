@@ -43,18 +43,15 @@ def active(bookings: DataFrame) -> DataFrame:
     return live(bookings).filter(F.col("status") == BOOKED)
 
 
-def _counts(stays: DataFrame, asked: DataFrame, hot: int) -> DataFrame:
+def _counts(stays: DataFrame, asked: DataFrame | None, hot: int) -> DataFrame:
     """Per room and time of interest: how many stays started by then, and how many ended before then."""
 
     def events(df: DataFrame, at: str, starts: int, ends: int) -> DataFrame:
         return df.select("room_id", F.col(at).alias("at"), F.lit(starts).alias("starts"), F.lit(ends).alias("ends"))
 
-    points = (
-        events(stays, "check_in", 1, 0)
-        .unionByName(events(stays, "check_out", 0, 1))
-        .unionByName(events(asked, "check_in", 0, 0))
-        .unionByName(events(asked, "check_out", 0, 0))
-    )
+    points = events(stays, "check_in", 1, 0).unionByName(events(stays, "check_out", 0, 1))
+    if asked is not None:
+        points = points.unionByName(events(asked, "check_in", 0, 0)).unionByName(events(asked, "check_out", 0, 0))
     sums = running_sums(points, ["room_id"], "at", ["starts", "ends"], hot=hot)
     return sums.select(
         "room_id",
@@ -71,7 +68,9 @@ def overlaps(asked: DataFrame, stays: DataFrame, hot: int = HOT) -> DataFrame:
     room with very many stays costs no more per row than any other. ``asked`` may be ``stays``
     itself; a valid stay then counts itself once. Every stay must start no later than it ends.
     """
-    counts = _counts(stays.filter(F.col("check_in") <= F.col("check_out")), asked, hot)
+    counts = _counts(
+        stays.filter(F.col("check_in") <= F.col("check_out")), None if asked is stays else asked, hot
+    )
     at_end = counts.select("room_id", F.col("at").alias("check_out"), "started")
     at_start = counts.select("room_id", F.col("at").alias("check_in"), "ended_before")
     found = asked.join(at_end, ["room_id", "check_out"], "left").join(at_start, ["room_id", "check_in"], "left")
@@ -121,7 +120,7 @@ def clusters(stays: DataFrame, hot: int = HOT) -> DataFrame:
 
     A cluster starts where every stay that started earlier has ended.
     """
-    counts = _counts(stays, stays.limit(0), hot)
+    counts = _counts(stays, None, hot)
     starts = stays.groupBy("room_id", F.col("check_in").alias("at")).agg(F.count("*").alias("own"))
     flagged = starts.join(counts, ["room_id", "at"]).withColumn(
         "first", (F.col("started") - F.col("own") == F.col("ended_before")).cast("int")
@@ -167,8 +166,9 @@ def admit(
         active(bookings).select("room_id", "check_in", "check_out"),
         hot,
     )
+    checked = settle(checked, "checked")
     taken = checked.filter(F.col("n_overlaps") > 0).select("id", F.lit(TAKEN).alias("outcome"))
-    pending = clusters(checked.filter(F.col("n_overlaps") == 0).drop("n_overlaps"), hot)
+    pending = settle(clusters(checked.filter(F.col("n_overlaps") == 0).drop("n_overlaps"), hot), "pending")
     id_type = asked.schema["id"].dataType.simpleString()
     outcomes = [invalid, taken]
 
