@@ -6,14 +6,15 @@ Stays are closed intervals: a stay that ends when another one starts overlaps it
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.operators.joins import live
-from limnos.operators.ordered import largest_group, mark_first, running_sums
+from limnos.operators.ordered import largest_group, mark_first, running_sums, sort_columns
 from limnos.operators.paging import page
 from limnos.session import HOT, settle
 
@@ -131,20 +132,35 @@ def clusters(stays: DataFrame, hot: int = HOT) -> DataFrame:
     return stays.join(numbered, ["room_id", "check_in"])
 
 
-def _admit_cluster(requests: pd.DataFrame) -> pd.DataFrame:
-    """First come, first served inside one cluster: the accepted stays are kept sorted and disjoint."""
-    requests = requests.sort_values("seq", kind="stable")
-    starts: list = []
-    ends: list = []
-    verdicts = []
-    for start, end in zip(requests["check_in"], requests["check_out"]):
-        i = bisect_left(ends, start)
-        free = i == len(starts) or starts[i] > end
-        if free:
-            starts.insert(i, start)
-            ends.insert(i, end)
-        verdicts.append(ACCEPTED if free else TAKEN_IN_BATCH)
-    return pd.DataFrame({"id": requests["id"].to_numpy(), "outcome": verdicts})
+def _first_come(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """First come, first served per cluster, over rows sorted by cluster and then by request order.
+
+    The accepted stays of the cluster at hand are kept sorted and disjoint.
+    """
+    at, starts, ends = None, [], []
+    for batch in batches:
+        free = np.zeros(len(batch), dtype=bool)
+        rows = zip(batch["room_id"], batch["cluster"], batch["check_in"], batch["check_out"], strict=True)
+        for row, (room, cluster, start, end) in enumerate(rows):
+            if (room, cluster) != at:
+                at, starts, ends = (room, cluster), [], []
+            i = bisect_left(ends, start)
+            if i == len(starts) or starts[i] > end:
+                free[row] = True
+                starts.insert(i, start)
+                ends.insert(i, end)
+        yield pd.DataFrame({"id": batch["id"], "outcome": np.where(free, ACCEPTED, TAKEN_IN_BATCH)})
+
+
+def _settle_clusters(pending: DataFrame) -> DataFrame:
+    """Outcome per request; every cluster lies in one partition, many clusters share one."""
+    id_type = pending.schema["id"].dataType.simpleString()
+    return (
+        pending.repartition("room_id", "cluster")
+        .sortWithinPartitions("room_id", "cluster", "seq")
+        .select("id", "room_id", "cluster", "check_in", "check_out")
+        .mapInPandas(_first_come, f"id {id_type}, outcome string")
+    )
 
 
 def admit(
@@ -169,17 +185,11 @@ def admit(
     checked = settle(checked, "checked")
     taken = checked.filter(F.col("n_overlaps") > 0).select("id", F.lit(TAKEN).alias("outcome"))
     pending = settle(clusters(checked.filter(F.col("n_overlaps") == 0).drop("n_overlaps"), hot), "pending")
-    id_type = asked.schema["id"].dataType.simpleString()
     outcomes = [invalid, taken]
 
     while largest_group(pending, ["room_id", "cluster"]) > block:
         pending = settle(mark_first(pending, ["room_id", "cluster"], ["seq"], block, hot=hot), "pending")
-        settled = settle(
-            pending.filter("is_first")
-            .groupBy("room_id", "cluster")
-            .applyInPandas(_admit_cluster, f"id {id_type}, outcome string"),
-            "admitted",
-        )
+        settled = settle(_settle_clusters(pending.filter("is_first")), "admitted")
         outcomes.append(settled)
         won = pending.join(settled.filter(F.col("outcome") == ACCEPTED), "id").select(
             "room_id", "check_in", "check_out"
@@ -189,9 +199,7 @@ def admit(
         outcomes.append(rest.filter(F.col("n_overlaps") > 0).select("id", F.lit(TAKEN_IN_BATCH).alias("outcome")))
         pending = settle(clusters(rest.filter(F.col("n_overlaps") == 0).drop("n_overlaps"), hot), "pending")
 
-    outcomes.append(
-        pending.groupBy("room_id", "cluster").applyInPandas(_admit_cluster, f"id {id_type}, outcome string")
-    )
+    outcomes.append(_settle_clusters(pending))
     verdicts = outcomes[0]
     for part in outcomes[1:]:
         verdicts = verdicts.unionByName(part)
@@ -250,6 +258,4 @@ def room_bookings(
 
 
 def _ordered(df: DataFrame, order: Sequence[str], number: int, items: int | None) -> DataFrame:
-    from limnos.operators.ordered import sort_columns
-
     return df.orderBy(*sort_columns(order)) if items is None else page(df, order, number, items)

@@ -90,7 +90,7 @@ def clean(raw: DataFrame) -> DataFrame:
 def to_warehouse(clean_rows: DataFrame) -> DataFrame:
     """Cleaned rows in the shape of the warehouse table; the prediction starts as the measured index."""
     return clean_rows.select(
-        natural_id("date", "place", "src_line").alias("id"),
+        natural_id("date", station_key("place"), "src_line").alias("id"),
         F.col("date").cast("timestamp").alias("time"),
         station_key("place").alias("place"),
         "location",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.functions.text import sanitize_path
-from limnos.operators.ordered import mark_first
+from limnos.operators.ordered import mark_first, micros
 from limnos.session import HOT
 
 # Limit and period (seconds) where no rule applies.
@@ -14,10 +14,6 @@ DEFAULT_LIMIT = 10
 DEFAULT_PERIOD = 3600
 
 
-def _seconds(c: str):
-    return F.unix_timestamp(F.col(c))
-
-
 def with_limits(
     requests: DataFrame,
     users: DataFrame,
@@ -42,7 +38,7 @@ def windowed(requests: DataFrame, limit: int = DEFAULT_LIMIT, period: int = DEFA
     for name, default in (("limit", limit), ("period", period)):
         if name not in requests.columns:
             requests = requests.withColumn(name, F.lit(default))
-    at = _seconds("ts")
+    at = F.floor(micros(requests, "ts") / 1_000_000)
     return requests.withColumn("path", sanitize_path("path")).withColumn(
         "window_start", at - F.pmod(at, F.col("period"))
     )

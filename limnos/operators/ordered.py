@@ -28,7 +28,7 @@ def sort_columns(order: Sequence[str]) -> list[Column]:
     ]
 
 
-def _micros(df: DataFrame, name: str) -> Column:
+def micros(df: DataFrame, name: str) -> Column:
     """An ordered number for a date, timestamp or numeric column, without going through the session time zone."""
     kind = df.schema[name].dataType
     c = F.col(name)
@@ -49,7 +49,7 @@ def _micros(df: DataFrame, name: str) -> Column:
 
 def _axis(df: DataFrame, name: str) -> Column:
     descending = name.startswith("-")
-    value = _micros(df, name.lstrip("-"))
+    value = micros(df, name.lstrip("-"))
     return F.coalesce(-value if descending else value, F.lit(_LAST))
 
 
@@ -129,13 +129,15 @@ def cut_keys(slim: DataFrame, by: Sequence[str], axes: Sequence[str], k: Column,
         sizes = sizes.withColumn(f"_hi{a}", F.col(f"_lo{a}"))
     state = settle(sizes, "sizes")
 
+    too_large = (F.col("_size") > hot) & F.col("_left").between(1, F.col("n"))
     for i, a in enumerate(axes):
-        pinned = axes[:i]
         if i:
-            state = settle(_open_axis(slim, state, by, pinned, a, hot), "ranges")
-        wide = (F.col("_size") > hot) & (F.col(f"_lo{a}") < F.col(f"_hi{a}"))
-        while not state.filter(wide & F.col("_left").between(1, F.col("n"))).isEmpty():
-            state = settle(_narrow(slim, state, by, pinned, a, wide), "ranges")
+            if state.filter(too_large).isEmpty():
+                break
+            state = settle(_open_axis(slim, state, by, axes[:i], a, hot), "ranges")
+        wide = too_large & (F.col(f"_lo{a}") < F.col(f"_hi{a}"))
+        while not state.filter(wide).isEmpty():
+            state = settle(_narrow(slim, state, by, axes[:i], a, wide), "ranges")
 
     # Now every range holds at most `hot` rows, or only rows whose whole key is equal.
     inside = _inside(slim, state.filter(F.col("_left").between(1, F.col("n"))), by, axes)
@@ -245,8 +247,7 @@ def running_sums(
         upto = Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
         return at_sums.withColumns({f"cum_{c}": F.sum(c).over(upto) for c in cols})
 
-    micros = _micros(df, at)
-    fine = at_sums.withColumn("_second", F.floor(micros / 1_000_000)).withColumn(
+    fine = at_sums.withColumn("_second", F.floor(micros(df, at) / 1_000_000)).withColumn(
         "_day", F.to_date(F.col(at))
     )
     seconds = fine.groupBy(*by, "_day", "_second").agg(*[F.sum(c).alias(c) for c in cols])
