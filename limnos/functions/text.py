@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Text forms.
 DATE_FORMAT = "dd/MM/yyyy"
-DATE_PATTERN = r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$"
-NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# The form that is read: a leading zero may be missing.
+DATE_FORMAT_READ = "d/M/yyyy"
+NOT_NUMBER_PATTERN = r"[^0-9eE+., -]"
 COORDINATE_PATTERN = r"^\d{1,2},\d+\s\d{1,3},\d+$"
 
 
@@ -16,16 +17,27 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds or replaces columns behind a generator of one row.
+
+    A filter on a plain projected column is pushed below it with a second copy of its expression; it cannot
+    pass a generator, so costly parsing in front of a filter runs once per row.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select(*kept, F.inline(F.array(row)))
+
+
 def parse_decimal(c: Column | str) -> Column:
     """Decimal comma or point to double; anything else is null.
 
     The pattern keeps out what the cast alone would let through: ``NaN``, ``Infinity``, ``1d``.
     """
-    text = F.trim(F.replace(_col(c), F.lit(","), F.lit(".")))
-    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+    c = _col(c)
+    return F.when(~c.rlike(NOT_NUMBER_PATTERN), F.replace(c, F.lit(","), F.lit(".")).try_cast("double"))
 
 
-def parse_day(c: Column | str, fmt: str = DATE_FORMAT) -> Column:
+def parse_day(c: Column | str, fmt: str = DATE_FORMAT_READ) -> Column:
     """Text to date; null where it is not a date in ``fmt``."""
     return F.try_to_date(_col(c), fmt)
 

@@ -44,19 +44,33 @@ def active(bookings: DataFrame) -> DataFrame:
     return live(bookings).filter(F.col("status") == BOOKED)
 
 
-def _counts(stays: DataFrame, asked: DataFrame | None, hot: int) -> DataFrame:
-    """Per room and time of interest: how many stays started by then, and how many ended before then."""
+def _points(df: DataFrame, weight: int) -> DataFrame:
+    """Both ends of every stay as ``(room_id, at, starts, ends)``, in one pass over ``df``."""
+
+    def point(at: str, starts: int, ends: int):
+        return F.struct(F.col(at).alias("at"), F.lit(starts).alias("starts"), F.lit(ends).alias("ends"))
+
+    return df.select(
+        "room_id", F.inline(F.array(point("check_in", weight, 0), point("check_out", 0, weight)))
+    )
+
 
-    def events(df: DataFrame, at: str, starts: int, ends: int) -> DataFrame:
-        return df.select("room_id", F.col(at).alias("at"), F.lit(starts).alias("starts"), F.lit(ends).alias("ends"))
+def _too_large(stays: DataFrame, asked: DataFrame | None, hot: int) -> bool:
+    """Has a room more ends of stays than one window may see?"""
+    rooms = stays.select("room_id")
+    return largest_group(rooms if asked is None else rooms.unionByName(asked.select("room_id")), ["room_id"]) * 2 > hot
 
-    points = events(stays, "check_in", 1, 0).unionByName(events(stays, "check_out", 0, 1))
+
+def _counts(stays: DataFrame, asked: DataFrame | None, split: bool) -> DataFrame:
+    """Per room and time of interest: how many stays started by then, and how many ended before then."""
+    points = _points(stays, 1)
     if asked is not None:
-        points = points.unionByName(events(asked, "check_in", 0, 0)).unionByName(events(asked, "check_out", 0, 0))
-    sums = running_sums(points, ["room_id"], "at", ["starts", "ends"], hot=hot)
+        points = points.unionByName(_points(asked, 0))
+    sums = running_sums(points, ["room_id"], "at", ["starts", "ends"], split)
     return sums.select(
         "room_id",
         "at",
+        "starts",
         F.col("cum_starts").alias("started"),
         (F.col("cum_ends") - F.col("ends")).alias("ended_before"),
     )
@@ -69,9 +83,10 @@ def overlaps(asked: DataFrame, stays: DataFrame, hot: int = HOT) -> DataFrame:
     room with very many stays costs no more per row than any other. ``asked`` may be ``stays``
     itself; a valid stay then counts itself once. Every stay must start no later than it ends.
     """
-    counts = _counts(
-        stays.filter(F.col("check_in") <= F.col("check_out")), None if asked is stays else asked, hot
-    )
+    proper = stays.filter(F.col("check_in") <= F.col("check_out"))
+    others = None if asked is stays else asked
+    # Written once, read twice: the joins know its size and the counting is not done for each of them.
+    counts = settle(_counts(proper, others, _too_large(proper, others, hot)).drop("starts"), "counts")
     at_end = counts.select("room_id", F.col("at").alias("check_out"), "started")
     at_start = counts.select("room_id", F.col("at").alias("check_in"), "ended_before")
     found = asked.join(at_end, ["room_id", "check_out"], "left").join(at_start, ["room_id", "check_in"], "left")
@@ -121,12 +136,10 @@ def clusters(stays: DataFrame, hot: int = HOT) -> DataFrame:
 
     A cluster starts where every stay that started earlier has ended.
     """
-    counts = _counts(stays, None, hot)
-    starts = stays.groupBy("room_id", F.col("check_in").alias("at")).agg(F.count("*").alias("own"))
-    flagged = starts.join(counts, ["room_id", "at"]).withColumn(
-        "first", (F.col("started") - F.col("own") == F.col("ended_before")).cast("int")
-    )
-    numbered = running_sums(flagged, ["room_id"], "at", ["first"], hot=hot).select(
+    split = _too_large(stays, None, hot)
+    first = (F.col("starts") > 0) & (F.col("started") - F.col("starts") == F.col("ended_before"))
+    flagged = _counts(stays, None, split).withColumn("first", first.cast("int"))
+    numbered = running_sums(flagged, ["room_id"], "at", ["first"], split).select(
         "room_id", F.col("at").alias("check_in"), F.col("cum_first").alias("cluster")
     )
     return stays.join(numbered, ["room_id", "check_in"])

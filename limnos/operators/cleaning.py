@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from limnos.functions.text import (
     COORDINATE_PATTERN,
-    DATE_FORMAT,
+    DATE_FORMAT_READ,
     clean_coordinate,
+    compute_once,
     natural_id,
     parse_day,
     parse_decimal,
@@ -53,10 +54,10 @@ def replace_tokens(df: DataFrame, tokens: Mapping[str, str], cols: Sequence[str]
 
 
 def parse_numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: parse_decimal(c) for c in cols})
+    return compute_once(df, {c: parse_decimal(c) for c in cols})
 
 
-def parse_date(df: DataFrame, col: str, fmt: str = DATE_FORMAT) -> DataFrame:
+def parse_date(df: DataFrame, col: str, fmt: str = DATE_FORMAT_READ) -> DataFrame:
     """Adds ``date``, ``year``, ``month``, ``day``; all null for a bad date."""
     dated = df.withColumn("date", parse_day(col, fmt))
     return dated.withColumns(
@@ -66,7 +67,7 @@ def parse_date(df: DataFrame, col: str, fmt: str = DATE_FORMAT) -> DataFrame:
 
 def parse_coordinates(df: DataFrame, col: str) -> DataFrame:
     """Keeps well-formed ``lat lon`` pairs and adds ``latitude`` and ``longitude``."""
-    good = df.withColumn(col, clean_coordinate(col)).filter(F.col(col).rlike(COORDINATE_PATTERN))
+    good = compute_once(df, {col: clean_coordinate(col)}).filter(F.col(col).rlike(COORDINATE_PATTERN))
     pair = F.split(col, " ")
     return good.withColumns({"latitude": parse_decimal(pair[0]), "longitude": parse_decimal(pair[1])})
 
@@ -78,13 +79,11 @@ def clean(raw: DataFrame) -> DataFrame:
     its row with a null time.
     """
     numbers = [*METRICS, "wqi", *[c for c in OTHER_NUMBERS if c in raw.columns]]
-    df = require(raw, METRICS)
+    df = parse_coordinates(require(raw, METRICS), "coord")
     df = replace_tokens(df, BELOW_DETECTION, [c for c in DETECTION_COLUMNS if c in raw.columns])
     df = replace_tokens(df, BELOW_DETECTION_BACTERIA, [BACTERIA])
     df = parse_numbers(df, numbers)
-    df = parse_date(df, "obs_date")
-    df = parse_coordinates(df, "coord")
-    return require(df, [*METRICS, "wqi"])
+    return parse_date(require(df, [*METRICS, "wqi"]), "obs_date")
 
 
 def to_warehouse(clean_rows: DataFrame) -> DataFrame:

@@ -235,15 +235,16 @@ def _narrow(
 
 
 def running_sums(
-    df: DataFrame, by: Sequence[str], at: str, cols: Sequence[str], hot: int = HOT
+    df: DataFrame, by: Sequence[str], at: str, cols: Sequence[str], split: bool = True
 ) -> DataFrame:
     """One row per ``(by, at)`` with ``cum_<col>``: the sum of ``col`` over the group up to and including ``at``.
 
-    Equal times are added up before the shuffle. A group with more than ``hot`` rows gets its sums
-    in three steps (day, second, microsecond), each window seeing one step only.
+    Equal times are added up before the shuffle. With ``split`` the sums are taken in three steps (day,
+    second, microsecond), each window seeing one step only; without it one window sees a group's distinct
+    times, which is for groups of checked size.
     """
     at_sums = df.groupBy(*by, at).agg(*[F.sum(c).alias(c) for c in cols])
-    if largest_group(df, by) <= hot:
+    if not split:
         upto = Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
         return at_sums.withColumns({f"cum_{c}": F.sum(c).over(upto) for c in cols})
 

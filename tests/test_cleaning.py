@@ -1,0 +1,125 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from limnos.functions import text
+from limnos.operators import cleaning
+from limnos.schemas import METRICS, SOURCE_COLUMNS
+from limnos.session import new_path
+from limnos.sources import files, warehouse
+
+
+def col_values(spark, values, column, kind="string"):
+    df = spark.createDataFrame([(v,) for v in values], f"x {kind}")
+    return [r[0] for r in df.select(column).collect()]
+
+
+def test_parse_decimal(spark):
+    values = ["7,5", "7.5", " 7,5 ", "-1", "1e3", "n/a", "NaN", "Infinity", "1d", "1,2,3", "", None, "<1"]
+    want = [7.5, 7.5, 7.5, -1.0, 1000.0, None, None, None, None, None, None, None, None]
+    assert col_values(spark, values, text.parse_decimal("x")) == want
+
+
+def test_parse_day(spark):
+    values = ["31/12/2020", "1/2/2020", "30/02/2020", "2020-01-01", "bad date", None]
+    want = [dt.date(2020, 12, 31), dt.date(2020, 2, 1), None, None, None, None]
+    assert col_values(spark, values, text.parse_day("x")) == want
+
+
+def test_station_keys(spark):
+    assert col_values(spark, ["24", "24.0", "x", None], text.station_key("x")) == ["24.0", "24.0", None, None]
+    assert col_values(spark, ["24.0", "7"], text.station_number("x")) == [24, 7]
+    assert col_values(spark, [24], text.station_key("x"), "int") == ["24.0"]
+
+
+def test_sanitize_path(spark):
+    values = ["/api/v1/users/", "users", "//a//b//", "/"]
+    assert col_values(spark, values, text.sanitize_path("x")) == ["api_v1_users", "users", "a__b", ""]
+
+
+def test_iso_text(spark):
+    got = col_values(spark, [dt.datetime(2020, 1, 2, 3, 4, 5)], text.iso_text("x"), "timestamp")
+    assert got == ["2020-01-02T03:04:05.000000"]
+
+
+def test_tokens_replace_whole_values_only(spark):
+    df = spark.createDataFrame([("KPH",), ("< 1",), ("<1",), ("<10",), ("5",), (None,)], "aeromonas_total string")
+    got = cleaning.replace_tokens(df, cleaning.BELOW_DETECTION_BACTERIA, ["aeromonas_total"])
+    assert [r[0] for r in got.collect()] == ["0", "0", "0", "<10", "5", None]
+
+
+def test_coordinates(spark):
+    values = ["10,5\n106,7", "10,5 \n106,7", " 10,5\n 106,7 ", "10.5 106.7", "10,5 106,7", None, "110,5\n106,7"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, coord string")
+    got = {r.i: (r.latitude, r.longitude) for r in cleaning.parse_coordinates(df, "coord").collect()}
+    # Blanks go first, so a pair that only a blank separates is malformed.
+    assert got == {0: (10.5, 106.7), 1: (10.5, 106.7), 2: (10.5, 106.7)}
+
+
+def test_require_drops_null_and_nan(spark):
+    df = spark.createDataFrame([(1.0,), (None,), (float("nan"),)], "x double")
+    assert cleaning.require(df, ["x"]).count() == 1
+
+
+def raw_row(**changes):
+    row = dict.fromkeys(SOURCE_COLUMNS, "1,5")
+    row.update({"Ngày quan trắc": "05/03/2021", "Place": "24", "Điểm Quan Trắc": "Bridge", "Tọa độ": "10,5\n106,7"})
+    row.update(changes)
+    return row
+
+
+def test_ingest_through_csv(spark):
+    rows = [
+        raw_row(pH="KPH"),
+        raw_row(**{"Aeromonas tổng số": "< 1"}),
+        raw_row(**{"Ngày quan trắc": "not a day"}),
+        raw_row(pH=None),
+        raw_row(DO="n/a"),
+        raw_row(WQI=None),
+        raw_row(**{"Tọa độ": "somewhere"}),
+        raw_row(**{"Aeromonas tổng số": "many"}),
+    ]
+    df = spark.createDataFrame(
+        [tuple(r[c] for c in SOURCE_COLUMNS) for r in rows], ", ".join(f"`{c}` string" for c in SOURCE_COLUMNS)
+    )
+    path = new_path(spark, "test-csv")
+    files.write_raw(df.coalesce(1), path)
+    raw = files.read_raw(spark, path)
+    assert raw.count() == 8
+    got = cleaning.to_warehouse(cleaning.clean(raw)).orderBy("ph", "aeromonas_total").collect()
+    assert len(got) == 3
+    assert [r.place for r in got] == ["24.0"] * 3
+    assert got[0].ph == 0.0 and got[1].aeromonas_total == 0.0
+    assert sorted(str(r.time) for r in got) == ["2021-03-05 00:00:00", "2021-03-05 00:00:00", "None"]
+    assert all(r.predicted_wqi == r.actual_wqi == 1.5 for r in got)
+    assert len({r.id for r in got}) == 3
+
+
+def test_ids_are_stable_across_loads(spark):
+    df = spark.createDataFrame([("2020-01-01", "1.0", 3), (None, "1.0", 3)], "d string, p string, n int")
+    ids = [sorted(r[0] for r in df.select(text.natural_id("d", "p", "n")).collect()) for _ in range(2)]
+    assert ids[0] == ids[1] and len(set(ids[0])) == 2
+
+
+def test_save_and_load_by_year(spark):
+    rows = [(f"{i}", dt.datetime(2019 + i % 3, 1, 1 + i % 27), f"{i % 5}.0", float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, time timestamp, place string, wqi double")
+    target = new_path(spark, "test-warehouse")
+    warehouse.save(df, target)
+    back = warehouse.load(spark, target)
+    assert back.count() == 60
+    assert {r.year for r in back.select("year").distinct().collect()} == {2019, 2020, 2021}
+    plan = back.filter(F.col("year") == 2020)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan
+
+
+def test_metric_columns_match_source():
+    assert set(METRICS) <= set(SOURCE_COLUMNS.values())
+
+
+@pytest.mark.parametrize("token", ["KPH"])
+def test_clean_counts_below_detection_as_zero(spark, token):
+    df = spark.createDataFrame([(token, "1")], "ph string, cod string")
+    done = cleaning.parse_numbers(cleaning.replace_tokens(df, cleaning.BELOW_DETECTION, ["ph"]), ["ph", "cod"])
+    assert done.select("ph", "cod").first() == (0.0, 1.0)
