@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.operators.joins import live
-from limnos.operators.ordered import largest_group, mark_first, running_sums, sort_columns
+from limnos.operators.ordered import largest_group, mark_first, micros, running_sums, sort_columns
 from limnos.operators.paging import page
 from limnos.session import HOT, settle
 
@@ -171,7 +171,7 @@ def _settle_clusters(pending: DataFrame) -> DataFrame:
     return (
         pending.repartition("room_id", "cluster")
         .sortWithinPartitions("room_id", "cluster", "seq")
-        .select("id", "room_id", "cluster", "check_in", "check_out")
+        .select("id", "room_id", "cluster", *[micros(pending, c).alias(c) for c in ("check_in", "check_out")])
         .mapInPandas(_first_come, f"id {id_type}, outcome string")
     )
 

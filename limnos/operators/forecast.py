@@ -28,14 +28,16 @@ def chrono_split(
     max_rows: int | None = None,
     hot: int = HOT,
 ) -> DataFrame:
-    """Adds ``n`` and ``part``: ``history`` for the first ``floor(n * share)`` rows of a station, else ``predict``.
+    """Adds ``n``, ``part`` (``history`` for the first ``floor(n * share)`` rows of a station, else ``predict``)
+    and ``is_last``, true for the last history row.
 
     ``max_rows`` keeps only the first rows of each station before the split.
     """
     if max_rows is not None:
         df = mark_first(df, [by], order, max_rows, hot=hot).filter("is_first").drop("n", "is_first")
-    marked = mark_first(df, [by], order, F.floor(F.col("n") * F.lit(share)), hot=hot)
-    return marked.withColumn("part", F.when(F.col("is_first"), "history").otherwise("predict")).drop("is_first")
+    marked = mark_first(df, [by], order, F.floor(F.col("n") * F.lit(share)), kth="is_last", hot=hot)
+    part = F.when(F.col("is_first"), "history").otherwise("predict")
+    return marked.withColumn("part", part).drop("is_first")
 
 
 def split_status(split: DataFrame, by: str = "place") -> DataFrame:
@@ -48,13 +50,9 @@ def split_status(split: DataFrame, by: str = "place") -> DataFrame:
     )
 
 
-def last_history(split: DataFrame, by: str = "place", order: Sequence[str] = ("time", "id")) -> DataFrame:
-    """The last history row of each station: a single aggregate with map-side combine."""
-    row = F.struct(*[c for c in split.columns if c not in (by, "part", "n")])
-    latest = split.filter(F.col("part") == "history").groupBy(by).agg(
-        F.max_by(row, F.struct(*order)).alias("row")
-    )
-    return latest.select(by, "row.*")
+def last_history(split: DataFrame) -> DataFrame:
+    """The last history row of each station that has one."""
+    return split.filter("is_last").drop("n", "part", "is_last")
 
 
 def feature_vector(cols: Sequence[str] = FEATURES) -> Column:

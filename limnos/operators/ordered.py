@@ -7,6 +7,8 @@ size has been checked; larger groups are cut into ranges first.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,10 +67,13 @@ def mark_first(
     order: Sequence[str],
     k: Column | int,
     out: str = "is_first",
+    kth: str | None = None,
     hot: int = HOT,
 ) -> DataFrame:
     """Adds ``n`` (rows of the group) and ``out``: is the row among the first ``k`` of its group?
 
+    ``kth`` names a further flag for the k-th row itself.
+
     ``k`` may be a column over ``n``. ``order`` must be unique inside a group; a leading
     ``-`` sorts descending, nulls come last. With no group above ``hot`` rows this is one window.
     Otherwise the k-th key of each group is found by narrowing key ranges with histograms, and the
@@ -80,25 +85,26 @@ def mark_first(
         ranked = df.withColumn("n", F.count("*").over(whole)).withColumn(
             "_rn", F.row_number().over(whole.orderBy(*sort_columns(order)))
         )
-        return ranked.withColumn(out, F.col("_rn") <= k).drop("_rn")
+        flags = {out: F.col("_rn") <= k} | ({kth: F.col("_rn") == k} if kth else {})
+        return ranked.withColumns(flags).drop("_rn")
 
     axes = [f"_a{i}" for i in range(len(order))]
     slim = df.select(*by, *[_axis(df, name).alias(a) for name, a in zip(order, axes, strict=True)])
     cuts = cut_keys(slim.withColumn("_w", F.lit(1)), by, axes, k, hot)
     marked = df.withColumns({a: _axis(df, name) for name, a in zip(order, axes, strict=True)})
     joined = _join(marked, cuts, by)
-    return joined.withColumn(out, F.coalesce(_not_after(axes), F.lit(False))).drop(
-        *axes, *[f"_cut{a}" for a in axes]
-    )
+    flags = {out: F.coalesce(_not_after(axes), F.lit(False))}
+    if kth:
+        at_cut = reduce(and_, [F.col(a) == F.col(f"_cut{a}") for a in axes])
+        flags[kth] = F.coalesce(at_cut, F.lit(False))
+    return joined.withColumns(flags).drop(*axes, *[f"_cut{a}" for a in axes])
 
 
 def _join(df: DataFrame, other: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join on ``by`` where nulls match nulls, keeping the columns of ``df`` first."""
     keys = [f"_k{i}" for i in range(len(by))]
     right = other.withColumnsRenamed(dict(zip(by, keys, strict=True)))
-    on = F.lit(True)
-    for name, key in zip(by, keys, strict=True):
-        on = on & df[name].eqNullSafe(right[key])
+    on = reduce(and_, [df[name].eqNullSafe(right[key]) for name, key in zip(by, keys, strict=True)])
     return df.join(right, on, how).drop(*keys)
 
 
@@ -140,19 +146,15 @@ def cut_keys(slim: DataFrame, by: Sequence[str], axes: Sequence[str], k: Column,
             state = settle(_narrow(slim, state, by, axes[:i], a, wide), "ranges")
 
     # Now every range holds at most `hot` rows, or only rows whose whole key is equal.
-    inside = _inside(slim, state.filter(F.col("_left").between(1, F.col("n"))), by, axes)
-    exact = F.lit(True)
+    wanted = state.filter(F.col("_left").between(1, F.col("n")))
+    pinned = F.lit(True)
     for a in axes:
-        exact = exact & F.coalesce(F.col(f"_lo{a}") == F.col(f"_hi{a}"), F.lit(False))
-    tied = inside.filter(exact).select(*by, *axes).distinct()
+        pinned = pinned & F.coalesce(F.col(f"_lo{a}") == F.col(f"_hi{a}"), F.lit(False))
+    tied = wanted.filter(pinned).select(*by, *[F.col(f"_lo{a}").alias(a) for a in axes])
+    upto = Window.partitionBy(*by).orderBy(*axes).rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        inside.filter(~exact)
-        .withColumn(
-            "_upto",
-            F.sum("_w").over(
-                Window.partitionBy(*by).orderBy(*axes).rowsBetween(Window.unboundedPreceding, 0)
-            ),
-        )
+        _inside(slim, wanted.filter(~pinned), by, axes)
+        .withColumn("_upto", F.sum("_w").over(upto))
         .filter((F.col("_upto") - F.col("_w") < F.col("_left")) & (F.col("_left") <= F.col("_upto")))
         .select(*by, *axes)
     )

@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from limnos.operators.quantiles import exact_quantiles
+from limnos.session import settle
+
 # Patterns.
 USERNAME_PATTERN = r"^[a-z0-9]+$"
 PASSWORD_PATTERN = r"^.{8,}|[0-9]+|[A-Z]+|[a-z]+|[^a-zA-Z0-9]+$"
@@ -98,11 +101,9 @@ def check(df: DataFrame, rules: Mapping[str, Column], allowed: Sequence[str] | N
 def profile(df: DataFrame, cols: Sequence[str], approximate: bool = False) -> DataFrame:
     """One row per column: count, mean, spread, extremes, quartiles and distinct values.
 
-    Quartiles interpolate between neighbours. Exact ones come from the counts of each value, found by the
-    ranges they fall into; ``approximate`` settles for one pass with sketches.
+    Quartiles interpolate between neighbours and are exact: they come from the counts of each value, written once
+    and searched by the ranges they fall into. ``approximate`` settles for one pass with sketches.
     """
-    from limnos.operators.quantiles import exact_quantiles
-
     long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in cols], "metric", "value").filter(
         F.col("value").isNotNull()
     )
@@ -122,7 +123,7 @@ def profile(df: DataFrame, cols: Sequence[str], approximate: bool = False) -> Da
             .drop("_q")
         )
     # Distinct values are counted in two steps, so no task keeps one metric's whole value set.
-    counts = long.groupBy("metric", "value").agg(F.count("*").alias("c"))
+    counts = settle(long.groupBy("metric", "value").agg(F.count("*").alias("c")), "counts")
     distinct = counts.groupBy("metric").agg(F.count("*").alias("n_distinct"))
     quartiles = exact_quantiles(counts, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     return long.groupBy("metric").agg(*basic).join(distinct, "metric").join(quartiles, "metric")
