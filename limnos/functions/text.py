@@ -71,3 +71,14 @@ def natural_id(*cols: Column | str) -> Column:
     """A 128-bit id of the natural key: the same row gets the same id when a load is replayed."""
     parts = [F.coalesce(_col(c).cast("string"), F.lit("")) for c in cols]
     return F.md5(F.concat_ws("|", *parts))
+
+
+def epoch_time(c: Column | str) -> Column:
+    """Epoch seconds to a timestamp."""
+    return F.timestamp_seconds(_col(c))
+
+
+def around(day: Column | str, days: int = 30) -> tuple[Column, Column]:
+    """The default range of a listing: ``days`` days to either side of ``day``."""
+    day = _col(day)
+    return F.date_sub(day, days), F.date_add(day, days)

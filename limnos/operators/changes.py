@@ -8,11 +8,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from limnos.functions.text import natural_id
 from limnos.session import settle
 
 ACCEPTED = "accepted"
 
 
+def with_defaults(df: DataFrame, defaults: Mapping[str, Column], key: Sequence[str] = ()) -> DataFrame:
+    """New rows with defaults where a column is missing or null, and an ``id`` from the natural ``key``.
+
+    ``defaults`` holds columns, so that a load time or a random id is named by the caller.
+    """
+    filled = {
+        name: F.coalesce(F.col(name), value) if name in df.columns else value for name, value in defaults.items()
+    }
+    named = df.withColumns(filled)
+    return named.withColumn("id", natural_id(*key)) if key else named
+
+
 def insert_unique(
     base: DataFrame, new: DataFrame, keys: Mapping[str, Sequence[str]], seq: str
 ) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from limnos.functions.text import epoch_time
+
 
 def live(df: DataFrame) -> DataFrame:
     """Rows that are not soft-deleted, by ``is_deleted`` where there is one, else by ``deleted_at``."""
@@ -50,6 +52,22 @@ def without_listed(df: DataFrame, listed: DataFrame, key: str) -> DataFrame:
     return df.join(listed.select(key), key, "left_anti")
 
 
+def listed_tokens(tokens: DataFrame, token: str = "token", expiry: str = "exp") -> DataFrame:
+    """Tokens to put on the list, each once, with the latest end of validity read from epoch seconds."""
+    return (
+        tokens.groupBy(F.col(token).alias("token"))
+        .agg(F.max(expiry).alias("_exp"))
+        .select("token", epoch_time("_exp").alias("expires_at"))
+    )
+
+
+def rows_in(df: DataFrame, col: str, wanted: Sequence | DataFrame) -> DataFrame:
+    """Rows whose value is one of ``wanted``: a short list becomes a scan filter, a table a semi join."""
+    if isinstance(wanted, DataFrame):
+        return df.join(wanted.select(F.col(wanted.columns[0]).alias(col)), col, "left_semi")
+    return df.filter(F.col(col).isin(*wanted))
+
+
 def only_existing(df: DataFrame, base: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key exists in ``base``."""
     return df.join(base.select(*keys), list(keys), "left_semi")

@@ -240,6 +240,12 @@ from obs group by 1
 ORACLE["station_page"] = f"""
 with {_OBS} select * from obs where place = '24.0' order by time, id limit 10 offset 10
 """
+ORACLE["rows_in_places"] = f"""
+with {_OBS} select id, place, time from obs where place in ('1.0', '24.0', '37.0')
+"""
+ORACLE["observations_in_order"] = f"""
+with {_OBS} select id, year(time) as year, month(time) as month, day(time) as day from obs order by time, id
+"""
 ORACLE["station_page_header"] = f"""
 with {_OBS} select count(*) as total_count, 20 < count(*) as has_more, 2 as page, 10 as items_per_page
 from obs where place = '24.0'
@@ -445,6 +451,12 @@ select username, seq, case when rn > 1 or username in (select username from user
   then 'username not available' else 'accepted' end as reason
 from ranked
 """
+ORACLE["new_booking_defaults"] = f"""
+with forms as ({fx.as_sql(fx.BOOKING_FORMS)})
+select md5(concat_ws('|', cast(user_id as string), cast(room_id as string), coalesce(cast(check_in as string), '')))
+  as id, user_id, room_id, coalesce(status, 'booked') as status, coalesce(number_of_guests, 1) as number_of_guests
+from forms
+"""
 ORACLE["partial_update"] = f"""
 with {_USERS}, changes as ({fx.as_sql(fx.USER_CHANGES)}),
 last as (select id, max_by(name, seq) filter (name is not null) as name,
@@ -510,6 +522,17 @@ ruled as (
     left join rules r on r.tier = u.tier and r.path = replace(trim(q.path, '/'), '/', '_')),
 {_flags('ruled', 'event_id, tier, path, "limit", period, window_start, limited')}
 """
+ORACLE["time_functions"] = f"""
+with {_REQUESTS}
+select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') as iso,
+  cast(cast(ts as date) - 30 as string) as first_day, cast(cast(ts as date) + 30 as string) as last_day
+from requests
+"""
+ORACLE["token_list"] = """
+select concat('token', cast(user_id as string)) as token,
+  max(date_trunc('second', ts)) + interval '604800' second as expires_at
+from events group by user_id
+"""
 ORACLE["blacklist_filter"] = f"""
 with {_USERS}
 select event_id, concat('token', cast(user_id as string)) as token from events

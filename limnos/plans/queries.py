@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limnos.functions import wqi as index
-from limnos.functions.text import parse_day
+from limnos.functions.text import around, iso_text
 from limnos.operators import bookings as stay
 from limnos.operators import catalog, changes, cleaning, correlate, forecast, joins, limits, paging, quality, stations
 from limnos.operators.ordered import forward_fill, sort_columns
 from limnos.plans import fixtures as fx
 from limnos.schemas import METRICS, SOURCE_COLUMNS
-from limnos.session import new_path, settle
+from limnos.session import new_path
 from limnos.sources import files, readings, seed
 from limnos.streaming import jobs, sink
 
@@ -200,6 +200,18 @@ def station_page(spark, sf):
     return stations.station_page(_obs(spark, sf), 24, number=2, items=10)
 
 
+@query
+def rows_in_places(spark, sf):
+    return joins.rows_in(_obs(spark, sf), "place", ["1.0", "24.0", "37.0"]).select("id", "place", "time")
+
+
+@query
+def observations_in_order(spark, sf):
+    """The whole table by time, with the calendar parts of each row."""
+    ordered = _obs(spark, sf).orderBy(*sort_columns(["time", "id"]))
+    return ordered.select("id", F.year("time").alias("year"), F.month("time").alias("month"), F.dayofmonth("time").alias("day"))
+
+
 @query
 def station_page_header(spark, sf):
     return paging.page_header(stations.station_rows(_obs(spark, sf), 24), 2, 10)
@@ -428,6 +440,15 @@ def insert_unique(spark, sf):
     return accepted.withColumn("reason", F.lit("accepted")).unionByName(rejected)
 
 
+@query
+def new_booking_defaults(spark, sf):
+    forms = fx.fixture(spark, sf, fx.BOOKING_FORMS).drop("id")
+    filled = changes.with_defaults(
+        forms, {"status": F.lit(stay.BOOKED), "number_of_guests": F.lit(1)}, key=["user_id", "room_id", "check_in"]
+    )
+    return filled.select("id", "user_id", "room_id", "status", "number_of_guests")
+
+
 @query
 def partial_update(spark, sf):
     base = fx.fixture(spark, sf, fx.USERS)
@@ -495,6 +516,29 @@ def rate_limit_tiers(spark, sf):
     return limits.flag_limited(ruled).select("event_id", "tier", "path", "limit", "period", "window_start", "limited")
 
 
+@query
+def time_functions(spark, sf):
+    """ISO text of each request, and the range of days its listing covers by default."""
+    requests = _requests(spark, sf)
+    first, last = around("ts")
+    return requests.select(
+        "event_id",
+        iso_text("ts").alias("iso"),
+        first.cast("string").alias("first_day"),
+        last.cast("string").alias("last_day"),
+    )
+
+
+@query
+def token_list(spark, sf):
+    """Tokens of all requests, valid for a week after the user's last one."""
+    used = fx.table(spark, sf, "events").select(
+        F.concat(F.lit("token"), F.col("user_id").cast("string")).alias("token"),
+        (F.unix_seconds(F.col("ts").cast("timestamp")) + 604_800).alias("exp"),
+    )
+    return joins.listed_tokens(used).withColumn("expires_at", F.col("expires_at").cast("timestamp_ntz"))
+
+
 @query
 def blacklist_filter(spark, sf):
     token = "concat('token', cast({} as string)) as token"
