@@ -36,33 +36,31 @@ def insert_unique(
     key with a null in it is free. A row that is first for all its keys is accepted; with one
     key that decides everything, with several the rest goes round again until none is left.
     """
-    verdict = None
-    for reason, cols in keys.items():
-        known = base.select(*cols).dropna().distinct().withColumn("_known", F.lit(True))
-        new = new.join(known, list(cols), "left").withColumn(
-            f"_in_{reason}", F.coalesce("_known", F.lit(False))
-        ).drop("_known")
-        flag = F.col(f"_in_{reason}")
-        verdict = F.when(flag, reason) if verdict is None else verdict.when(flag, reason)
-    columns = [c for c in new.columns if not c.startswith("_in_")]
-    pending = new.withColumn("reason", verdict).select(*columns, "reason")
-    rejected = [pending.filter(F.col("reason").isNotNull())]
-    pending = pending.filter(F.col("reason").isNull()).drop("reason")
-    accepted: list[DataFrame] = []
-
+    columns = new.columns
     if len(keys) == 1:
         ((reason, cols),) = keys.items()
-        ranked = _with_first(pending, cols, seq)
-        accepted.append(ranked.filter(F.col("_first") == F.col(seq)).select(*columns))
-        rejected.append(ranked.filter(F.col("_first") != F.col(seq)).select(*columns, F.lit(reason).alias("reason")))
-        return _union(accepted), _union(rejected)
+        known = base.select(*cols).dropna().distinct().withColumn("_known", F.lit(True))
+        judged = _look_up(new, _firsts(new, cols, seq).join(known, list(cols), "left"), cols)
+        refused = F.coalesce("_known", F.lit(False)) | F.coalesce(F.col("_first") != F.col(seq), F.lit(False))
+        return (
+            judged.filter(~refused).select(*columns),
+            judged.filter(refused).select(*columns, F.lit(reason).alias("reason")),
+        )
 
+    accepted: list[DataFrame] = []
+    rejected: list[DataFrame] = []
+    pending = new
+    for reason, cols in keys.items():
+        known = base.select(*cols)
+        rejected.append(pending.join(known, list(cols), "left_semi").select(*columns, F.lit(reason).alias("reason")))
+        pending = pending.join(known, list(cols), "left_anti").select(*columns)
     pending = settle(pending, "pending")
     while not pending.isEmpty():
         ranked = pending
+        wins = F.lit(True)
         for i, cols in enumerate(keys.values()):
-            ranked = _with_first(ranked, cols, seq).withColumnRenamed("_first", f"_first{i}")
-        wins = reduce(lambda a, b: a & b, [F.col(f"_first{i}") == F.col(seq) for i in range(len(keys))])
+            ranked = _look_up(ranked, _firsts(pending, cols, seq), cols).withColumnRenamed("_first", f"_first{i}")
+            wins = wins & F.coalesce(F.col(f"_first{i}") == F.col(seq), F.lit(True))
         ranked = settle(ranked.withColumn("_wins", wins), "ranked")
         won = ranked.filter("_wins").select(*columns)
         accepted.append(won)
@@ -79,13 +77,18 @@ def insert_unique(
     return _union(accepted or [pending]), _union(rejected)
 
 
-def _with_first(df: DataFrame, cols: Sequence[str], seq: str) -> DataFrame:
-    """Adds ``_first``: the lowest ``seq`` of the row's key (its own where the key has a null).
+def _firsts(df: DataFrame, cols: Sequence[str], seq: str) -> DataFrame:
+    """The lowest ``seq`` of every key without a null: a key that many rows share is combined before the shuffle."""
+    return df.dropna(subset=list(cols)).groupBy(*cols).agg(F.min(seq).alias("_first"))
+
+
+def _look_up(df: DataFrame, table: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``df`` with the row of ``table`` for its key.
 
-    An aggregate and a join instead of a window: a key that many rows share is combined before the shuffle.
+    The table is written first. Joined straight from its aggregate it would lend the join its
+    partitioning, and adaptive execution could not split a key that many rows of ``df`` share.
     """
-    firsts = df.dropna(subset=list(cols)).groupBy(*cols).agg(F.min(seq).alias("_first"))
-    return df.join(firsts, list(cols), "left").withColumn("_first", F.coalesce("_first", F.col(seq)))
+    return df.join(settle(table, "lookup"), list(cols), "left")
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -139,7 +142,7 @@ def without_duplicates(
             .groupBy(*wants)
             .agg(F.min_by(key, seq).alias("_winner"))
         )
-        decided = wanted.join(holders.distinct(), wants, "left").join(asks, wants, "left")
+        decided = _look_up(wanted, asks.join(holders.distinct(), wants, "left"), wants)
         bad = ~F.col("_keeps") & (F.coalesce("_held", F.lit(False)) | (F.col("_winner") != F.col(key)))
         changes = decided.withColumn(f"_bad_{reason}", F.coalesce(bad, F.lit(False))).select(
             *changes.columns, f"_bad_{reason}"
@@ -164,4 +167,4 @@ def soft_delete(base: DataFrame, keys: DataFrame, key: str, at: Column) -> DataF
 
 def hard_delete(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """``base`` without the rows named in ``keys``."""
-    return base.join(keys.select(key), key, "left_anti")
+    return base.join(keys.select(key).distinct(), key, "left_anti")

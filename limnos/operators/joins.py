@@ -35,7 +35,8 @@ def joined(
 ) -> DataFrame:
     """``df`` with the columns of ``other`` under ``prefix``; ``on`` names them with the prefix.
 
-    ``where`` filters the primary side before the join. ``on`` may carry further predicates.
+    ``where`` filters the primary side before the join. ``on`` may carry further predicates. In a left join
+    only the primary side can be split where a key is frequent, so the larger table belongs there.
     """
     primary = df.filter(where) if where is not None else df
     return primary.join(prefixed(other, prefix), on, how)
@@ -82,9 +83,14 @@ def children_of(
     null child columns.
     """
     live_parents = live(parents).select(F.col("id").alias("parent_id"), F.col(name_col).alias("name"))
-    matched = wanted.select("name").join(live_parents, "name", "left")
-    return (
-        matched.join(prefixed(live(children), "child_"), F.col("parent_id") == F.col(f"child_{fk}"), "left")
-        .withColumn("found", F.col("parent_id").isNotNull())
-        .drop(f"child_{fk}")
+    matched = wanted.select("name").join(live_parents, "name", "left").withColumn(
+        "found", F.col("parent_id").isNotNull()
     )
+    kids = prefixed(live(children), "child_")
+    fk = f"child_{fk}"
+    # An inner join, where a parent with very many children can be split, and the parents without any.
+    # One outer join could not split its children side.
+    pairs = kids.join(matched, F.col(fk) == F.col("parent_id"))
+    having = kids.select(F.col(fk).alias("parent_id")).distinct()
+    alone = matched.join(having, "parent_id", "left_anti")
+    return pairs.drop(fk).unionByName(alone, allowMissingColumns=True)
