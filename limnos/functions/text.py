@@ -53,8 +53,9 @@ def station_number(c: Column | str) -> Column:
 
 
 def clean_coordinate(c: Column | str) -> Column:
-    """Blanks out first, then line breaks to single blanks, ends trimmed."""
-    return F.trim(F.replace(F.replace(_col(c), F.lit(" ")), F.lit("\n"), F.lit(" ")))
+    """Blanks out first, then line breaks to single blanks, white space off both ends."""
+    spaced = F.replace(F.replace(_col(c), F.lit(" ")), F.lit("\n"), F.lit(" "))
+    return F.btrim(spaced, F.lit(" \t\r\f\v"))
 
 
 def sanitize_path(c: Column | str) -> Column:

@@ -17,9 +17,14 @@ def lookup(df: DataFrame, **equals) -> DataFrame:
 
 
 def station_list(df: DataFrame) -> DataFrame:
-    """Every station number with the location of its lowest id, over all rows."""
+    """Every station number with the location of its lowest id, over all rows.
+
+    The ids are reduced per station and location first: a whole number is hash-aggregated, while picking
+    the text by id at once would sort all rows.
+    """
     return (
-        df.withColumn("place", station_number("place"))
+        df.groupBy(station_number("place").alias("place"), "location")
+        .agg(F.min("id").alias("id"))
         .groupBy("place")
         .agg(F.min_by("location", "id").alias("location"))
         .orderBy("place")

@@ -50,11 +50,11 @@ def test_tokens_replace_whole_values_only(spark):
 
 
 def test_coordinates(spark):
-    values = ["10,5\n106,7", "10,5 \n106,7", " 10,5\n 106,7 ", "10.5 106.7", "10,5 106,7", None, "110,5\n106,7"]
+    values = ["10,5\n106,7", "10,5 \n106,7", " 10,5\n 106,7 ", "10.5 106.7", "10,5 106,7", None, "110,5\n106,7", "\t10,5\n106,7\n"]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, coord string")
     got = {r.i: (r.latitude, r.longitude) for r in cleaning.parse_coordinates(df, "coord").collect()}
     # Blanks go first, so a pair that only a blank separates is malformed.
-    assert got == {0: (10.5, 106.7), 1: (10.5, 106.7), 2: (10.5, 106.7)}
+    assert got == {i: (10.5, 106.7) for i in (0, 1, 2, 7)}
 
 
 def test_require_drops_null_and_nan(spark):

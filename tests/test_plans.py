@@ -80,6 +80,13 @@ def test_station_and_keyset_filters_reach_the_scan(obs):
     assert "GreaterThanOrEqual(time" in plan(deep) and "TakeOrderedAndProject" in plan(deep)
 
 
+def test_station_list_sorts_no_rows(obs):
+    table = stations.station_list(obs.withColumn("location", F.col("place")))
+    text = plan(table)
+    below = text[text.rindex("HashAggregate(keys") :]
+    assert "partial_min(id" in below and "Sort" not in below
+
+
 def test_lookup_reaches_the_scan(obs):
     assert "EqualTo(id,7)" in plan(stations.lookup(obs, id=7))
 
