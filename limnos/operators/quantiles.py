@@ -7,8 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from limnos.operators.ordered import cut_keys, largest_group
-from limnos.session import HOT
+from limnos.operators.ordered import SLICES, cut_keys, largest_group
+from limnos.session import HOT, settle
 
 
 def exact_quantiles(counts: DataFrame, probs: Mapping[str, float], hot: int = HOT) -> DataFrame:
@@ -16,7 +16,6 @@ def exact_quantiles(counts: DataFrame, probs: Mapping[str, float], hot: int = HO
 
     ``counts`` has one row ``(metric, value, c)`` per distinct value.
     """
-    position = (F.col("n") - 1) * F.col("p")
     if largest_group(counts, ["metric"]) <= hot:
         upto = Window.partitionBy("metric").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
         running = counts.withColumn("_upto", F.sum("c").over(upto)).withColumn(
@@ -39,16 +38,7 @@ def exact_quantiles(counts: DataFrame, probs: Mapping[str, float], hot: int = HO
             ],
         )
     else:
-        targets = F.array(
-            *[
-                F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p"), F.lit(side).alias("side"))
-                for name, p in probs.items()
-                for side in ("lo", "hi")
-            ]
-        )
-        slim = counts.select("metric", F.inline(targets), F.col("value").alias("_a0"), F.col("c").alias("_w"))
-        rank = F.when(F.col("side") == "lo", F.floor(position)).otherwise(F.ceil(position)) + 1
-        cuts = cut_keys(slim, ["metric", "name", "p", "side"], ["_a0"], rank, hot)
+        cuts = _cuts(counts, probs, hot)
         picked = cuts.groupBy("metric").agg(
             F.max("n").alias("n"),
             *[
@@ -66,3 +56,44 @@ def exact_quantiles(counts: DataFrame, probs: Mapping[str, float], hot: int = HO
         return lo + (hi - lo) * (place - F.floor(place))
 
     return picked.select("metric", *[between(name, p).alias(name) for name, p in probs.items()])
+
+
+def _cuts(counts: DataFrame, probs: Mapping[str, float], hot: int) -> DataFrame:
+    """The value at the lower and upper rank of every probability, for metrics too large for one window.
+
+    One histogram per metric serves all ranks. Only the slices that hold a wanted rank are searched further.
+    """
+    bounds = settle(
+        counts.groupBy("metric").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("c").alias("n")),
+        "bounds",
+    )
+    share = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    slice_no = F.when(F.col("hi") > F.col("lo"), F.floor(share * SLICES)).otherwise(F.lit(0))
+    sliced = counts.join(bounds, "metric").select("metric", "value", "c", slice_no.cast("long").alias("slice"))
+    upto = Window.partitionBy("metric").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
+    histogram = (
+        sliced.groupBy("metric", "slice")
+        .agg(F.sum("c").alias("w"))
+        .withColumn("upto", F.sum("w").over(upto))
+        .withColumn("before", F.col("upto") - F.col("w"))
+    )
+    ends = [
+        F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p"), F.lit(side).alias("side"))
+        for name, p in probs.items()
+        for side in ("lo", "hi")
+    ]
+    position = (F.col("n") - 1) * F.col("p")
+    rank = F.when(F.col("side") == "lo", F.floor(position)).otherwise(F.ceil(position)) + 1
+    targets = bounds.select("metric", "n", F.inline(F.array(*ends))).withColumn("rank", rank)
+    holding = settle(
+        histogram.join(targets, "metric")
+        .filter((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("upto")))
+        .select("metric", "slice", "name", "side", (F.col("rank") - F.col("before")).alias("k")),
+        "slices",
+    )
+    key = ["metric", "name", "side", "k"]
+    slim = sliced.join(holding, ["metric", "slice"]).select(
+        *key, F.col("value").alias("_a0"), F.col("c").alias("_w")
+    )
+    found = cut_keys(slim, key, ["_a0"], F.col("k"), hot).drop("n")
+    return found.join(bounds.select("metric", "n"), "metric")
