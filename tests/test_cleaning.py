@@ -123,3 +123,18 @@ def test_clean_counts_below_detection_as_zero(spark, token):
     df = spark.createDataFrame([(token, "1")], "ph string, cod string")
     done = cleaning.parse_numbers(cleaning.replace_tokens(df, cleaning.BELOW_DETECTION, ["ph"]), ["ph", "cod"])
     assert done.select("ph", "cod").first() == (0.0, 1.0)
+
+
+def test_tables_have_their_declared_shape(spark):
+    from limnos.schemas import DIMENSION, WATER_QUALITY
+    from limnos.sources import seed
+
+    raw = spark.createDataFrame(
+        [tuple("1" for _ in SOURCE_COLUMNS)], ", ".join(f"{c} string" for c in SOURCE_COLUMNS.values())
+    ).withColumn("src_line", F.lit(1))
+
+    def shape(schema):
+        return [(f.name, f.dataType) for f in schema]
+
+    assert shape(cleaning.to_warehouse(cleaning.clean(raw)).schema) == shape(WATER_QUALITY)
+    assert shape(seed.dimension(spark, seed.BADGES).schema) == shape(DIMENSION)
