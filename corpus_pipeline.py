@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnos.llm import mixing, packing, rules
+from limnos.llm import mixing, packing, rules, setsketch
 from limnos.llm.words import table
 from limnos.session import settle
 
@@ -23,6 +23,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rules.keep_documents(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies."""
+    return setsketch.drop_near_duplicates(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents as often as their source's target takes them, up to three times."""
     return mixing.repeat_documents(docs, block=1)
@@ -34,7 +39,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(settle(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pack-pieces"))
 
 
-STAGES = [("quality", quality), ("mix_sources", mix_sources), ("pack_sequences", pack_sequences)]
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("mix_sources", mix_sources), ("pack_sequences", pack_sequences)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

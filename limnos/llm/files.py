@@ -32,7 +32,7 @@ def write(base: str, name: str, suffix: str):
     system, root = opened(base)
     system.create_dir(root, recursive=True)
     own = f"{name}-{uuid.uuid4().hex}{suffix}"
-    return system.open_output_stream(f"{root}/{own}"), own
+    return system.open_output_stream(f"{root}/{own}", compression=None), own
 
 
 def read(base: str, name: str):

@@ -8,11 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnos.llm import bitplanes, chat, fingerprints, mixing, packing, rules, sharding
+from limnos.llm import bitplanes, chat, fingerprints, layout, mixing, packing, rules, setsketch, sharding, warc
 from limnos.llm.words import table
 from limnos.session import settle
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    base, captures = warc.write_archives(pages, least=0)
+    found = settle(warc.lookup(warc.write_index(captures), pages), "warc-found")
+    return warc.read_records(spark, base, found).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = packing.cut(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -76,16 +85,24 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.read_tokens(base, listed).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.rendered(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents")).select(
         "_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_best_fit_packing, op3_document_fingerprints, op4_chat_formatting, op5_mixing_sources, op6_sharding, op7_token_output,
-        op9_quality_rules,
+        op1_warc_index, op2_best_fit_packing, op3_document_fingerprints, op4_chat_formatting, op5_mixing_sources, op6_sharding,
+        op7_token_output, op8_html_extraction, op9_quality_rules, op10_minhash_near_dedup,
     )
 }
