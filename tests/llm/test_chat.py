@@ -1,0 +1,87 @@
+"""Reply trees and their conversations."""
+
+import hashlib
+import os
+from collections import Counter, defaultdict
+
+import pytest
+
+from limnos.llm import chat
+from limnos.llm.queries import HOSTILE, QUERIES
+from tests.llm.tables import write_conversations
+
+SF = "/root/testdata/sf0.001"
+COLUMNS = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+ODD = [
+    (1, 0, "user", "a\\sb\\n <turn:x\n</turn>\n"), (1, 1, "assistant", "\\"), (1, 2, "assistant", None), (1, 3, None, "x"),
+    (2, 5, "assistant", ""), (2, 5, "assistant", "tie"), (2, 5, "assistant", "tie"), (None, 1, "user", "no id"), (None, None, "assistant", "first"),
+    (3, 0, "sys\ntem<", "é\U0001f642" * 3000), *[(4, k, "user" if k % 2 == 0 else "assistant", f"t{k}") for k in range(70)],
+]
+
+
+def expected(rows):
+    held = defaultdict(list)
+    for conv, turn, role, text in [*rows, (-7, 0, "user", HOSTILE), (-7, 1, "assistant", HOSTILE)]:
+        held[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    out = Counter()
+    for conv, turns in held.items():
+        turns.sort()
+        told = "".join(f"{role}\n{text}\n" for _, _, role, text in turns).encode()
+        loss = "".join(text for _, _, role, text in turns if role == "assistant")
+        out[(conv, len(turns), hashlib.sha256(told).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())] += 1
+    return out
+
+
+def result(spark, folder):
+    return Counter(tuple(r) for r in QUERIES["op4_chat_formatting"](spark, folder).select(*COLUMNS).collect())
+
+
+def test_odd_conversations(spark, tmp_path):
+    assert result(spark, write_conversations(spark, str(tmp_path), ODD)) == expected(ODD)
+
+
+def test_no_conversations(spark, tmp_path):
+    assert result(spark, write_conversations(spark, str(tmp_path), [])) == expected([])
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_small_table(spark):
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()
+    assert result(spark, SF) == expected([tuple(r) for r in rows])
+
+
+TREE = [  # id, parent, score
+    ("r", None, 1.0), ("a", "r", 2.0), ("b", "r", None), ("aa", "a", -5.0), ("ab", "a", 0.5), ("ba", "b", 3.0), ("bb", "b", 3.0),
+    ("lone", "missing", 1.0), ("c1", "c2", 1.0), ("c2", "c1", 1.0),
+]
+
+
+def tree(spark):
+    rows = [(m, p, "user", f"text {m}", s, 1) for m, p, s in TREE]
+    return spark.createDataFrame(rows, "message_id string, parent_id string, role string, text string, score double, conv_id int")
+
+
+def told(df):
+    paths = defaultdict(dict)
+    for r in df.collect():
+        paths[r.path_id][r.up] = r.message_id
+    return {path: [steps[k] for k in sorted(steps, reverse=True)] for path, steps in paths.items()}
+
+
+def test_all_paths(spark):
+    assert told(chat.paths(tree(spark), None)) == {
+        "aa": ["r", "a", "aa"], "ab": ["r", "a", "ab"], "ba": ["r", "b", "ba"], "bb": ["r", "b", "bb"], "lone": ["lone"],
+    }
+
+
+def test_best_paths(spark):
+    assert set(told(chat.paths(tree(spark), 1))) == {"ba", "lone"}  # ba and bb tie; the lower id wins
+    assert set(told(chat.paths(tree(spark), 3))) == {"ba", "bb", "ab", "lone"}
+
+
+def test_spans_cover_trained_texts(spark):
+    rows = chat.from_turns(spark.createDataFrame(ODD[:4], "conv_id bigint, turn bigint, role string, text string"))
+    made = chat.formatted(rows, chat.paths(rows)).collect()[0]
+    parts = [made.formatted[s.first : s.first + s.length] for s in made.loss_spans]
+    assert parts == ["\\s", ""]
+    assert made.formatted.count(chat.CLOSE) == 4
