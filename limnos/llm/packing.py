@@ -3,7 +3,8 @@
 Lengths are whole numbers up to the capacity, so a packing is planned on counts of lengths, a table of at most ``capacity``
 rows, however many documents there are. For each bin the longest open length is set, and a subset-sum table over the open
 lengths, kept as the bits of one integer, finds the fullest combination that goes with it. The combination is removed as often as the
-counts allow. Rows then look up where the copy of their length with their number went.
+counts allow. A bin that is full but for a few tokens may do, if it spares short lengths that later bins need: the plan is made
+for several such allowances, and the one with the fewest bins is taken. Rows then look up where the copy of their length with their number went.
 
 Null texts are empty: one end mark. Documents longer than the capacity are cut; the first piece takes the rest. Repeated rows
 are packed as often as they occur. Empty input gives empty output.
@@ -25,26 +26,32 @@ from limnos.session import settle
 
 CAPACITY = 1024
 END = 2
+# Slack that a bin may keep, one plan each.
+ALLOWED = (0, 1, 2, 4, 8, 16, 32, 64)
 
 Pattern = list[tuple[int, int]]
 
 
-def fullest(counts: list[int], first: int, capacity: int) -> Pattern:
-    """Lengths with numbers of the fullest bin that holds one of ``first``; longer lengths are taken where sums tie."""
+def fullest(counts: list[int], first: int, capacity: int, allowed: int = 0) -> Pattern:
+    """Lengths with numbers of the fullest bin that holds one of ``first``; longer lengths are taken where sums tie.
+
+    Lengths are tried from the longest down, and no more once a bin with ``allowed`` slack or less is found.
+    """
     space = capacity - first
     everything = (1 << (space + 1)) - 1
+    goal = everything ^ ((1 << max(0, space - allowed)) - 1)
     steps: list[tuple[int, int, int]] = []  # length, number, sums reachable before it
-    sums, full = 1, 1 << space
+    sums = 1
     for length in range(min(first, space), 0, -1):
         left = counts[length] - (length == first)
         part = 1
-        while left > 0 and length * part <= space and not sums & full:
+        while left > 0 and length * part <= space and not sums & goal:
             part = min(part, left)
             steps.append((length, part, sums))
             sums |= (sums << (length * part)) & everything
             left -= part
             part *= 2
-        if sums & full:
+        if sums & goal:
             break
     at = sums.bit_length() - 1
     pattern = {first: 1}
@@ -55,7 +62,7 @@ def fullest(counts: list[int], first: int, capacity: int) -> Pattern:
     return sorted(pattern.items(), reverse=True)
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
+def filled(counts: dict[int, int], capacity: int, allowed: int) -> list[tuple[Pattern, int]]:
     """Patterns with the number of bins that follow each, for all of ``counts`` (length to number)."""
     left = [0] * (capacity + 1)
     for length, number in counts.items():
@@ -63,7 +70,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
     bins = []
     for first in range(capacity, 0, -1):
         while left[first]:
-            pattern = fullest(left, first, capacity)
+            pattern = fullest(left, first, capacity, allowed)
             times = min(left[length] // number for length, number in pattern)
             for length, number in pattern:
                 left[length] -= number * times
@@ -71,6 +78,11 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
     return bins
 
 
+def plan(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
+    """The plan with the fewest bins; of equal ones, that with the least allowance."""
+    return min((filled(counts, capacity, allowed) for allowed in ALLOWED), key=lambda bins: sum(times for _, times in bins))
+
+
 def places(bins: list[tuple[Pattern, int]]) -> dict[str, np.ndarray]:
     """For runs of equal pieces by length and first number: first bin, pieces per bin, offset of the first one."""
     runs, used, first_bin = [], {}, 0

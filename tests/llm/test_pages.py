@@ -88,7 +88,7 @@ def test_url_keys(spark):
         ("<ul><li>x<li>y<ol start=3><li>1<li>2</ol></ul>z", "- x\n- y\n  3. 1\n  4. 2\n\nz"),
         ("<table><tr><th>name<th>n<tr><td>a<td>10<tr><td>longer<td>2</table>", "name   | n\na      | 10\nlonger | 2"),
         ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td colspan=2>d<td>e</table>", "a | b\n  | c\nd |   | e"),
-        ("<table><tr><td>a<table><tr><td>1<td>2</table><td>b</table>", "a     | b\n      |\n1 | 2 |"),
+        ("<table><tr><td>a<table><tr><td>1<td>2</table><td>b</table>", "a     | b\n1 | 2 |"),
         ("<div hidden>no</div><p style='color:red; display : none'>no<b>no</b></p>yes<input value=no>", "yes"),
         ("<pre>\n a\n  b</pre>c", " a\n  b\n\nc"),
         ("a<br>b &amp; &lt;c&gt; &copy;<!-- no > no -->d", "a\nb & <c> ©d"),
