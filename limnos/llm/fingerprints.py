@@ -112,25 +112,27 @@ def neighbours(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 
 def edited(docs: DataFrame, k: int = K) -> DataFrame:
-    """Fingerprints of all texts and of their edited texts, whose last third is the start of the next document.
+    """Texts with their edited texts, whose last third is the start of the next document, and the sketches of both and of the next text.
 
-    Next is the document with the next lower id. Rows with a null id have no next document, and their last third goes.
+    Next is the document with the next lower id. Rows with a null id have no next document, and their last third goes. Texts are shuffled once, by
+    id: the join that finds whose next document a row is and the join that brings its start there read the same exchange.
     """
     texts = docs.select("doc_id", whole("text").alias("text"))
     sized = texts.select("doc_id", F.length("text").cast("long").alias("n_chars"))
     order = settle(neighbours(sized), "fingerprint-order")
-    sketched = texts.withColumn("sketch", sketch(F.col("text"), k))
-    heads = sketched.join(order, "doc_id").select(
-        F.col("before_id").alias("doc_id"), F.substring("text", F.lit(1), _third(F.col("before_chars"))).alias("head"),
-        F.col("sketch").alias("next_sketch"),
+    named = texts.filter("doc_id is not null")
+    heads = named.join(order, "doc_id").select(
+        F.col("before_id").alias("doc_id"),
+        F.substring("text", F.lit(1), _third(F.col("before_chars"))).alias("head"),
+        sketch(F.col("text"), k).alias("next_sketch"),
     )
-    if sized.filter("doc_id is not null").count() > order.count():  # of a repeated id's texts, the first in order
+    if named.count() > order.count():  # of a repeated id's texts, the first in order
         heads = heads.groupBy("doc_id").agg(F.min(F.struct("head", "next_sketch")).alias("_first")).select("doc_id", "_first.*")
+    none = F.array().cast("array<bigint>")
+    alone = texts.filter("doc_id is null").select("doc_id", "text", F.lit("").alias("head"), none.alias("next_sketch"))
+    both = named.join(heads, "doc_id").select("doc_id", "text", "head", "next_sketch").unionByName(alone)
     chars = F.length("text")
     cut = _third(chars)
-    new = F.concat(F.substring("text", F.lit(1), chars - cut), F.substring(F.coalesce("head", F.lit("")), F.lit(1), cut))
-    both = sketched.join(heads, "doc_id", "left").select(
-        "doc_id", chars.cast("long").alias("n_chars"), "sketch", new.alias("edited_text"),
-        F.coalesce("next_sketch", F.array().cast("array<bigint>")).alias("next_sketch"),
-    )
-    return both.withColumn("edited_sketch", sketch(F.col("edited_text"), k))
+    new = F.concat(F.substring("text", F.lit(1), chars - cut), F.substring("head", F.lit(1), cut))
+    told = both.select("doc_id", "text", chars.cast("long").alias("n_chars"), new.alias("edited_text"), "next_sketch")
+    return told.withColumns({"sketch": sketch(F.col("text"), k), "edited_sketch": sketch(F.col("edited_text"), k)})

@@ -7,8 +7,11 @@ register about as often as they overlap. Work goes in steps:
 1. Documents with equal sets form a class; only one text per class goes on, whatever the number of copies.
 2. Bands of registers are hashed. In each bucket the class with the lowest id is the pivot; every class is tried against the pivot that it shares most bands
    with. What the likelihood of the registers rules out is left out, the rest is confirmed on the full sets.
-3. Links give components. Buckets that still hold several components try the classes outside the bucket's largest component against all classes of other
-   components, best estimates first, until no untried pair joins two components. Pairs within a component change nothing and are never made.
+3. Links give components. In large buckets that still hold several components, the classes outside the bucket's largest component are tried against
+   further members of it, other ones each round, as long as that finds links: a large group of near copies comes together without its pairs.
+4. What is then outside the largest component of its bucket is compared with all members of other components. In small buckets a join makes these
+   pairs; what the likelihood lets pass is confirmed, best estimates first, until no untried pair joins two components. In large buckets tasks compare
+   block with block, estimate and full sets, and hand on links only. Pairs within a component change nothing and are never made.
 
 Two documents whose sets overlap by 0.75 miss all bands with a probability of 2.5e-7; closer ones miss less.
 
@@ -23,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +44,8 @@ REGISTERS = ROWS * BANDS
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 # Pairs go on unless 0.75 and more is exp(14) times less likely than the best estimate (about five standard deviations).
 SLACK = 14.0
+# Members up to which a bucket is joined with itself; members of a block; rounds of further pivots.
+SMALL, BLOCK, ROUNDS = 32, 256, 3
 # Words whose hashes a process keeps.
 KEPT = 500_000
 
@@ -195,28 +201,122 @@ def _labelled(rows: DataFrame, labels: DataFrame, of: str, name: str) -> DataFra
     return rows.join(known, of, "left").withColumn(name, F.coalesce("_component", of)).drop("_component")
 
 
-def _crossing(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of classes that share a bucket and lie in different components, by ``a`` and ``b``."""
-    members = settle(_labelled(shared.select("bucket", "id", "n_shingles"), labels, "id", "component"), "near-members")
-    counts = settle(members.groupBy("bucket", "component").agg(F.count("*").alias("n")), "near-counts")
-    main = counts.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("n"))
-    main = settle(main.filter("n > 1").select("bucket", "main"), "near-mixed")
-    mixed = settle(members.join(main, "bucket"), "near-mixed")
-    other = mixed.filter("component != main").select(
+def _mixed_buckets(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (bucket, band, id, n_shingles, component) of buckets with several components, with the bucket's ``main`` one and its number of ``members``."""
+    members = settle(_labelled(shared.select("bucket", "band", "id", "n_shingles"), labels, "id", "component"), "near-members")
+    counts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("bucket").agg(
+        F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("n"), F.sum("n").alias("members")
+    )
+    main = settle(main.filter("n > 1").select("bucket", "main", "members"), "near-main")
+    return settle(members.join(main, "bucket"), "near-mixed")
+
+
+def _pivots(mixed: DataFrame, turn: int) -> DataFrame:
+    """For classes outside the largest component of a large bucket, two members of such components that they share most buckets with.
+    ``turn`` decides which member of a component stands for it."""
+    large = mixed.filter(F.col("members") > SMALL)
+    order = F.struct(F.xxhash64(F.lit(turn), F.col("id")).alias("order"), "id")
+    chosen = large.filter("component = main").groupBy("bucket").agg(F.min(order)["id"].alias("pivot"))
+    outside = large.filter("component != main").join(settle(chosen, "near-pivots"), "bucket")
+    counted = outside.groupBy("id", "pivot").agg(F.count("*").alias("bands"))
+    best = Window.partitionBy("id").orderBy(F.desc("bands"), "pivot")
+    return counted.withColumn("_n", F.row_number().over(best)).filter("_n <= 2").select(*_ordered(F.col("id"), F.col("pivot"))).distinct()
+
+
+def _other(rows: DataFrame) -> DataFrame:
+    return rows.filter("component != main").select(
         "bucket", F.col("id").alias("x"), F.col("component").alias("_x"), F.col("n_shingles").alias("_n")
     )
+
+
+def _small_pairs(mixed: DataFrame) -> DataFrame:
+    """Pairs of different components within buckets of up to SMALL members."""
+    small = mixed.filter(F.col("members") <= SMALL)
     apart = (F.col("component") != F.col("_x")) & ((F.col("component") == F.col("main")) | (F.col("id") < F.col("x")))
     size = 100 * F.least("n_shingles", "_n") >= PERCENT * F.greatest("n_shingles", "_n")
-    return mixed.join(other, "bucket").filter(apart & size).select(*_ordered(F.col("id"), F.col("x"))).distinct()
+    return small.join(_other(small), "bucket").filter(apart & size).select(*_ordered(F.col("id"), F.col("x"))).distinct()
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """``id`` and its sorted shingle hashes (unsigned 64-bit)."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [shingles(raw.as_py()).tobytes() for raw in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(held, pa.binary())], names=["id", "hashes"])
+
+    return texts.select("id", "text").mapInArrow(rows, f"id {texts.schema['id'].dataType.simpleString()}, hashes binary")
+
+
+def _large_links(mixed: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between different components within larger buckets.
+
+    Classes outside the largest component make rows of blocks, all members make columns; a task compares one block with another. A pair that shares
+    several buckets is looked at in that of its first band. Of a class's links to one component the task hands on one.
+    """
+    large = mixed.filter(F.col("members") > SMALL)
+    outside = large.filter("component != main")
+    sizes = large.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("component") != F.col("main")).alias("n_outside"))
+    sizes = settle(
+        sizes.select("bucket", F.ceil(F.col("n") / BLOCK).alias("columns"), F.ceil(F.col("n_outside") / BLOCK).alias("rows")), "near-blocks"
+    )
+    wanted = settle(large.select("id").distinct(), "near-wanted")
+    held = settle(_sets(texts.join(wanted, "id", "left_semi")).join(classes.select("id", "registers"), "id"), "near-sets")
+
+    def spread(members: DataFrame, own: str, other: str, side: int) -> DataFrame:
+        placed = members.select("bucket", "band", "id", "component", "n_shingles").join(sizes, "bucket").withColumn(
+            f"_{own}", F.pmod(F.xxhash64("id"), F.col(own))
+        )
+        return placed.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1))).select(
+            "bucket", "band", "_rows", "_columns", F.lit(side).alias("side"), "id", "component", "n_shingles"
+        )
+
+    both = spread(outside, "rows", "columns", 0).unionByName(spread(large, "columns", "rows", 1))
+    kind = classes.schema["id"].dataType.simpleString()
+
+    def compare(block: pa.Table) -> pa.Table:
+        row, column = (block.filter(pc.equal(block["side"], side)) for side in (0, 1))
+        links: list[tuple] = []
+        if row.num_rows and column.num_rows:
+            band = block["band"][0].as_py()
+            ids, groups, sizes_ = (column[name].to_numpy() for name in ("id", "component", "n_shingles"))
+            own = np.frombuffer(b"".join(column["registers"].to_pylist()), "<u2").reshape(-1, REGISTERS)
+            sets = [np.frombuffer(raw, np.uint64) for raw in column["hashes"].to_pylist()]
+            for x in row.select(["id", "component", "n_shingles", "registers", "hashes"]).to_pylist():
+                mine, n = np.frombuffer(x["registers"], "<u2"), x["n_shingles"]
+                near = (groups != x["component"]) & (100 * np.minimum(sizes_, n) >= PERCENT * np.maximum(sizes_, n))
+                at = np.flatnonzero(near)
+                agree = (own[at] == mine).reshape(len(at), BANDS, ROWS).all(axis=2)
+                at = at[agree.argmax(axis=1) == band] if len(at) else at
+                if not len(at):
+                    continue
+                _, keep = likely(np.broadcast_to(mine, (len(at), REGISTERS)), own[at], np.full(len(at), n), sizes_[at])
+                at = at[keep]
+                if not len(at):
+                    continue
+                full = np.frombuffer(x["hashes"], np.uint64)
+                flat, starts = np.concatenate([sets[i] for i in at]), np.cumsum([0, *(len(sets[i]) for i in at[:-1])])
+                spot = np.minimum(np.searchsorted(full, flat), n - 1)
+                shared = np.add.reduceat((full[spot] == flat).astype(np.int64), starts)
+                linked = at[100 * shared >= PERCENT * (n + sizes_[at] - shared)]
+                for i in {int(groups[i]): int(i) for i in linked}.values():
+                    links.append((min(x["id"], int(ids[i])), max(x["id"], int(ids[i]))))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, id_type), "b": pa.array(b, id_type)})
+
+    id_type = {"bigint": pa.int64(), "int": pa.int32()}[kind]
+    grouped = both.join(held, "id").groupBy("bucket", "_rows", "_columns")
+    return grouped.applyInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
 def near_links(classes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """Labels (id, component) of the classes that have links. ``classes`` has ``id``, ``n_shingles`` and ``registers``."""
+    """Labels (id, component) of the classes that have links. ``classes`` has whole-number ``id``, ``n_shingles`` and ``registers``."""
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda band: F.xxhash64(band, F.substring("registers", 1 + 2 * ROWS * band, F.lit(2 * ROWS))),
     )
-    members = classes.select("id", "n_shingles", F.explode(bands).alias("bucket"))
+    members = classes.select("id", "n_shingles", F.posexplode(bands).alias("band", "bucket"))
     pivots = members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
     shared = settle(members.join(settle(pivots.select("bucket", "pivot"), "near-pivots"), "bucket"), "near-shared")
 
@@ -226,21 +326,34 @@ def near_links(classes: DataFrame, docs: DataFrame, text: str = "text") -> DataF
 
     stars = shared.filter("id != pivot").groupBy("id", "pivot").agg(F.count("*").alias("bands"))
     nearest = stars.groupBy("id").agg(F.min(F.struct((-F.col("bands")).alias("_few"), "pivot"))["pivot"].alias("pivot"))
-    first = settle(estimated(nearest.select(F.col("id").alias("a"), F.col("pivot").alias("b")), classes), "near-first")
-    links = settle(confirmed(first, texts), "near-links")
+    tried = settle(nearest.select(*_ordered(F.col("id"), F.col("pivot"))), "near-tried")
+    links = settle(confirmed(estimated(tried, classes), texts), "near-links")
     labels = components(links)
 
-    tried = first.select(*_ordered(F.col("a"), F.col("b")))
-    crossing = _crossing(shared, labels).join(tried, ["a", "b"], "left_anti")
-    left = settle(estimated(settle(crossing, "near-crossing"), classes), "near-left")
+    for turn in range(ROUNDS):
+        mixed = _mixed_buckets(shared, labels)
+        now = settle(_pivots(mixed, turn).join(tried, ["a", "b"], "left_anti"), "near-tried")
+        found = settle(confirmed(estimated(now, classes), texts), "near-links")
+        tried = settle(tried.unionByName(now), "near-tried")
+        if found.isEmpty():
+            break
+        links = settle(links.unionByName(found), "near-links")
+        labels = components(links)
+    else:
+        mixed = _mixed_buckets(shared, labels)
+
+    found = settle(_large_links(mixed, classes, texts), "near-links")
+    if not found.isEmpty():
+        links = settle(links.unionByName(found), "near-links")
+        labels = components(links)
+    crossing = settle(_small_pairs(mixed).join(tried, ["a", "b"], "left_anti"), "near-crossing")
+    left = settle(estimated(crossing, classes), "near-left")
     per_pair = 4
     while not left.isEmpty():
         # Of the pairs between two components the likeliest are tried first; once two are one, their other pairs say nothing new.
         now = _labelled(_labelled(left, labels, "a", "of_a"), labels, "b", "of_b").filter("of_a != of_b")
         best = Window.partitionBy(F.least("of_a", "of_b"), F.greatest("of_a", "of_b")).orderBy(F.desc("estimate"), "a", "b")
-        ranked = settle(
-            now.withColumn("_n", F.row_number().over(best)).select("a", "b", "estimate", "_n"), "near-ranked"
-        )
+        ranked = settle(now.withColumn("_n", F.row_number().over(best)).select("a", "b", "estimate", "_n"), "near-ranked")
         found = settle(confirmed(ranked.filter(F.col("_n") <= per_pair), texts), "near-links")
         if not found.isEmpty():
             links = settle(links.unionByName(found), "near-links")
