@@ -46,17 +46,20 @@ class Encoder:
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.ends = {end: self._whole("a" + end)[len(self._whole("a")) :] for end in _ENDS}
+        self.line_break = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
-        """Keep the ids of pieces that stand after a blank."""
+        """Keep the ids of pieces that stand after a blank or, as their first character says, after a line break."""
         for at in range(0, len(pieces), CALL):
             part = pieces[at : at + CALL]
-            found = self.tokenizer.encode_batch_fast([" " + piece for piece in part], add_special_tokens=False)
+            texts = [piece[1:] if piece[:1] == "\n" else " " + piece for piece in part]
+            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             for piece, encoding in zip(part, found, strict=True):
-                self.kept[piece] = array("I", encoding.ids).tobytes()
+                ids = array("I", encoding.ids).tobytes()
+                self.kept[piece] = self.line_break + ids if piece[:1] == "\n" else ids
 
     def _keep(self, needed: set[str]) -> None:
         if len(self.kept) > KEPT // 2:
@@ -66,7 +69,7 @@ class Encoder:
         for piece in new.intersection(older):
             kept[piece] = older[piece]
         new.difference_update(older)
-        ended = [piece for piece in new if piece[-1] in _ENDS and piece[:-1].isalpha()]
+        ended = [piece for piece in new if piece[-1] in _ENDS and piece[:-1].removeprefix("\n").isalpha()]
         new.difference_update(ended)
         bare = {piece[:-1] for piece in ended}
         for piece in bare.intersection(older):
@@ -82,7 +85,8 @@ class Encoder:
         cut: list[list[str]] = []
         for text in texts:
             if text and sure(text) and not any(mark in text for mark in self.marks):
-                head, *pieces = text.split(" ")
+                # A single line break between visible characters is a cut as well.
+                head, *pieces = (text if "\n\n" in text or text[0] == "\n" or text[-1] == "\n" else text.replace("\n", " \n")).split(" ")
             else:
                 head, pieces = text, []
             heads.append(self._whole(head))
