@@ -16,9 +16,6 @@ from pyspark.sql import types as T
 
 from limnos.session import HOT, settle
 
-# Slices of one narrowing pass; also the largest number of rows its window sees per group.
-SLICES = 65_536
-_LAST = 2**62
 _DAY = 86_400_000_000
 
 
@@ -46,13 +43,7 @@ def micros(df: DataFrame, name: str) -> Column:
         return c.cast("double")
     if isinstance(kind, T.IntegralType):
         return c.cast("long")
-    raise TypeError(f"order column {name} has type {kind.simpleString()}, need a number or a time")
-
-
-def _axis(df: DataFrame, name: str) -> Column:
-    descending = name.startswith("-")
-    value = micros(df, name.lstrip("-"))
-    return F.coalesce(-value if descending else value, F.lit(_LAST))
+    raise TypeError(f"column {name} has type {kind.simpleString()}, need a number or a time")
 
 
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
@@ -61,6 +52,57 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     return row[0] or 0
 
 
+def hot_groups(df: DataFrame, by: Sequence[str], hot: int) -> DataFrame:
+    """Groups of more than ``hot`` rows, with their number as ``_hot``; at most one row per ``hot`` rows of ``df``."""
+    return settle(df.groupBy(*by).agg(F.count("*").alias("_hot")).filter(F.col("_hot") > hot), "hot")
+
+
+def ranked_in_ranges(df: DataFrame, by: Sequence[str], order: Sequence[str], weight: Column | None = None) -> DataFrame:
+    """Adds ``_upto``, the sum of ``weight`` (1) over the rows of the group up to and including this one, and ``n``, the sum over all.
+
+    Rows are cut into ranges of group and order, so a group of any size is spread over tasks; a range starts where the sums of the
+    ranges before it end.
+    """
+    weight = F.lit(1).cast("long") if weight is None else weight
+    ranged = df.repartitionByRange(*[F.col(c) for c in by], *sort_columns(order))
+    ranged = settle(ranged.select("*", weight.alias("_w"), F.spark_partition_id().alias("_range")), "ranges")
+    sums = ranged.groupBy(*by, "_range").agg(F.sum("_w").alias("_w"))
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(
+        *by, "_range", F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_start"), F.sum("_w").over(group).alias("n")
+    )
+    upto = Window.partitionBy(*by, "_range").orderBy(*sort_columns(order)).rowsBetween(Window.unboundedPreceding, 0)
+    inside = ranged.withColumn("_inside", F.sum("_w").over(upto))
+    placed = _join(inside, settle(starts, "starts"), [*by, "_range"], "inner")
+    return placed.withColumn("_upto", F.col("_start") + F.col("_inside")).drop("_w", "_range", "_start", "_inside")
+
+
+def ranked(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], weight: Column | None = None, hot: int = HOT
+) -> DataFrame:
+    """``df`` with ``_upto`` and ``n`` as in :func:`ranked_in_ranges`.
+
+    Groups of up to ``hot`` rows take one window. Only groups above are cut into ranges; both ways order as Spark sorts, whatever the
+    type of the columns: nulls last, NaN as the largest number.
+    """
+    weight = F.lit(1).cast("long") if weight is None else weight
+    group = Window.partitionBy(*by)
+    upto = group.orderBy(*sort_columns(order)).rowsBetween(Window.unboundedPreceding, 0)
+
+    def in_windows(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({"n": F.sum(weight).over(group), "_upto": F.sum(weight).over(upto)})
+
+    large = hot_groups(df, by, hot)
+    if large.isEmpty():
+        return in_windows(df)
+    # Written once, since both parts and the cutting into ranges read it.
+    told = settle(_join(df, large, by), "told")
+    small = in_windows(told.filter(F.col("_hot").isNull()).drop("_hot"))
+    spread = ranked_in_ranges(told.filter(F.col("_hot").isNotNull()).drop("_hot"), by, order, weight)
+    return small.unionByName(spread)
+
+
 def mark_first(
     df: DataFrame,
     by: Sequence[str],
@@ -75,29 +117,29 @@ def mark_first(
     ``kth`` names a further flag for the k-th row itself.
 
     ``k`` may be a column over ``n``. ``order`` must be unique inside a group; a leading
-    ``-`` sorts descending, nulls come last. With no group above ``hot`` rows this is one window.
-    Otherwise the k-th key of each group is found by narrowing key ranges with histograms, and the
-    rows are compared with it: no group is ever sorted as a whole.
+    ``-`` sorts descending, nulls come last. No task sorts a group of more than ``hot`` rows.
     """
     k = F.lit(k) if isinstance(k, int) else k
-    if largest_group(df, by) <= hot:
-        whole = Window.partitionBy(*by)
-        ranked = df.withColumn("n", F.count("*").over(whole)).withColumn(
-            "_rn", F.row_number().over(whole.orderBy(*sort_columns(order)))
-        )
-        flags = {out: F.col("_rn") <= k} | ({kth: F.col("_rn") == k} if kth else {})
-        return ranked.withColumns(flags).drop("_rn")
+    flags = {out: F.col("_upto") <= k} | ({kth: F.col("_upto") == k} if kth else {})
+    return ranked(df, by, order, hot=hot).withColumns(flags).drop("_upto")
+
 
-    axes = [f"_a{i}" for i in range(len(order))]
-    slim = df.select(*by, *[_axis(df, name).alias(a) for name, a in zip(order, axes, strict=True)])
-    cuts = cut_keys(slim.withColumn("_w", F.lit(1)), by, axes, k, hot)
-    marked = df.withColumns({a: _axis(df, name) for name, a in zip(order, axes, strict=True)})
-    joined = _join(marked, cuts, by)
-    flags = {out: F.coalesce(_not_after(axes), F.lit(False))}
-    if kth:
-        at_cut = reduce(and_, [F.col(a) == F.col(f"_cut{a}") for a in axes])
-        flags[kth] = F.coalesce(at_cut, F.lit(False))
-    return joined.withColumns(flags).drop(*axes, *[f"_cut{a}" for a in axes])
+def key_at(df: DataFrame, order: Sequence[str], position: int) -> tuple | None:
+    """The values of ``order`` in the row at ``position`` (from 1), or None beyond the end.
+
+    Only the order columns are read. They are cut into ranges; the driver sees the number of rows of each range and
+    one key, and one task sorts the range that holds it.
+    """
+    names = [name.removeprefix("-") for name in order]
+    ranged = df.select(*names).repartitionByRange(*sort_columns(order)).withColumn("_range", F.spark_partition_id())
+    ranged = settle(ranged, "keys")
+    before = 0
+    for row in ranged.groupBy("_range").count().orderBy("_range").collect():
+        if position <= before + row["count"]:
+            held = ranged.filter(F.col("_range") == row["_range"]).drop("_range").orderBy(*sort_columns(order))
+            return tuple(held.offset(position - before - 1).limit(1).first())
+        before += row["count"]
+    return None
 
 
 def _join(df: DataFrame, other: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
@@ -108,134 +150,6 @@ def _join(df: DataFrame, other: DataFrame, by: Sequence[str], how: str = "left")
     return df.join(right, on, how).drop(*keys)
 
 
-def _not_after(axes: Sequence[str]) -> Column:
-    """Lexicographic ``axes <= cut``."""
-    result = F.lit(True)
-    for a in reversed(axes):
-        cut = F.col(f"_cut{a}")
-        result = (F.col(a) < cut) | ((F.col(a) == cut) & result)
-    return result
-
-
-def cut_keys(slim: DataFrame, by: Sequence[str], axes: Sequence[str], k: Column, hot: int) -> DataFrame:
-    """The key of each group's k-th row as ``_cut<axis>``, and the group size ``n``.
-
-    ``slim`` has the group columns, the numeric ``axes`` and ``_w``, the number of rows each row stands for.
-    """
-    first = axes[0]
-    sizes = slim.groupBy(*by).agg(
-        F.sum("_w").alias("n"),
-        F.count("*").alias("_size"),
-        F.min(first).alias(f"_lo{first}"),
-        F.max(first).alias(f"_hi{first}"),
-    )
-    sizes = sizes.withColumn("_left", k.cast("long"))
-    for a in axes[1:]:
-        sizes = sizes.withColumn(f"_lo{a}", F.lit(None).cast("double" if _is_double(slim, a) else "long"))
-        sizes = sizes.withColumn(f"_hi{a}", F.col(f"_lo{a}"))
-    state = settle(sizes, "sizes")
-
-    too_large = (F.col("_size") > hot) & F.col("_left").between(1, F.col("n"))
-    for i, a in enumerate(axes):
-        if i:
-            if state.filter(too_large).isEmpty():
-                break
-            state = settle(_open_axis(slim, state, by, axes[:i], a, hot), "ranges")
-        wide = too_large & (F.col(f"_lo{a}") < F.col(f"_hi{a}"))
-        while not state.filter(wide).isEmpty():
-            state = settle(_narrow(slim, state, by, axes[:i], a, wide), "ranges")
-
-    # Now every range holds at most `hot` rows, or only rows whose whole key is equal.
-    wanted = state.filter(F.col("_left").between(1, F.col("n")))
-    pinned = F.lit(True)
-    for a in axes:
-        pinned = pinned & F.coalesce(F.col(f"_lo{a}") == F.col(f"_hi{a}"), F.lit(False))
-    tied = wanted.filter(pinned).select(*by, *[F.col(f"_lo{a}").alias(a) for a in axes])
-    upto = Window.partitionBy(*by).orderBy(*axes).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        _inside(slim, wanted.filter(~pinned), by, axes)
-        .withColumn("_upto", F.sum("_w").over(upto))
-        .filter((F.col("_upto") - F.col("_w") < F.col("_left")) & (F.col("_left") <= F.col("_upto")))
-        .select(*by, *axes)
-    )
-    cut = tied.unionByName(ranked).withColumnsRenamed({a: f"_cut{a}" for a in axes})
-    # A k of n or more takes the whole group: the cut is past every key.
-    whole = {f"_cut{a}": F.when(F.col("_left") > F.col("n"), F.lit(_LAST)).otherwise(F.col(f"_cut{a}")) for a in axes}
-    result = _join(state.select(*by, "n", "_left"), cut, by).withColumns(whole).drop("_left")
-    return settle(result, "cuts")
-
-
-def _is_double(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, T.DoubleType)
-
-
-def _inside(slim: DataFrame, state: DataFrame, by: Sequence[str], axes: Sequence[str]) -> DataFrame:
-    """Rows whose axes lie in their group's ranges; a null bound is open."""
-    rows = _join(slim, state, by, "inner")
-    for a in axes:
-        lo, hi = F.col(f"_lo{a}"), F.col(f"_hi{a}")
-        rows = rows.filter(lo.isNull() | F.col(a).between(lo, hi))
-    return rows
-
-
-def _open_axis(
-    slim: DataFrame, state: DataFrame, by: Sequence[str], pinned: Sequence[str], a: str, hot: int
-) -> DataFrame:
-    """Set the range of the next axis for groups still above ``hot`` with the earlier axes pinned."""
-    still = state.filter(F.col("_size") > hot)
-    bounds = (
-        _inside(slim, still, by, pinned)
-        .groupBy(*by)
-        .agg(F.min(a).alias("_lo"), F.max(a).alias("_hi"))
-    )
-    return (
-        _join(state, bounds, by)
-        .withColumn(f"_lo{a}", F.col("_lo"))
-        .withColumn(f"_hi{a}", F.col("_hi"))
-        .drop("_lo", "_hi")
-    )
-
-
-def _narrow(
-    slim: DataFrame, state: DataFrame, by: Sequence[str], pinned: Sequence[str], a: str, wide: Column
-) -> DataFrame:
-    """One pass: slice each wide range, count per slice, keep the slice that holds the wanted row."""
-    lo, hi = F.col(f"_lo{a}"), F.col(f"_hi{a}")
-    share = (F.col(a).cast("double") - lo.cast("double")) / (hi.cast("double") - lo.cast("double"))
-    # A range too fine for doubles is split in the middle instead.
-    middle = F.when(F.col(a) > lo, SLICES).otherwise(0)
-    slice_no = F.when(hi.cast("double") > lo.cast("double"), F.floor(share * SLICES)).otherwise(middle)
-    active = state.filter(wide)
-    counted = (
-        _inside(slim, active, by, [*pinned, a])
-        .withColumn("_slice", slice_no.cast("long"))
-        .groupBy(*by, "_slice")
-        .agg(
-            F.count("*").alias("_size2"),
-            F.sum("_w").alias("_w2"),
-            F.min(a).alias("_lo2"),
-            F.max(a).alias("_hi2"),
-            F.first("_left").alias("_left2"),
-        )
-    )
-    upto = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = (
-        counted.withColumn("_upto", F.sum("_w2").over(upto))
-        .withColumn("_before", F.col("_upto") - F.col("_w2"))
-        .filter((F.col("_before") < F.col("_left2")) & (F.col("_left2") <= F.col("_upto")))
-        .select(*by, "_lo2", "_hi2", "_size2", "_before")
-    )
-    hit = F.col("_lo2").isNotNull()
-    return (
-        _join(state, chosen, by)
-        .withColumn(f"_lo{a}", F.when(hit, F.col("_lo2")).otherwise(lo))
-        .withColumn(f"_hi{a}", F.when(hit, F.col("_hi2")).otherwise(hi))
-        .withColumn("_left", F.col("_left") - F.coalesce("_before", F.lit(0)))
-        .withColumn("_size", F.coalesce("_size2", "_size"))
-        .drop("_lo2", "_hi2", "_size2", "_before")
-    )
-
-
 def running_sums(
     df: DataFrame, by: Sequence[str], at: str, cols: Sequence[str], split: bool = True
 ) -> DataFrame:
@@ -297,12 +211,21 @@ def forward_fill(
     lasts = b.groupBy(*group).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(line))).alias(c) for c in cols]
     )
-    earlier = (
-        Window.partitionBy(*(by or [F.lit(0)]))
-        .orderBy(*files, "_bucket")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry = lasts.select(*group, *[F.last(c, ignorenulls=True).over(earlier).alias(c) for c in cols])
+    if files:
+        lasts = settle(lasts, "lasts")
+    in_file = Window.partitionBy(*(parts or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = lasts.select(*group, *[F.last(c, ignorenulls=True).over(in_file).alias(c) for c in cols])
+    if files:
+        # Between files one row per file is carried.
+        of_file = lasts.groupBy(*parts).agg(
+            *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_bucket"))).alias(c) for c in cols]
+        )
+        earlier = (
+            Window.partitionBy(*(by or [F.lit(0)])).orderBy(*files).rowsBetween(Window.unboundedPreceding, -1)
+        )
+        before = of_file.select(*parts, *[F.last(c, ignorenulls=True).over(earlier).alias(f"_f_{c}") for c in cols])
+        carry = _join(carry, before, parts).withColumns({c: F.coalesce(c, f"_f_{c}") for c in cols})
+        carry = carry.drop(*[f"_f_{c}" for c in cols])
     # The carried values join their bucket as a row ahead of all others, so the big side is shuffled once.
     rows = b.withColumn("_ahead", F.lit(0)).unionByName(
         carry.withColumn("_ahead", F.lit(-1)), allowMissingColumns=True

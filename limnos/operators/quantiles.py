@@ -4,96 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limnos.operators.ordered import SLICES, cut_keys, largest_group
-from limnos.session import HOT, settle
+from limnos.operators.ordered import ranked
+from limnos.session import HOT
 
 
 def exact_quantiles(counts: DataFrame, probs: Mapping[str, float], hot: int = HOT) -> DataFrame:
     """One row per ``metric`` with a column per probability, interpolated between neighbours.
 
-    ``counts`` has one row ``(metric, value, c)`` per distinct value.
+    ``counts`` has one row ``(metric, value, c)`` per distinct value. Values sort as Spark sorts them, NaN last; between a finite and an
+    infinite neighbour the quantile is infinite.
     """
-    if largest_group(counts, ["metric"]) <= hot:
-        upto = Window.partitionBy("metric").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-        running = counts.withColumn("_upto", F.sum("c").over(upto)).withColumn(
-            "n", F.sum("c").over(Window.partitionBy("metric"))
-        )
+    running = ranked(counts, ["metric"], ["value"], F.col("c"), hot)
 
-        def at(rank):
-            holds = (F.col("_upto") - F.col("c") <= rank) & (rank < F.col("_upto"))
-            return F.max(F.when(holds, F.col("value")))
+    def at(rank: Column) -> Column:
+        holds = (F.col("_upto") - F.col("c") <= rank) & (rank < F.col("_upto"))
+        return F.max(F.when(holds, F.col("value")))
 
-        picked = running.groupBy("metric").agg(
-            F.max("n").alias("n"),
-            *[
-                end
-                for name, p in probs.items()
-                for end in (
-                    at(F.floor((F.col("n") - 1) * F.lit(p))).alias(f"_lo_{name}"),
-                    at(F.ceil((F.col("n") - 1) * F.lit(p))).alias(f"_hi_{name}"),
-                )
-            ],
-        )
-    else:
-        cuts = _cuts(counts, probs, hot)
-        picked = cuts.groupBy("metric").agg(
-            F.max("n").alias("n"),
-            *[
-                F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("_cut_a0"))).alias(
-                    f"_{side}_{name}"
-                )
-                for name in probs
-                for side in ("lo", "hi")
-            ],
-        )
+    def place(p: float) -> Column:
+        return (F.col("n") - 1) * F.lit(float(p))
 
-    def between(name: str, p: float):
-        place = (F.col("n") - 1) * F.lit(float(p))
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        return lo + (hi - lo) * (place - F.floor(place))
-
-    return picked.select("metric", *[between(name, p).alias(name) for name, p in probs.items()])
-
-
-def _cuts(counts: DataFrame, probs: Mapping[str, float], hot: int) -> DataFrame:
-    """The value at the lower and upper rank of every probability, for metrics too large for one window.
-
-    One histogram per metric serves all ranks. Only the slices that hold a wanted rank are searched further.
-    """
-    bounds = settle(
-        counts.groupBy("metric").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("c").alias("n")),
-        "bounds",
-    )
-    share = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    slice_no = F.when(F.col("hi") > F.col("lo"), F.floor(share * SLICES)).otherwise(F.lit(0))
-    sliced = counts.join(bounds, "metric").select("metric", "value", "c", slice_no.cast("long").alias("slice"))
-    upto = Window.partitionBy("metric").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
-    histogram = (
-        sliced.groupBy("metric", "slice")
-        .agg(F.sum("c").alias("w"))
-        .withColumn("upto", F.sum("w").over(upto))
-        .withColumn("before", F.col("upto") - F.col("w"))
-    )
     ends = [
-        F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p"), F.lit(side).alias("side"))
+        end
         for name, p in probs.items()
-        for side in ("lo", "hi")
+        for end in (at(F.floor(place(p))).alias(f"_lo_{name}"), at(F.ceil(place(p))).alias(f"_hi_{name}"))
     ]
-    position = (F.col("n") - 1) * F.col("p")
-    rank = F.when(F.col("side") == "lo", F.floor(position)).otherwise(F.ceil(position)) + 1
-    targets = bounds.select("metric", "n", F.inline(F.array(*ends))).withColumn("rank", rank)
-    holding = settle(
-        histogram.join(targets, "metric")
-        .filter((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("upto")))
-        .select("metric", "slice", "name", "side", (F.col("rank") - F.col("before")).alias("k")),
-        "slices",
-    )
-    key = ["metric", "name", "side", "k"]
-    slim = sliced.join(holding, ["metric", "slice"]).select(
-        *key, F.col("value").alias("_a0"), F.col("c").alias("_w")
-    )
-    found = cut_keys(slim, key, ["_a0"], F.col("k"), hot).drop("n")
-    return found.join(bounds.select("metric", "n"), "metric")
+    picked = running.groupBy("metric").agg(F.max("n").alias("n"), *ends)
+
+    def between(name: str, p: float) -> Column:
+        lo, hi, part = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), place(p) - F.floor(place(p))
+        return F.when((lo == hi) | (part == 0), lo).otherwise(lo + (hi - lo) * part)
+
+    return picked.select("metric", *[between(name, p).alias(name) for name, p in probs.items()])

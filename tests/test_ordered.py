@@ -2,12 +2,13 @@
 
 import datetime as dt
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from limnos.operators import forecast, paging, quality
-from limnos.operators.ordered import forward_fill, mark_first, running_sums
+from limnos.operators.ordered import forward_fill, mark_first, running_sums, sort_columns
 from limnos.operators.quantiles import exact_quantiles
 
 
@@ -118,12 +119,48 @@ def test_split_sizes(spark, n, history):
     assert status.status == ("ok" if history else "insufficient data")
 
 
-def test_max_rows_takes_the_first_rows(spark):
+def test_first_rows(spark):
     rows = [(i, "1.0", dt.datetime(2020, 1, 1) + dt.timedelta(days=i)) for i in range(50)]
     df = spark.createDataFrame(rows, "id long, place string, time timestamp")
-    got = forecast.chrono_split(df, max_rows=10)
-    assert sorted(r.id for r in got.collect()) == list(range(10))
-    assert got.filter("part = 'history'").count() == 8
+    assert sorted(r.id for r in forecast.first_rows(df, 10).collect()) == list(range(10))
+
+
+KEYS = {
+    "string": ["b", "", "a", None, "aa", "B", "é", "z"],
+    "double": [1.5, float("inf"), float("-inf"), float("nan"), None, -0.5, 1e300],
+    "decimal(20,2)": [Decimal("1.50"), Decimal("-7.25"), None, Decimal("99999999999.99")],
+    "date": [dt.date(2020, 1, 1), dt.date(1900, 5, 5), None, dt.date(2199, 1, 1)],
+    "boolean": [True, False, None],
+    "binary": [b"x", b"", None, b"\xff"],
+}
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("kind", list(KEYS))
+def test_ranking_means_the_same_at_every_size(spark, kind, descending):
+    rng = random.Random(11)
+    rows = [(i, "hot" if i % 3 else "cold", rng.choice(KEYS[kind])) for i in range(90)]
+    df = spark.createDataFrame(rows, f"id int, g string, k {kind}")
+    order = ["-k" if descending else "k", "id"]
+    results = []
+    for hot in (10**6, 40, 5):
+        marked = mark_first(df, ["g"], order, F.floor(F.col("n") * 0.5), kth="last", hot=hot)
+        results.append({(r.id, r.n, r.is_first, r["last"]) for r in marked.collect()})
+    assert results[0] == results[1] == results[2]
+    shallow = [[r.id for r in paging.page(df, order, number, 20).collect()] for number in range(1, 6)]
+    deep = [[r.id for r in paging.page(df, order, number, 20, shallow=0).collect()] for number in range(1, 6)]
+    walked = [[r.id for r in page.orderBy(*sort_columns(order)).collect()] for page in paging.keyset_walk(df, order, 20)]
+    assert shallow == deep == walked
+    assert sum(map(len, walked)) == 90
+
+
+@pytest.mark.parametrize("hot", [10**6, 5])
+def test_quantiles_of_unbounded_values(spark, hot):
+    values = [float("-inf"), 1.0, 2.0, 3.0, 4.0, float("inf"), float("inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in values] * 5, "x double")
+    got = quality.profile(df, ["x"], hot=hot).first()
+    assert (got.n, got.n_distinct, got.min) == (40, 7, float("-inf"))
+    assert (got.p25, got.p50, got.p75) == (1.75, 3.5, float("inf"))
 
 
 def test_forecast_skips_stations_without_history(spark):
@@ -133,6 +170,14 @@ def test_forecast_skips_stations_without_history(spark):
     assert sorted(r.id for r in got) == [9, 10]
 
 
+def test_scorers_honour_the_share(spark):
+    rows = [(i, "1.0", dt.datetime(2020, 1, 1 + i), 1.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "id long, place string, time timestamp, wqi double")
+    for scorer in (F.lit(1.0), forecast.mean_scorer("wqi"), forecast.trend_scorer("wqi")):
+        assert forecast.forecast(df, scorer, share=0.25).count() == 0
+        assert forecast.forecast(df, scorer, share=0.34).count() == 2
+
+
 def test_trend_predicts_a_line_exactly(spark):
     rows = [(i, "1.0", dt.datetime(2020, 1, 1 + i), 10.0 + 2 * i) for i in range(10)]
     df = spark.createDataFrame(rows, "id long, place string, time timestamp, wqi double")
@@ -145,13 +190,13 @@ def test_feature_vector_missing_is_zero(spark):
     assert df.select(forecast.feature_vector(["place", "ph", "cod"])).first()[0] == [24.0, 7.5, 0.0]
 
 
-@pytest.mark.parametrize("shallow,hot", [(10**6, 10**6), (0, 10), (0, 10**6)])
-def test_pages_tile_the_order(spark, shallow, hot):
+@pytest.mark.parametrize("shallow", [10**6, 0])
+def test_pages_tile_the_order(spark, shallow):
     rows = [(i, dt.date(2020, 1, 1 + i * 7 % 5)) for i in range(53)]
     df = spark.createDataFrame(rows, "id long, d date").repartition(3)
     seen = []
     for number in range(1, 8):
-        seen += [r.id for r in paging.page(df, ["-d", "id"], number, 10, shallow=shallow, hot=hot).collect()]
+        seen += [r.id for r in paging.page(df, ["-d", "id"], number, 10, shallow=shallow).collect()]
     assert seen == [i for i, _ in sorted(rows, key=lambda r: (-r[1].toordinal(), r[0]))]
 
 
