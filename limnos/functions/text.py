@@ -69,9 +69,14 @@ def iso_text(c: Column | str) -> Column:
 
 
 def natural_id(*cols: Column | str) -> Column:
-    """A 128-bit id of the natural key: the same row gets the same id when a load is replayed."""
-    parts = [F.coalesce(_col(c).cast("string"), F.lit("")) for c in cols]
-    return F.md5(F.concat_ws("|", *parts))
+    """A 128-bit id of the natural key: the same row gets the same id when a load is replayed.
+
+    Every part goes in with its length, and a null as a mark of its own, so keys that differ anywhere differ in
+    what is hashed.
+    """
+    parts = [_col(c).cast("string") for c in cols]
+    told = [F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts]
+    return F.md5(F.concat(*told))
 
 
 def epoch_time(c: Column | str) -> Column:

@@ -87,9 +87,13 @@ def clean(raw: DataFrame) -> DataFrame:
 
 
 def to_warehouse(clean_rows: DataFrame) -> DataFrame:
-    """Cleaned rows in the shape of the warehouse table; the prediction starts as the measured index."""
+    """Cleaned rows in the shape of the warehouse table; the prediction starts as the measured index.
+
+    A row is known by its file, if there is one, and its place there.
+    """
+    source = [c for c in ("src_file", "src_line") if c in clean_rows.columns]
     return clean_rows.select(
-        natural_id("date", station_key("place"), "src_line").alias("id"),
+        natural_id("date", station_key("place"), *source).alias("id"),
         F.col("date").cast("timestamp").alias("time"),
         station_key("place").alias("place"),
         "location",

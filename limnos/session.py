@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,20 +32,45 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "limnos") ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as named by ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a temporary folder of its own.
+    Only a local session without the setting gets a temporary folder of its own. On a cluster a folder of the local file system is
+    refused, unless ``spark.limnos.sharedMount`` says that it is a mount that all machines share.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    local = spark.sparkContext.master.startswith("local")
     if configured:
+        path = spark._jvm.org.apache.hadoop.fs.Path(configured)
+        scheme = path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+        if scheme == "file" and not local and spark.conf.get("spark.limnos.sharedMount", "false") != "true":
+            raise RuntimeError(f"{configured} is local to each machine; name a folder that all executors share")
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="limnos-")
     spark.sparkContext.setCheckpointDir(own)
     return own
 
 
+# Folders of intermediate tables made since the innermost open scope began.
+_scopes: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/limnos/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/limnos/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside are removed at the end. Results that read them must be written or collected before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for name in _scopes.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame, label: str = "settled") -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from limnos.operators.cleaning import rename_source
 from limnos.schemas import RAW
+from limnos.session import settle
 
 
 def read_raw(
@@ -15,24 +18,31 @@ def read_raw(
     path: str | list[str],
     schema: T.StructType = RAW,
     order_cols: tuple[str, str] = ("src_file", "src_line"),
+    name: Column | None = None,
 ) -> DataFrame:
-    """Observation CSV with unified column names, plus file name and line order.
+    """Observation CSV with unified column names, plus file name and the row's place in its file (from 0).
 
-    Coordinates hold line breaks, so one file is one task: bring data in many files and keep it as
-    Parquet afterwards. The line number grows within a file and is stored with the rows, never computed again.
+    Coordinates hold line breaks, so one file is one task, and a file must fit a task's time: bring data in many files. Rows are
+    written to the shared folder once; a place counts from the first row of its file, so it does not depend on which files are loaded
+    together. ``name`` tells a file's name from its path (``_metadata.file_path``); the path itself by default.
     """
     file_col, line_col = order_cols
+    path_of = F.col("_metadata.file_path")
     raw = (
         spark.read.schema(schema)
         .option("header", True)
         .option("multiLine", True)
         .option("escape", '"')
         .csv(path)
-        .withColumns({file_col: F.col("_metadata.file_path"), line_col: F.monotonically_increasing_id()})
+        .withColumns({file_col: path_of if name is None else name, "_path": path_of, "_at": F.monotonically_increasing_id()})
     )
-    return rename_source(raw)
+    rows = settle(raw, "raw")
+    # One row per file.
+    first = rows.groupBy("_path").agg(F.min("_at").alias("_first"))
+    placed = rows.join(settle(first, "files"), "_path").withColumn(line_col, F.col("_at") - F.col("_first"))
+    return rename_source(placed.drop("_path", "_at", "_first"))
 
 
-def write_raw(df: DataFrame, path: str) -> None:
-    """Observation rows as CSV with a header, all values quoted."""
-    df.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+def write_raw(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
+    """Observation rows as CSV with a header, all values quoted; a folder per value of ``by``."""
+    df.write.partitionBy(*by).option("header", True).option("quoteAll", True).option("escape", '"').csv(path)

@@ -96,10 +96,33 @@ def test_ingest_through_csv(spark):
     assert len({r.id for r in got}) == 3
 
 
-def test_ids_are_stable_across_loads(spark):
-    df = spark.createDataFrame([("2020-01-01", "1.0", 3), (None, "1.0", 3)], "d string, p string, n int")
-    ids = [sorted(r[0] for r in df.select(text.natural_id("d", "p", "n")).collect()) for _ in range(2)]
-    assert ids[0] == ids[1] and len(set(ids[0])) == 2
+def test_ids_tell_keys_apart(spark):
+    rows = [("2020-01-01", "1.0", 3), (None, "1.0", 3), ("", "1.0", 3), ("a|b", "c", 1), ("a", "b|c", 1), ("1:a", "", 1), ("1", "a", 1)]
+    df = spark.createDataFrame(rows, "d string, p string, n int")
+    assert df.select(text.natural_id("d", "p", "n")).distinct().count() == len(rows)
+
+
+def test_ids_do_not_depend_on_what_is_loaded_together(spark):
+    """Files apart, together, and with a third one: every row keeps its id."""
+    base = new_path(spark, "apart")
+    row = dict.fromkeys(SOURCE_COLUMNS, "1") | {"Ngày quan trắc": "05/03/2021", "Place": "2.0", "Tọa độ": "10,5\n106,7"}
+    for name, n in (("a", 40), ("b", 7), ("c", 25)):
+        rows = [tuple(row | {"pH": f"{name.encode()[0]}{i:03d}"} for _ in [0]) for i in range(n)]
+        frame = spark.createDataFrame([r[0] for r in rows], ", ".join(f"`{c}` string" for c in SOURCE_COLUMNS))
+        files.write_raw(frame.select(*[F.col(f"`{c}`") for c in SOURCE_COLUMNS]).coalesce(1), f"{base}/{name}")
+
+    def ids(*names):
+        raw = files.read_raw(spark, [f"{base}/{n}" for n in names])
+        assert raw.groupBy("src_file").agg(F.min("src_line").alias("m")).agg(F.max("m")).first()[0] == 0
+        rows = cleaning.to_warehouse(cleaning.clean(raw)).select("ph", "id").collect()
+        assert len({r.id for r in rows}) == len(rows)
+        return {r.ph: r.id for r in rows}
+
+    apart = ids("a") | ids("b")
+    assert len(apart) == 47
+    assert ids("a", "b") == apart
+    more = ids("a", "b", "c")
+    assert {ph: more[ph] for ph in apart} == apart and len(more) == 72
 
 
 def test_save_and_load_by_year(spark):
