@@ -31,6 +31,7 @@ ACCEPTED = "accepted"
 INVALID = "invalid interval"
 TAKEN = "room already booked"
 TAKEN_IN_BATCH = "room taken by an earlier request"
+UNORDERED = "no place in the order of requests"
 
 # Requests of one cluster of overlapping stays that one task admits at a time.
 BLOCK = 200_000
@@ -162,17 +163,17 @@ def _first_come(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 free[row] = True
                 starts.insert(i, start)
                 ends.insert(i, end)
-        yield pd.DataFrame({"id": batch["id"], "outcome": np.where(free, ACCEPTED, TAKEN_IN_BATCH)})
+        yield pd.DataFrame({"seq": batch["seq"], "outcome": np.where(free, ACCEPTED, TAKEN_IN_BATCH)})
 
 
 def _settle_clusters(pending: DataFrame) -> DataFrame:
     """Outcome per request; every cluster lies in one partition, many clusters share one."""
-    id_type = pending.schema["id"].dataType.simpleString()
+    seq_type = pending.schema["seq"].dataType.simpleString()
     return (
         pending.repartition("room_id", "cluster")
         .sortWithinPartitions("room_id", "cluster", "seq")
-        .select("id", "room_id", "cluster", *[micros(pending, c).alias(c) for c in ("check_in", "check_out")])
-        .mapInPandas(_first_come, f"id {id_type}, outcome string")
+        .select("seq", "room_id", "cluster", *[micros(pending, c).alias(c) for c in ("check_in", "check_out")])
+        .mapInPandas(_first_come, f"seq {seq_type}, outcome string")
     )
 
 
@@ -182,21 +183,21 @@ def admit(
     """``requests`` plus ``outcome``: accepted, or why not.
 
     A request needs a valid stay and a room free of active bookings and of earlier accepted
-    requests, in the order of ``seq``, which must be unique. Clusters of linked stays are
+    requests, in the order of ``seq``, which must be unique; a request without one is not accepted. Clusters of linked stays are
     independent and run in parallel. Of a cluster above ``block`` requests the first ``block`` are settled,
     those that overlap the accepted ones fall out, and what is left, now in smaller clusters, goes
     round again; each round settles at least the earliest request of every cluster.
     """
-    asked = requests.withColumn("seq", F.col(seq))
-    good = F.coalesce(valid_stay(), F.lit(False))
-    invalid = asked.filter(~good).select("id", F.lit(INVALID).alias("outcome"))
+    asked = requests.select(F.col(seq).alias("seq"), "room_id", "check_in", "check_out")
+    good = F.coalesce(valid_stay() & F.col("seq").isNotNull(), F.lit(False))
+    invalid = asked.filter(~good & F.col("seq").isNotNull()).select("seq", F.lit(INVALID).alias("outcome"))
     checked = overlaps(
-        asked.filter(good).select("id", "seq", "room_id", "check_in", "check_out"),
+        asked.filter(good),
         active(bookings).select("room_id", "check_in", "check_out"),
         hot,
     )
     checked = settle(checked, "checked")
-    taken = checked.filter(F.col("n_overlaps") > 0).select("id", F.lit(TAKEN).alias("outcome"))
+    taken = checked.filter(F.col("n_overlaps") > 0).select("seq", F.lit(TAKEN).alias("outcome"))
     pending = settle(clusters(checked.filter(F.col("n_overlaps") == 0).drop("n_overlaps"), hot), "pending")
     outcomes = [invalid, taken]
 
@@ -204,19 +205,24 @@ def admit(
         pending = settle(mark_first(pending, ["room_id", "cluster"], ["seq"], block, hot=hot), "pending")
         settled = settle(_settle_clusters(pending.filter("is_first")), "admitted")
         outcomes.append(settled)
-        won = pending.join(settled.filter(F.col("outcome") == ACCEPTED), "id").select(
+        won = pending.join(settled.filter(F.col("outcome") == ACCEPTED), "seq").select(
             "room_id", "check_in", "check_out"
         )
-        rest = pending.filter(~F.col("is_first")).select("id", "seq", "room_id", "check_in", "check_out")
+        rest = pending.filter(~F.col("is_first")).select("seq", "room_id", "check_in", "check_out")
         rest = settle(overlaps(rest, won, hot), "rest")
-        outcomes.append(rest.filter(F.col("n_overlaps") > 0).select("id", F.lit(TAKEN_IN_BATCH).alias("outcome")))
+        outcomes.append(rest.filter(F.col("n_overlaps") > 0).select("seq", F.lit(TAKEN_IN_BATCH).alias("outcome")))
         pending = settle(clusters(rest.filter(F.col("n_overlaps") == 0).drop("n_overlaps"), hot), "pending")
 
     outcomes.append(_settle_clusters(pending))
     verdicts = outcomes[0]
     for part in outcomes[1:]:
         verdicts = verdicts.unionByName(part)
-    return requests.join(verdicts, "id")
+    told = verdicts.withColumnRenamed("seq", "_seq")
+    return (
+        requests.join(told, requests[seq] == told["_seq"], "left")
+        .withColumn("outcome", F.coalesce("outcome", F.lit(UNORDERED)))
+        .drop("_seq")
+    )
 
 
 def accepted_bookings(admitted: DataFrame) -> DataFrame:

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from limnos.operators.joins import live
 
-# Rows up to which a dimension travels inside the plan as a literal map.
-SMALL_DIMENSION = 256
-
 
 def contains_all(col: str, wanted: Sequence[int]) -> Column:
     """Is every wanted id in the array? A null array contains nothing."""
@@ -21,13 +18,17 @@ def contains_all(col: str, wanted: Sequence[int]) -> Column:
 
 def search_rooms(
     rooms: DataFrame,
-    min_price: float = 0,
-    max_price: float = 200,
+    min_price: float | None = None,
+    max_price: float | None = None,
     features: Sequence[int] = (),
     badges: Sequence[int] = (),
 ) -> DataFrame:
-    """Live rooms in a closed price range that have all wanted features and badges; no ids, no filter."""
-    found = live(rooms).filter(F.col("price").between(min_price, max_price))
+    """Live rooms in a closed price range that have all wanted features and badges; no bound or no ids, no filter."""
+    found = live(rooms)
+    if min_price is not None:
+        found = found.filter(F.col("price") >= min_price)
+    if max_price is not None:
+        found = found.filter(F.col("price") <= max_price)
     if features:
         found = found.filter(contains_all("feature_ids", features))
     if badges:
@@ -35,28 +36,14 @@ def search_rooms(
     return found
 
 
-def enrich(
-    df: DataFrame, ids_col: str, dim: DataFrame, out: str, key: str = "id", small: int = SMALL_DIMENSION
-) -> DataFrame:
-    """Adds ``out``: the dimension rows for the ids in ``ids_col``, each once, by id; unknown ids drop out.
+def enrich(df: DataFrame, ids_col: str, dim: DataFrame, out: str, key: str = "id") -> DataFrame:
+    """Adds ``out``: the dimension rows for the ids in ``ids_col``, by id.
 
-    A dimension of at most ``small`` rows is looked up in place, without a shuffle of ``df``. A larger one is
-    joined on the exploded ids and gathered again per ``key``, which must be unique.
+    An id that is listed twice counts once, unknown and null ids drop out, and an id that the dimension holds twice gives both rows. ``key``
+    is unique in ``df``; rows without it get an empty list.
     """
     fields = ["id", *[c for c in dim.columns if c != "id"]]
-    shape = f"struct<{','.join(f'{c}:{dim.schema[c].dataType.simpleString()}' for c in fields)}>"
-    rows = dim.select(*fields).limit(small + 1).collect()
-    if len(rows) <= small:
-        ids = F.array_sort(F.array_distinct(F.col(ids_col)))
-        if not rows:
-            found = F.array().cast(f"array<{shape}>")
-        else:
-            pairs = [v for r in rows for v in (F.lit(r.id), F.struct(*[F.lit(r[c]).alias(c) for c in fields]))]
-            by_id = F.create_map(*pairs)
-            known = F.array(*[F.lit(r.id) for r in rows])
-            found = F.transform(F.array_intersect(ids, known), lambda i: F.element_at(by_id, i).cast(shape))
-        return df.withColumn(out, F.coalesce(found, F.array().cast(f"array<{shape}>")))
-
+    shape = f"array<struct<{','.join(f'{c}:{dim.schema[c].dataType.simpleString()}' for c in fields)}>>"
     links = df.select(F.col(key).alias("_key"), F.explode(F.array_distinct(F.col(ids_col))).alias("_id"))
     gathered = (
         links.join(dim.select(*fields), F.col("_id") == F.col("id"))
@@ -64,7 +51,7 @@ def enrich(
         .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(out))
     )
     joined = df.join(gathered, df[key] == gathered["_key"], "left").drop("_key")
-    return joined.withColumn(out, F.coalesce(out, F.array().cast(f"array<{shape}>")))
+    return joined.withColumn(out, F.coalesce(out, F.array().cast(shape)))
 
 
 def dimension_usage(dim: DataFrame, rooms: DataFrame, ids_col: str) -> DataFrame:

@@ -26,6 +26,17 @@ def with_defaults(df: DataFrame, defaults: Mapping[str, Column], key: Sequence[s
     return named.withColumn("id", natural_id(*key)) if key else named
 
 
+def keyed(new: DataFrame, key: Sequence[str], seq: str) -> tuple[DataFrame, DataFrame]:
+    """Split ``new`` into rows with an ``id`` from their natural ``key`` and rows set apart with a ``reason``.
+
+    A key with a null in it names nothing, and of rows with one key only the first by ``seq`` gets its id, so ids are unique.
+    """
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in key])
+    unnamed = new.filter(missing).withColumn("reason", F.lit("no natural key"))
+    first, again = insert_unique(new.limit(0), new.filter(~missing), {"natural key repeated": key}, seq)
+    return first.withColumn("id", natural_id(*key)), unnamed.unionByName(again)
+
+
 def insert_unique(
     base: DataFrame, new: DataFrame, keys: Mapping[str, Sequence[str]], seq: str
 ) -> tuple[DataFrame, DataFrame]:
@@ -50,9 +61,9 @@ def insert_unique(
     accepted: list[DataFrame] = []
     rejected: list[DataFrame] = []
     pending = new
-    for reason, cols in keys.items():
+    for cols in keys.values():
         known = base.select(*cols)
-        rejected.append(pending.join(known, list(cols), "left_semi").select(*columns, F.lit(reason).alias("reason")))
+        rejected.append(pending.join(known, list(cols), "left_semi").select(*columns))
         pending = pending.join(known, list(cols), "left_anti").select(*columns)
     pending = settle(pending, "pending")
     while not pending.isEmpty():
@@ -71,10 +82,26 @@ def insert_unique(
             rest = rest.join(taken, list(cols), "left")
             hit = F.col(f"_t_{reason}")
             clash = F.when(hit, reason) if clash is None else clash.when(hit, reason)
-        rest = settle(rest.withColumn("reason", clash).select(*columns, "reason"), "rest")
-        rejected.append(rest.filter(F.col("reason").isNotNull()))
-        pending = rest.filter(F.col("reason").isNull()).drop("reason")
-    return _union(accepted or [pending]), _union(rejected)
+        rest = settle(rest.withColumn("_clash", clash).select(*columns, "_clash"), "rest")
+        rejected.append(rest.filter(F.col("_clash").isNotNull()).drop("_clash"))
+        pending = rest.filter(F.col("_clash").isNull()).drop("_clash")
+    taken = settle(_union(accepted or [pending]), "accepted")
+    return taken, _with_reason(_union(rejected), base, taken, keys, seq)
+
+
+def _with_reason(
+    refused: DataFrame, base: DataFrame, accepted: DataFrame, keys: Mapping[str, Sequence[str]], seq: str
+) -> DataFrame:
+    """The first key, in the order of ``keys``, that the base or a row accepted earlier has."""
+    judged, reason = refused, None
+    for i, (name, cols) in enumerate(keys.items()):
+        held = base.select(*cols).dropna().distinct().withColumn(f"_by{i}", F.lit(None).cast(accepted.schema[seq].dataType))
+        own = accepted.dropna(subset=list(cols)).select(*cols, F.col(seq).alias(f"_by{i}"))
+        holders = held.unionByName(own).withColumn(f"_held{i}", F.lit(True))
+        judged = judged.join(settle(holders, "holders"), list(cols), "left")
+        hit = F.col(f"_held{i}") & (F.col(f"_by{i}").isNull() | (F.col(f"_by{i}") < F.col(seq)))
+        reason = F.when(hit, name) if reason is None else reason.when(hit, name)
+    return judged.withColumn("reason", reason).select(*refused.columns, "reason")
 
 
 def _firsts(df: DataFrame, cols: Sequence[str], seq: str) -> DataFrame:

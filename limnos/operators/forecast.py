@@ -21,23 +21,21 @@ Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
 def chrono_split(
-    df: DataFrame,
-    by: str = "place",
-    order: Sequence[str] = ("time", "id"),
-    share: float = HISTORY_SHARE,
-    max_rows: int | None = None,
-    hot: int = HOT,
+    df: DataFrame, by: str = "place", order: Sequence[str] = ("time", "id"), share: float = HISTORY_SHARE, hot: int = HOT
 ) -> DataFrame:
-    """Adds ``n``, ``part`` (``history`` for the first ``floor(n * share)`` rows of a station, else ``predict``)
-    and ``is_last``, true for the last history row.
-
-    ``max_rows`` keeps only the first rows of each station before the split.
-    """
-    if max_rows is not None:
-        df = mark_first(df, [by], order, max_rows, hot=hot).filter("is_first").drop("n", "is_first")
-    marked = mark_first(df, [by], order, F.floor(F.col("n") * F.lit(share)), kth="is_last", hot=hot)
+    """Adds ``n``, ``n_history`` (``floor(n * share)``), ``part`` (``history`` for the first ``n_history`` rows of a station, else
+    ``predict``) and ``is_last``, true for the last history row."""
+    history = F.floor(F.col("n") * F.lit(share))
+    marked = mark_first(df, [by], order, history, kth="is_last", hot=hot)
     part = F.when(F.col("is_first"), "history").otherwise("predict")
-    return marked.withColumn("part", part).drop("is_first")
+    return marked.withColumn("n_history", history).withColumn("part", part).drop("is_first")
+
+
+def first_rows(
+    df: DataFrame, rows: int, by: str = "place", order: Sequence[str] = ("time", "id"), hot: int = HOT
+) -> DataFrame:
+    """A filter of its own: only the first ``rows`` rows of every station."""
+    return mark_first(df, [by], order, rows, hot=hot).filter("is_first").drop("n", "is_first")
 
 
 def split_status(split: DataFrame, by: str = "place") -> DataFrame:
@@ -52,7 +50,7 @@ def split_status(split: DataFrame, by: str = "place") -> DataFrame:
 
 def last_history(split: DataFrame) -> DataFrame:
     """The last history row of each station that has one."""
-    return split.filter("is_last").drop("n", "part", "is_last")
+    return split.filter("is_last").drop("n", "n_history", "part", "is_last")
 
 
 def feature_vector(cols: Sequence[str] = FEATURES) -> Column:
@@ -69,56 +67,55 @@ def forecast(
     df: DataFrame,
     scorer: Callable[[DataFrame], DataFrame] | Column,
     share: float = HISTORY_SHARE,
-    max_rows: int | None = None,
     hot: int = HOT,
 ) -> DataFrame:
     """Rows ``(place, time, id, predicted_wqi)`` for the part to predict of every station that has history.
 
     ``scorer`` is a column over the row to score, or a function from the split (columns of
-    ``df`` plus ``n`` and ``part``) to scored rows with ``predicted_wqi``.
+    ``df`` plus ``n``, ``n_history`` and ``part``) to scored rows with ``predicted_wqi``.
     """
-    split = chrono_split(df, share=share, max_rows=max_rows, hot=hot)
+    split = chrono_split(df, share=share, hot=hot)
     if isinstance(scorer, Column):
-        scored = to_predict(split, share).withColumn("predicted_wqi", scorer)
+        scored = to_predict(split).withColumn("predicted_wqi", scorer)
     else:
         scored = scorer(split)
     return scored.select("place", "time", "id", "predicted_wqi")
 
 
-def to_predict(split: DataFrame, share: float = HISTORY_SHARE) -> DataFrame:
+def to_predict(split: DataFrame) -> DataFrame:
     """Rows to score, without stations whose history is empty."""
-    return split.filter((F.col("part") == "predict") & (F.floor(F.col("n") * F.lit(share)) >= 1))
+    return split.filter((F.col("part") == "predict") & (F.col("n_history") >= 1))
 
 
 # Sums for the station scorers are taken over whole numbers in decimals: exact, so the
 # result does not depend on the order in which tasks finish.
-_UNITS = 10_000
+DECIMALS = 4
 
 
-def _units(target: str) -> Column:
-    return F.round(F.col(target) * _UNITS).cast("decimal(20,0)")
+def _units(target: str, decimals: int) -> Column:
+    return F.round(F.col(target) * 10**decimals).cast("decimal(20,0)")
 
 
-def mean_scorer(target: str) -> Callable[[DataFrame], DataFrame]:
-    """Predict the mean of the station's history."""
+def mean_scorer(target: str, decimals: int = DECIMALS) -> Callable[[DataFrame], DataFrame]:
+    """Predict the mean of the station's history. The target is read to ``decimals`` places, all that the index has."""
 
     def score(split: DataFrame) -> DataFrame:
         history = split.filter((F.col("part") == "history") & F.col(target).isNotNull())
         means = history.groupBy("place").agg(
-            (F.sum(_units(target)).cast("double") / F.count("*") / F.lit(float(_UNITS))).alias("predicted_wqi")
+            (F.sum(_units(target, decimals)).cast("double") / F.count("*") / F.lit(float(10**decimals))).alias("predicted_wqi")
         )
         return to_predict(split).join(settle(means, "means"), "place", "left")
 
     return score
 
 
-def trend_scorer(target: str) -> Callable[[DataFrame], DataFrame]:
-    """Predict with the least-squares line of the station's history over days."""
+def trend_scorer(target: str, decimals: int = DECIMALS) -> Callable[[DataFrame], DataFrame]:
+    """Predict with the least-squares line of the station's history over days. The target is read to ``decimals`` places."""
 
     def score(split: DataFrame) -> DataFrame:
         day = F.datediff(F.col("time").cast("date"), F.lit("1970-01-01").cast("date"))
         x = day.cast("decimal(10,0)")
-        y = _units(target)
+        y = _units(target, decimals)
         history = split.filter((F.col("part") == "history") & F.col(target).isNotNull() & day.isNotNull())
         sums = history.groupBy("place").agg(
             F.count("*").cast("decimal(12,0)").alias("c"),
@@ -137,7 +134,7 @@ def trend_scorer(target: str) -> Callable[[DataFrame], DataFrame]:
             ),
         )
         scored = to_predict(split).join(settle(lines, "lines"), "place", "left")
-        value = (F.col("intercept") + F.col("slope") * day.cast("double")) / F.lit(float(_UNITS))
+        value = (F.col("intercept") + F.col("slope") * day.cast("double")) / F.lit(float(10**decimals))
         return scored.withColumn("predicted_wqi", value)
 
     return score

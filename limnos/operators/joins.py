@@ -15,9 +15,9 @@ from limnos.functions.text import epoch_time
 
 
 def live(df: DataFrame) -> DataFrame:
-    """Rows that are not soft-deleted, by ``is_deleted`` where there is one, else by ``deleted_at``."""
+    """Rows that are not soft-deleted, by ``is_deleted`` where there is one (null: not deleted), else by ``deleted_at``."""
     if "is_deleted" in df.columns:
-        return df.filter(~F.col("is_deleted"))
+        return df.filter(~F.coalesce(F.col("is_deleted"), F.lit(False)))
     return df.filter(F.col("deleted_at").isNull()) if "deleted_at" in df.columns else df
 
 

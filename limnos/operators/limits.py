@@ -49,11 +49,12 @@ def flag_limited(
     limit: int = DEFAULT_LIMIT,
     period: int = DEFAULT_PERIOD,
     hot: int = HOT,
+    event: str = "event_id",
 ) -> DataFrame:
-    """Adds ``limited``: the request comes after ``limit`` others in its window."""
+    """Adds ``limited``: the request comes after ``limit`` others in its window, by time and ``event``."""
     keyed = windowed(requests, limit, period)
     key = ["user_id", "path", "window_start", "limit"]
-    marked = mark_first(keyed, key, ["ts", "event_id"], F.col("limit"), out="allowed", hot=hot)
+    marked = mark_first(keyed, key, ["ts", event], F.col("limit"), out="allowed", hot=hot)
     return marked.withColumn("limited", ~F.col("allowed")).drop("allowed", "n")
 
 

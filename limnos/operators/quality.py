@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from limnos.operators.quantiles import exact_quantiles
-from limnos.session import settle
+from limnos.session import HOT, settle
 
 # Patterns.
 USERNAME_PATTERN = r"^[a-z0-9]+$"
@@ -81,10 +81,25 @@ def booking_rules() -> dict[str, Column]:
     return rules | {"interval": F.col("check_in") < F.col("check_out")}
 
 
+def booking_update_rules() -> dict[str, Column]:
+    """Rules for a change of a booking: every field may be left out, and a stay that is given ends after it starts."""
+    return {"interval": F.col("check_in") < F.col("check_out")}
+
+
 def room_rules() -> dict[str, Column]:
     return {f"{c}_required": required(c) for c in ROOM_REQUIRED}
 
 
+# Fields that a change of a booking or a room may carry.
+BOOKING_UPDATABLE = ["check_in", "check_out", "total_price", "status", "guest_name", "guest_contact_number", "guest_email", "number_of_guests"]
+ROOM_UPDATABLE = ["name", "description", "image_2d", "image_3d", "price", "from_date", "to_date", "status", "feature_ids", "badge_ids"]
+
+
+def extra_fields(payload: str, allowed: Sequence[str]) -> Column:
+    """Names in a map column ``payload`` that are not ``allowed``, in order: a closed list of fields, checked row by row."""
+    return F.array_sort(F.array_except(F.map_keys(payload), F.array(*[F.lit(c) for c in allowed]).cast("array<string>")))
+
+
 def check(df: DataFrame, rules: Mapping[str, Column], allowed: Sequence[str] | None = None) -> DataFrame:
     """Adds ``broken``: names of the rules a row breaks, in rule order. A rule that gives null holds.
 
@@ -98,23 +113,20 @@ def check(df: DataFrame, rules: Mapping[str, Column], allowed: Sequence[str] | N
     return df.withColumn("broken", F.array_compact(F.array(*named)))
 
 
-def profile(df: DataFrame, cols: Sequence[str], approximate: bool = False) -> DataFrame:
-    """One row per column: count, mean, spread, extremes, quartiles and distinct values.
+def profile(df: DataFrame, cols: Sequence[str], approximate: bool = False, hot: int = HOT) -> DataFrame:
+    """One row per numeric column: count, mean, spread, extremes, quartiles and distinct values.
 
-    Quartiles interpolate between neighbours and are exact: they come from the counts of each value, written once
-    and searched by the ranges they fall into. ``approximate`` settles for one pass with sketches.
+    The table is read once, into the counts of each value; everything else comes from the counts. Quartiles interpolate
+    between neighbours and are exact. NaN counts as the largest number. ``approximate`` settles for one pass with sketches.
     """
     long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in cols], "metric", "value").filter(
         F.col("value").isNotNull()
     )
-    basic = [
-        F.count("*").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    ]
     if approximate:
+        basic = [
+            F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+            F.min("value").alias("min"), F.max("value").alias("max"),
+        ]
         quartiles = F.percentile_approx("value", [0.25, 0.5, 0.75], 10_000)
         return (
             long.groupBy("metric")
@@ -124,6 +136,38 @@ def profile(df: DataFrame, cols: Sequence[str], approximate: bool = False) -> Da
         )
     # Distinct values are counted in two steps, so no task keeps one metric's whole value set.
     counts = settle(long.groupBy("metric", "value").agg(F.count("*").alias("c")), "counts")
-    distinct = counts.groupBy("metric").agg(F.count("*").alias("n_distinct"))
-    quartiles = exact_quantiles(counts, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    return long.groupBy("metric").agg(*basic).join(distinct, "metric").join(quartiles, "metric")
+    times = F.col("c").cast("double")
+    sums = settle(
+        counts.groupBy("metric").agg(
+            F.sum("c").alias("n"),
+            (F.sum(F.col("value") * times) / F.sum(times)).alias("mean"),
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+            F.count("*").alias("n_distinct"),
+        ),
+        "sums",
+    )
+    # Deviations are taken from the mean, so that large values do not swallow a small spread.
+    apart = F.pow(F.col("value") - F.col("mean"), 2) * times
+    spread = counts.join(sums.select("metric", "mean"), "metric").groupBy("metric").agg(F.sum(apart).alias("_apart"))
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("_apart") / (F.col("n") - 1)))
+    quartiles = exact_quantiles(counts, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, hot)
+    return sums.join(spread, "metric").withColumn("std", std).drop("_apart").join(quartiles, "metric")
+
+
+def profile_text(df: DataFrame, cols: Sequence[str], top: int = 5) -> DataFrame:
+    """One row per column of any type that reads as text: rows with a value, without, distinct values, and the ``top`` most frequent
+    values with their numbers, the most frequent first, then by value."""
+    long = df.unpivot([], [F.col(c).cast("string").alias(c) for c in cols], "column", "value")
+    counts = settle(long.groupBy("column", "value").agg(F.count("*").alias("c")), "counts")
+    given = F.col("value").isNotNull()
+    sums = counts.groupBy("column").agg(
+        F.coalesce(F.sum(F.when(given, F.col("c"))), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when(~given, F.col("c"))), F.lit(0)).alias("n_null"),
+        F.count("value").alias("n_distinct"),
+    )
+    by_number = Window.partitionBy("column").orderBy(F.desc("c"), "value")
+    first = counts.filter(given).withColumn("_n", F.row_number().over(by_number)).filter(F.col("_n") <= top)
+    told = F.array_sort(F.collect_list(F.struct("_n", "value", "c")))
+    tops = first.groupBy("column").agg(F.transform(told, lambda t: F.struct(t["value"], t["c"])).alias("top"))
+    return sums.join(tops, "column", "left")

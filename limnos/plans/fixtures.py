@@ -30,6 +30,31 @@ OBS = (
     ],
 )
 
+# Observations known by a text.
+OBS_TEXT_ID = ("orders", ["md5(cast(o_orderkey as string)) as id", *OBS[1][1:]])
+
+# Observations with a time of day, so that no two of a station share their time.
+OBS_TIMED = (
+    "orders",
+    [
+        OBS[1][0],
+        "o_orderdate + interval '1' second * (o_orderkey % 86400) as time",
+        "concat(cast(o_custkey % 37 + 1 as string), '.0') as place",
+        "concat('Station ', cast(o_custkey % 37 + 1 as string)) as location",
+        *OBS[1][4:],
+    ],
+)
+
+# Numbers with infinities on either side.
+UNBOUNDED = (
+    "orders",
+    [
+        "case when o_orderkey % 997 = 3 then cast('Infinity' as double) when o_orderkey % 991 = 5"
+        " then cast('-Infinity' as double) else (o_orderkey * 37 % 5001) / 8.0e0 end as level",
+        "(o_orderkey % 400) / 4.0e0 as depth",
+    ],
+)
+
 _RAW_SHARED = [
     "o_orderkey as src_line",
     "case when o_orderkey % 29 = 0 then 'bad date' else concat(lpad(cast(1 + o_orderkey % 28 as string), 2, '0'), '/',"
@@ -126,6 +151,17 @@ ROOMS_FLAT = (
     ],
 )
 
+# Rooms of which some are deleted and some do not say.
+ROOMS_STATE = (
+    "part",
+    [
+        "p_partkey as id",
+        "p_name as name",
+        "p_retailprice as price",
+        "case when p_partkey % 17 = 0 then true when p_partkey % 5 = 0 then null else false end as is_deleted",
+    ],
+)
+
 USERS = (
     "customer",
     [
@@ -156,6 +192,27 @@ REQUESTS = ("events", ["event_id", "user_id", "ts", "concat('/api/v1/', event_ty
 # New accounts asked for by orders: many of the names are in use, and most are asked for more than once.
 SIGN_UPS = ("orders", ["o_orderkey as seq", "concat('user', cast(o_custkey * 2 as string)) as username"])
 
+# New accounts with two names that must be free.
+SIGN_UPS_TWO = (
+    "customer",
+    [
+        "c_custkey as seq",
+        "concat('user', cast(c_custkey * 7 % 900 + 1000 as string)) as username",
+        "concat('user', cast(c_custkey * 3 % 1100 + 1100 as string), '@example.com') as email",
+    ],
+)
+
+# Changes of bookings: most leave the stay out.
+BOOKING_CHANGES = (
+    "orders",
+    [
+        "o_orderkey as id",
+        "case when o_orderkey % 3 = 0 then o_orderdate end as check_in",
+        "case when o_orderkey % 4 < 3 then o_orderdate + interval '1' day * (o_orderkey % 5 - 1) end as check_out",
+        "case when o_orderkey % 7 = 0 then 'secret' when o_orderkey % 7 = 1 then 'status' else 'guest_name' end as field",
+    ],
+)
+
 USER_CHANGES = (
     "orders",
     [

@@ -11,6 +11,8 @@ ORACLE: dict[str, str] = {}
 _METRICS = "ph, do_, conductivity, n_no2, n_nh4, p_po4, tss, cod, aeromonas_total"
 
 _OBS = f"obs as ({fx.as_sql(fx.OBS)})"
+_OBS_TEXT = f"obs as ({fx.as_sql(fx.OBS_TEXT_ID)})"
+_OBS_TIMED = f"obs as ({fx.as_sql(fx.OBS_TIMED)})"
 _RAW = f"raw as ({fx.as_sql(fx.RAW_OBS)})"
 _WIDE = f"raw as ({fx.as_sql(fx.RAW_WIDE)})"
 _BOOKINGS = f"bookings as ({fx.as_sql(fx.BOOKINGS)})"
@@ -120,6 +122,13 @@ _PARSED = ", ".join(
     f"{_NUMBER.format('(' + _PLAIN.format(c) + ')')} as {c}"
     for c in ["ph", "do_", "conductivity", "n_no2", "n_nh4", "p_po4", "tss", "cod"]
 )
+
+
+def _told(*parts: str) -> str:
+    """The text that an id is hashed from."""
+    return "concat(" + ", ".join(f"coalesce(length({p}) || ':' || {p}, '-')" for p in parts) + ")"
+
+
 _CLEANED = f"""
 cleaned as (
   select src_line, cast(try_strptime(obs_date, '%d/%m/%Y') as date) as d,
@@ -128,13 +137,30 @@ cleaned as (
   from raw
   where {_GOOD_COORD} and {' and '.join(f'{c} is not null' for c in _METRICS.split(', '))}),
 warehouse as (
-  select md5(concat_ws('|', coalesce(cast(d as string), ''), place, cast(src_line as string))) as id,
-    cast(cast(d as timestamp) as string) as time, place, location, {_METRICS},
+  select src_line, md5({_told("cast(d as string)", "place", "cast(src_line as string)")}) as id,
+    d, cast(cast(d as timestamp) as string) as time, place, location, {_METRICS},
     wqi as actual_wqi, wqi as predicted_wqi
   from cleaned
   where wqi is not null and {' and '.join(f'{c} is not null' for c in _METRICS.split(', '))})"""
-ORACLE["ingest_observations"] = f"with {_WIDE}, {_CLEANED} select * from warehouse"
-ORACLE["ingest_csv"] = f"with {_WIDE}, {_CLEANED} select * exclude (id) from warehouse"
+ORACLE["ingest_observations"] = f"with {_WIDE}, {_CLEANED} select * exclude (src_line, d) from warehouse"
+ORACLE["ingest_csv"] = f"""
+with {_WIDE}, {_CLEANED},
+lines as (select src_line, cast(src_line % 3 as string) as part,
+  cast(row_number() over (partition by src_line % 3 order by src_line) - 1 as string) as line from raw)
+select w.* exclude (src_line, d) replace (md5({_told("cast(w.d as string)", "w.place", "l.part", "l.line")}) as id)
+from warehouse w join lines l using (src_line)
+"""
+ORACLE["keyset_walk"] = f"""
+with {_WIDE}, {_CLEANED}, both_ways as (
+  select id, 'up' as direction, row_number() over (order by d nulls last, id) as rn from warehouse
+  union all
+  select id, 'down', row_number() over (order by d desc nulls last, id desc) from warehouse)
+select id, direction, cast((rn - 1) // 2500 as int) as page from both_ways
+"""
+ORACLE["warehouse_station_page"] = f"""
+with {_OBS} select * from obs where place = '24.0' and year(time) between 1995 and 1997
+order by time, id limit 10 offset 10
+"""
 
 ORACLE["profile"] = f"""
 with {_OBS}, long as (unpivot (select {_METRICS} from obs) on {_METRICS} into name metric value value)
@@ -144,6 +170,24 @@ select metric, count(*) as n, round(avg(value), 6) as mean, round(stddev_samp(va
   round(quantile_cont(value, 0.75), 6) as p75
 from long group by metric
 """
+_UNBOUNDED = f"""
+with obs as ({fx.as_sql(fx.UNBOUNDED)}), long as (unpivot (select level, depth from obs) on level, depth into name metric value value)
+select metric, count(*) as n, count(distinct value) as n_distinct, min(value) as min, max(value) as max,
+  round(quantile_cont(value, 0.25), 6) as p25, round(quantile_cont(value, 0.5), 6) as p50,
+  round(quantile_cont(value, 0.75), 6) as p75
+from long group by metric
+"""
+ORACLE["profile_with_infinity"] = _UNBOUNDED
+ORACLE["profile_with_infinity_hot"] = _UNBOUNDED
+ORACLE["profile_text"] = f"""
+with {_RAW}, long as (select 'coord' as "column", coord as value from raw union all select 'ph', ph from raw),
+counts as (select "column", value, count(*) as c from long group by all),
+ranked as (select *, row_number() over (partition by "column" order by c desc, value) as rn from counts where value is not null),
+tops as (select "column", string_agg(concat(value, '=', c), ';' order by rn) as top from ranked where rn <= 3 group by "column")
+select c."column", cast(coalesce(sum(c) filter (value is not null), 0) as bigint) as n,
+  cast(coalesce(sum(c) filter (value is null), 0) as bigint) as n_null, count(value) as n_distinct, any_value(t.top) as top
+from counts c left join tops t on t."column" = c."column" group by c."column"
+"""
 
 
 def _rules(source: str, rules: list[tuple[str, str]]) -> str:
@@ -193,6 +237,16 @@ ORACLE["booking_field_rules"] = _rules(
     ],
 )
 
+ORACLE["booking_update_rules"] = f"""
+with changes as ({fx.as_sql(fx.BOOKING_CHANGES)})
+select id, case when check_in >= check_out then 'interval' else '' end as broken,
+  case when field = 'secret' then field else '' end as extra
+from changes
+"""
+ORACLE["room_field_rules"] = """
+select p_partkey as id, case when p_partkey % 3 > 0 then '' else 'description_required' end as broken from part
+"""
+
 # --- readings ----------------------------------------------------------------------------
 
 _TOPICS = {
@@ -223,6 +277,21 @@ ORACLE["unpivot_readings"] = f"with {_OBS}, {_READINGS} select id, place, time,
 ORACLE["publish_decode_roundtrip"] = f"with {_OBS}, {_READINGS} select topic, place, time, value from readings"
 ORACLE["correlate_pivot"] = _CORRELATED
 ORACLE["correlate_join_chain"] = _CORRELATED
+ORACLE["correlate_latest"] = f"""
+with {_OBS} select * exclude (location) replace (case when id % 7 = 0 then ph + 1 else ph end as ph) from obs
+"""
+ORACLE["correlate_ambiguous"] = f"""
+with {_OBS}, {_READINGS}
+select place, time, topic, count(distinct value) as n_values from readings group by place, time, topic
+having count(distinct value) > 1
+"""
+_STATION_TIME = _told("cast(time as string)", "place")
+ORACLE["stream_ingest"] = f"""
+with {_OBS_TIMED}, {_INDEXED}, loaded as (
+  select md5({_STATION_TIME}) as id, time, place, location, {_METRICS}, wqi as actual_wqi, wqi as predicted_wqi
+  from indexed where time >= timestamp '1995-01-01')
+select * from loaded where place = '24.0' order by time, id limit 50 offset 50
+"""
 ORACLE["stream_correlate_wqi"] = f"with {_OBS}, {_INDEXED} select id, place, time, {_METRICS}, wqi from indexed"
 _CLEAN_PATH = "replace(trim(path, '/'), '/', '_')"
 ORACLE["stream_request_windows"] = f"""
@@ -255,6 +324,7 @@ with {_OBS} select * from obs where time > timestamp '1998-01-01' or (time = tim
 order by time, id limit 25
 """
 ORACLE["deep_page"] = f"with {_OBS} select * from obs order by time, id limit 20 offset 800"
+ORACLE["deep_page_text_id"] = f"with {_OBS_TEXT} select * from obs order by time desc, id limit 20 offset 800"
 ORACLE["observation_by_id"] = f"with {_OBS} select * from obs where id = 7"
 
 # --- forecast ----------------------------------------------------------------------------
@@ -269,6 +339,11 @@ _SPLIT_INDEXED = _SPLIT.format("indexed")
 
 ORACLE["chrono_split"] = f"with {_OBS}, {_SPLIT_OBS} select id, place, time, n, part from split"
 ORACLE["chrono_split_hot"] = ORACLE["chrono_split"]
+ORACLE["chrono_split_text_id"] = f"""
+with {_OBS_TEXT}, {_SPLIT_OBS}
+select id, place, time, n, cast(floor(n * 0.8e0) as bigint) as n_history, part from split
+"""
+ORACLE["chrono_split_text_id_hot"] = ORACLE["chrono_split_text_id"]
 ORACLE["split_status"] = f"""
 with {_OBS}, {_SPLIT_OBS}
 select place, count(*) filter (part = 'history') as n_history, count(*) filter (part = 'predict') as n_predict,
@@ -290,14 +365,21 @@ ORACLE["forecast_index"] = f"""
 with {_OBS}, {_INDEXED}, {_SPLIT_INDEXED} select place, time, id, wqi as predicted_wqi from split where {_SCORABLE}
 """
 _UNIT_SUM = "cast(sum(cast(round(wqi * 10000) as decimal(20,0))) as double)"
-ORACLE["forecast_mean"] = f"""
-with {_OBS}, {_INDEXED}, {_SPLIT_INDEXED}, means as (
+
+
+def _mean(rows: str, share: str) -> str:
+    return f"""
+with {_OBS}, {_INDEXED}, few as (select * from indexed where {rows}), {_SPLIT.format("few").replace("0.8e0", share)}, means as (
   select place, {_UNIT_SUM} / count(*) / 10000e0 as m from split
   where part = 'history' and wqi is not null group by place)
-select s.place, s.time, s.id, m.m as predicted_wqi from split s left join means m using (place) where {_SCORABLE}
+select s.place, s.time, s.id, m.m as predicted_wqi from split s left join means m using (place)
+where {_SCORABLE.replace("0.8e0", share)}
 """
-ORACLE["forecast_trend"] = f"""
-with {_OBS}, {_INDEXED}, {_SPLIT_INDEXED},
+
+
+def _trend(share: str) -> str:
+    return f"""
+with {_OBS}, {_INDEXED}, {_SPLIT_INDEXED.replace("0.8e0", share)},
 days as (select *, date_diff('day', date '1970-01-01', cast(time as date)) as x,
     cast(round(wqi * 10000) as hugeint) as y from split),
 sums as (select place, cast(count(*) as hugeint) as c, sum(cast(x as hugeint)) as sx, sum(y) as sy,
@@ -308,8 +390,14 @@ slopes as (select *, cast(c * sxy - sx * sy as double) / nullif(cast(c * sxx - s
 lines as (select place, slope, (cast(sy as double) - slope * cast(sx as double)) / cast(c as double) as intercept
   from slopes)
 select d.place, d.time, d.id, (l.intercept + l.slope * cast(d.x as double)) / 10000e0 as predicted_wqi
-from days d left join lines l using (place) where {_SCORABLE}
+from days d left join lines l using (place) where {_SCORABLE.replace("0.8e0", share)}
 """
+
+
+ORACLE["forecast_mean"] = _mean("true", "0.8e0")
+ORACLE["forecast_mean_share"] = _mean("id % 97 < 5", "0.25e0")
+ORACLE["forecast_trend"] = _trend("0.8e0")
+ORACLE["forecast_trend_share"] = _trend("0.25e0")
 ORACLE["forecast_model"] = f"""
 with {_OBS}, {_SPLIT_OBS}
 select place, time, id, cast(cast(do_ as float) * cast(8.0 as float) + cast(n_nh4 as float) * cast(-4.0 as float)
@@ -343,6 +431,9 @@ ORACLE["room_search"] = f"""
 with {_ROOMS} select id, name, price from rooms
 where price between 910 and 980 and list_has_all(feature_ids, [3]) and list_has_all(badge_ids, [4])
 """
+ORACLE["room_search_live"] = f"""
+with rooms as ({fx.as_sql(fx.ROOMS_STATE)}) select id, name, price from rooms where is_deleted is distinct from true
+"""
 ORACLE["room_search_page"] = f"""
 with {_ROOMS}, {_DIMS}, r as (
   select * from rooms where price between 910 and 980 and list_has_all(feature_ids, [3])
@@ -350,8 +441,11 @@ with {_ROOMS}, {_DIMS}, r as (
 {_ENRICH} from r
 """
 ORACLE["room_enriched"] = f"with {_ROOMS}, {_DIMS} {_ENRICH} from rooms r"
-ORACLE["room_enriched_by_join"] = f"""
-with {_ROOMS}, {_DIMS} select r.id, {_gathered('r', 'feature_ids', 'features')} as features from rooms r
+ORACLE["room_enriched_odd"] = f"""
+with {_ROOMS}, {_DIMS}, twice as (select * from features union all values (3, 'again'))
+select r.id, coalesce((select string_agg(concat(d.id, ':', d.name), ';' order by d.id, d.name) from twice d
+  where list_contains(r.feature_ids, d.id)), '') as features
+from rooms r
 """
 ORACLE["dimension_list"] = f"""
 with {_ROOMS}, {_DIMS}
@@ -451,11 +545,30 @@ select username, seq, case when rn > 1 or username in (select username from user
   then 'username not available' else 'accepted' end as reason
 from ranked
 """
+ORACLE["insert_unique_two_keys"] = f"""
+with recursive {_USERS}, new as ({fx.as_sql(fx.SIGN_UPS_TWO)}),
+queue as (
+  select *, row_number() over (order by seq) as rn, email in (select email from users) as e_known,
+    username in (select username from users) as u_known from new),
+walk(rn, seq, username, email, reason, emails, names) as (
+  select cast(0 as bigint), cast(0 as bigint), '', '', '', cast([] as varchar[]), cast([] as varchar[])
+  union all
+  select rn, seq, username, email, reason, case when reason = 'accepted' then list_append(emails, email) else emails end,
+    case when reason = 'accepted' then list_append(names, username) else names end
+  from (select q.rn, q.seq, q.username, q.email, w.emails, w.names,
+      case when q.e_known or list_contains(w.emails, q.email) then 'email is already registered'
+        when q.u_known or list_contains(w.names, q.username) then 'username not available' else 'accepted' end as reason
+    from walk w join queue q on q.rn = w.rn + 1) step)
+select seq, username, email, reason from walk where rn > 0
+"""
 ORACLE["new_booking_defaults"] = f"""
-with forms as ({fx.as_sql(fx.BOOKING_FORMS)})
-select md5(concat_ws('|', cast(user_id as string), cast(room_id as string), coalesce(cast(check_in as string), '')))
-  as id, user_id, room_id, coalesce(status, 'booked') as status, coalesce(number_of_guests, 1) as number_of_guests
-from forms
+with forms as ({fx.as_sql(fx.BOOKING_FORMS)}),
+ranked as (select *, row_number() over (partition by user_id, room_id, check_in order by id) as rn from forms)
+select case when check_in is null or rn > 1 then 'none'
+    else md5({_told("cast(user_id as string)", "cast(room_id as string)", "cast(check_in as string)")}) end as id,
+  id as seq, user_id, room_id, coalesce(status, 'booked') as status, coalesce(number_of_guests, 1) as number_of_guests,
+  case when check_in is null then 'no natural key' when rn > 1 then 'natural key repeated' else 'new' end as reason
+from ranked
 """
 ORACLE["partial_update"] = f"""
 with {_USERS}, changes as ({fx.as_sql(fx.USER_CHANGES)}),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,9 +16,9 @@ from limnos.operators import bookings as stay
 from limnos.operators import catalog, changes, cleaning, correlate, forecast, joins, limits, paging, quality, stations
 from limnos.operators.ordered import forward_fill, sort_columns
 from limnos.plans import fixtures as fx
-from limnos.schemas import METRICS, SOURCE_COLUMNS
-from limnos.session import new_path
-from limnos.sources import files, readings, seed
+from limnos.schemas import METRICS, SOURCE_COLUMNS, WATER_QUALITY
+from limnos.session import new_path, settle
+from limnos.sources import files, readings, seed, warehouse
 from limnos.streaming import jobs, sink
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,13 +108,37 @@ def ingest_observations(spark, sf):
 
 @query
 def ingest_csv(spark, sf):
-    """The same through a CSV file with the source's own headers."""
+    """The same through three CSV files with the source's own headers. A row is known by its file and its place there."""
     headers = {new: old for old, new in SOURCE_COLUMNS.items()}
     path = new_path(spark, "raw-csv")
-    wide = fx.fixture(spark, sf, fx.RAW_WIDE)
-    files.write_raw(wide.select(*[F.col(c).alias(headers[c]) for c in headers]), path)
-    rows = cleaning.to_warehouse(cleaning.clean(files.read_raw(spark, path)))
-    return rows.drop("id").withColumn("time", F.col("time").cast("string"))
+    wide = fx.fixture(spark, sf, fx.RAW_WIDE).withColumn("part", F.col("src_line") % 3)
+    # One partition per part, so that a part is one file.
+    parts = wide.repartition(3, "part").sortWithinPartitions("part", "src_line")
+    files.write_raw(parts.select("part", *[F.col(c).alias(headers[c]) for c in headers]), path, by=["part"])
+    name = F.regexp_extract("_metadata.file_path", "part=([0-9]+)/", 1)
+    rows = cleaning.to_warehouse(cleaning.clean(files.read_raw(spark, f"{path}/*/", name=name)))
+    return rows.withColumn("time", F.col("time").cast("string"))
+
+
+@query
+def keyset_walk(spark, sf):
+    """All pages of the cleaned observations in both directions; rows without a time come last."""
+    rows = settle(cleaning.to_warehouse(cleaning.clean(fx.fixture(spark, sf, fx.RAW_WIDE))).select("id", "time"), "walked")
+    pages = [
+        page.select("id", F.lit(name).alias("direction"), F.lit(number).alias("page"))
+        for name, order in (("up", ["time", "id"]), ("down", ["-time", "-id"]))
+        for number, page in enumerate(paging.keyset_walk(rows, order, 2500))
+    ]
+    return reduce(DataFrame.unionByName, pages)
+
+
+@query
+def warehouse_station_page(spark, sf):
+    """Saved by year, read back, and a page of one station's rows of some years."""
+    target = new_path(spark, "warehouse")
+    warehouse.save(_obs(spark, sf), target)
+    recent = warehouse.load(spark, target).filter(F.col("year").between(1995, 1997)).drop("year")
+    return stations.station_page(recent, 24, number=2, items=10)
 
 
 @query
@@ -122,6 +147,30 @@ def profile(spark, sf):
     return table.withColumns({c: F.round(c, 6) for c in ("mean", "std", "p25", "p50", "p75")})
 
 
+def _unbounded(spark, sf, **options):
+    table = quality.profile(fx.fixture(spark, sf, fx.UNBOUNDED), ["level", "depth"], **options)
+    return table.select("metric", "n", "n_distinct", "min", "max", *[F.round(c, 6).alias(c) for c in ("p25", "p50", "p75")])
+
+
+@query
+def profile_with_infinity(spark, sf):
+    return _unbounded(spark, sf)
+
+
+@query
+def profile_with_infinity_hot(spark, sf):
+    """The same with every column treated as too large for one task."""
+    return _unbounded(spark, sf, hot=50)
+
+
+@query
+def profile_text(spark, sf):
+    """Coordinates as they come, with the most frequent ones."""
+    table = quality.profile_text(fx.fixture(spark, sf, fx.RAW_OBS), ["coord", "ph"], top=3)
+    tops = F.array_join(F.transform("top", lambda t: F.concat_ws("=", t["value"], t["c"].cast("string"))), ";")
+    return table.withColumn("top", tops)
+
+
 @query
 def user_field_rules(spark, sf):
     checked = quality.check(fx.fixture(spark, sf, fx.USER_FORMS), quality.user_rules())
@@ -134,6 +183,22 @@ def booking_field_rules(spark, sf):
     return checked.select("id", F.size("broken").alias("n_broken"), F.array_join("broken", ",").alias("broken"))
 
 
+@query
+def booking_update_rules(spark, sf):
+    """Rules for changes of bookings, and fields that a change may not carry."""
+    changes_ = fx.fixture(spark, sf, fx.BOOKING_CHANGES).withColumn("payload", F.create_map("field", F.lit("x")))
+    checked = quality.check(changes_, quality.booking_update_rules())
+    extra = quality.extra_fields("payload", quality.BOOKING_UPDATABLE)
+    return checked.select("id", F.array_join("broken", ",").alias("broken"), F.array_join(extra, ",").alias("extra"))
+
+
+@query
+def room_field_rules(spark, sf):
+    rooms = fx.rooms(spark, sf).withColumn("description", F.when(F.col("id") % 3 > 0, F.col("name")))
+    checked = quality.check(rooms, quality.room_rules(), allowed=[*quality.ROOM_UPDATABLE, "id"])
+    return checked.select("id", F.array_join("broken", ",").alias("broken"))
+
+
 # --- readings ----------------------------------------------------------------------------
 
 
@@ -145,7 +210,7 @@ def unpivot_readings(spark, sf):
 @query
 def publish_decode_roundtrip(spark, sf):
     sent = readings.to_messages(readings.to_readings(_obs(spark, sf)))
-    got = readings.good(readings.decode(sent))
+    got = readings.good(readings.decode(sent)).drop("location")
     return got.withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 
@@ -161,6 +226,40 @@ def correlate_join_chain(spark, sf):
     return correlate.correlate(long, key=["id", "place", "time"], mode="join")
 
 
+@query
+def correlate_latest(spark, sf):
+    """Every seventh observation has its pH sent again, once corrected and once stale; the highest offset wins."""
+    long = readings.to_readings(_obs(spark, sf), ids=["id", "place", "time"]).withColumn("offset", F.col("id") * 10 + 1)
+    again = long.filter("id % 7 = 0 and topic = 'ph_topic'")
+    corrected = again.select(*[c for c in long.columns if c not in ("value", "offset")], (F.col("value") + 1).alias("value"), (F.col("offset") + 1).alias("offset"))
+    stale = again.select(*[c for c in long.columns if c not in ("value", "offset")], F.lit(99.0).alias("value"), (F.col("offset") - 1).alias("offset"))
+    return correlate.correlate(long.unionByName(corrected).unionByName(stale), key=["id", "place", "time"], latest="offset")
+
+
+@query
+def correlate_ambiguous(spark, sf):
+    """Observations of a station share their day: without an order such readings are listed and not mixed."""
+    long = readings.to_readings(_obs(spark, sf), ids=["id", "place", "time"])
+    return correlate.ambiguous(long, ["place", "time"])
+
+
+@query
+def stream_ingest(spark, sf):
+    """Messages, read as a stream, become rows of the warehouse table; what comes later than the watermark is dropped."""
+    obs = fx.fixture(spark, sf, fx.OBS_TIMED).withColumn("time", F.col("time").cast("timestamp"))
+    messages, target, state = (new_path(spark, x) for x in ("messages", "warehouse", "warehouse-state"))
+    border = F.lit("1995-01-01").cast("timestamp")
+    for sent in (F.col("time") >= border, F.col("time") < border):
+        batch = readings.to_readings(obs.filter(sent), ids=["place", "location", "time"])
+        readings.publish_files(readings.to_messages(batch), messages)
+        decoded = readings.good(readings.decode(readings.read_files(spark, messages)))
+        rows = jobs.warehouse_stream(decoded, watermark="10 days")
+        # The second round's messages are older than the first round's watermark.
+        sink.start(rows, sink.batch_sink(target, "time"), state, available_now=True).awaitTermination()
+    loaded = sink.read_latest(spark, target, ["id"], WATER_QUALITY).drop("year")
+    return stations.station_page(loaded, 24, number=2, items=50).withColumn("time", F.col("time").cast("timestamp_ntz"))
+
+
 @query
 def stream_correlate_wqi(spark, sf):
     """Readings as a file stream, through watermark and keyed pivot into the batch sink."""
@@ -228,7 +327,13 @@ def keyset_page(spark, sf):
 @query
 def deep_page(spark, sf):
     """A page far into the whole table, reached by searching its first key."""
-    return paging.page(_obs(spark, sf), ["time", "id"], number=41, items=20, shallow=0, hot=500)
+    return paging.page(_obs(spark, sf), ["time", "id"], number=41, items=20, shallow=0)
+
+
+@query
+def deep_page_text_id(spark, sf):
+    """The same for observations known by a text."""
+    return paging.page(fx.fixture(spark, sf, fx.OBS_TEXT_ID), ["-time", "id"], number=41, items=20, shallow=0)
 
 
 @query
@@ -250,6 +355,18 @@ def chrono_split_hot(spark, sf):
     return forecast.chrono_split(_obs(spark, sf), hot=50).select("id", "place", "time", "n", "part")
 
 
+@query
+def chrono_split_text_id(spark, sf):
+    split = forecast.chrono_split(fx.fixture(spark, sf, fx.OBS_TEXT_ID))
+    return split.select("id", "place", "time", "n", "n_history", "part")
+
+
+@query
+def chrono_split_text_id_hot(spark, sf):
+    split = forecast.chrono_split(fx.fixture(spark, sf, fx.OBS_TEXT_ID), hot=50)
+    return split.select("id", "place", "time", "n", "n_history", "part")
+
+
 @query
 def split_status(spark, sf):
     return forecast.split_status(forecast.chrono_split(_obs(spark, sf)))
@@ -282,6 +399,18 @@ def forecast_trend(spark, sf):
     return forecast.forecast(index.with_wqi(_obs(spark, sf)), forecast.trend_scorer("wqi"))
 
 
+@query
+def forecast_mean_share(spark, sf):
+    """A quarter of each station's rows is history; the few rows of the smallest stations leave none."""
+    few = index.with_wqi(_obs(spark, sf)).filter("id % 97 < 5")
+    return forecast.forecast(few, forecast.mean_scorer("wqi"), share=0.25)
+
+
+@query
+def forecast_trend_share(spark, sf):
+    return forecast.forecast(index.with_wqi(_obs(spark, sf)), forecast.trend_scorer("wqi"), share=0.25)
+
+
 def oxygen_balance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A stand-in model over feature vectors: a weighted sum of oxygen, demand and ammonium, in 32 bits."""
     weights = np.zeros(10, dtype=np.float32)
@@ -318,6 +447,12 @@ def room_search(spark, sf):
     return found.select("id", "name", "price")
 
 
+@query
+def room_search_live(spark, sf):
+    """Rooms that are not deleted, those included that do not say; no price bound."""
+    return catalog.search_rooms(fx.fixture(spark, sf, fx.ROOMS_STATE)).select("id", "name", "price")
+
+
 @query
 def room_search_page(spark, sf):
     found = catalog.search_rooms(fx.rooms(spark, sf), 910, 980, features=[3])
@@ -330,12 +465,14 @@ def room_enriched(spark, sf):
 
 
 @query
-def room_enriched_by_join(spark, sf):
-    """The features by the route for large dimensions."""
-    rooms = catalog.enrich(
-        fx.rooms(spark, sf), "feature_ids", seed.dimension(spark, seed.FEATURES), "features", small=0
+def room_enriched_odd(spark, sf):
+    """Ids that are listed twice, unknown or null, and a dimension that holds an id twice."""
+    rooms = fx.rooms(spark, sf).withColumn(
+        "feature_ids", F.concat("feature_ids", F.slice("feature_ids", 1, 1), F.array(F.lit(99), F.lit(None).cast("int")))
     )
-    return rooms.select("id", _names("features").alias("features"))
+    features = seed.dimension(spark, seed.FEATURES)
+    twice = features.unionByName(features.filter("id = 3").withColumn("name", F.lit("again")))
+    return catalog.enrich(rooms, "feature_ids", twice, "features").select("id", _names("features").alias("features"))
 
 
 @query
@@ -441,12 +578,24 @@ def insert_unique(spark, sf):
 
 
 @query
-def new_booking_defaults(spark, sf):
-    forms = fx.fixture(spark, sf, fx.BOOKING_FORMS).drop("id")
-    filled = changes.with_defaults(
-        forms, {"status": F.lit(stay.BOOKED), "number_of_guests": F.lit(1)}, key=["user_id", "room_id", "check_in"]
+def insert_unique_two_keys(spark, sf):
+    accepted, rejected = changes.insert_unique(
+        fx.fixture(spark, sf, fx.USERS),
+        fx.fixture(spark, sf, fx.SIGN_UPS_TWO),
+        {"email is already registered": ["email"], "username not available": ["username"]},
+        "seq",
     )
-    return filled.select("id", "user_id", "room_id", "status", "number_of_guests")
+    return accepted.withColumn("reason", F.lit("accepted")).unionByName(rejected)
+
+
+@query
+def new_booking_defaults(spark, sf):
+    """New bookings by user, room and day; rows without a day, and repeats, are set apart."""
+    forms = fx.fixture(spark, sf, fx.BOOKING_FORMS).withColumnRenamed("id", "seq")
+    filled = changes.with_defaults(forms, {"status": F.lit(stay.BOOKED), "number_of_guests": F.lit(1)})
+    named, apart = changes.keyed(filled, ["user_id", "room_id", "check_in"], "seq")
+    rows = named.withColumn("reason", F.lit("new")).unionByName(apart, allowMissingColumns=True)
+    return rows.select(F.coalesce("id", F.lit("none")).alias("id"), "seq", "user_id", "room_id", "status", "number_of_guests", "reason")
 
 
 @query

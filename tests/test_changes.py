@@ -96,20 +96,82 @@ def test_search_rooms(spark):
     def ids(**kw):
         return sorted(r.id for r in catalog.search_rooms(rooms, **kw).collect())
 
-    assert ids() == [1, 2, 4]
-    assert ids(features=[1]) == [1, 2]
+    assert ids() == [1, 2, 3, 4]
+    assert ids(max_price=200) == [1, 2, 4]
+    assert ids(features=[1], max_price=200) == [1, 2]
     assert ids(features=[2, 1], badges=[1]) == [1]
     assert ids(min_price=150, max_price=300) == [2, 3, 4]
 
 
-@pytest.mark.parametrize("small", [0, 100])
-def test_enrich(spark, small):
+def test_enrich(spark):
     rooms = spark.createDataFrame([(1, [3, 1, 3, 99]), (2, []), (3, None)], "id long, feature_ids array<int>")
-    got = catalog.enrich(rooms, "feature_ids", seed.dimension(spark, seed.FEATURES), "features", small=small)
+    got = catalog.enrich(rooms, "feature_ids", seed.dimension(spark, seed.FEATURES), "features")
     names = {r.id: [(f.id, f.name) for f in r.features] for r in got.collect()}
     assert names == {1: [(1, seed.FEATURES[0]), (3, seed.FEATURES[2])], 2: [], 3: []}
 
 
+def test_enrich_with_odd_ids(spark):
+    rooms = spark.createDataFrame([(1, [3, None, 3]), (None, [1])], "id long, feature_ids array<int>")
+    dim = spark.createDataFrame([(3, "a"), (3, "b"), (None, "c"), (1, "d")], "id int, name string")
+    got = {r.id: [(f.id, f.name) for f in r.features] for r in catalog.enrich(rooms, "feature_ids", dim, "features").collect()}
+    assert got == {1: [(3, "a"), (3, "b")], None: []}
+
+
+def test_enriching_runs_no_job(spark):
+    rooms = spark.createDataFrame([(1, [3])], "id long, feature_ids array<int>")
+    dim = seed.dimension(spark, seed.FEATURES)
+    spark.sparkContext.setJobGroup("enrich", "plan only")
+    try:
+        catalog.enrich(rooms, "feature_ids", dim, "features")
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("enrich")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_null_flags_are_live(spark):
+    rows = spark.createDataFrame([(1, None), (2, False), (3, True)], "id int, is_deleted boolean")
+    assert sorted(r.id for r in joins.live(rows).collect()) == [1, 2]
+
+
+def test_keyed_ids_are_unique(spark):
+    rows = spark.createDataFrame(
+        [(1, "a|b", "c"), (2, "a", "b|c"), (3, None, "c"), (4, "", "c"), (5, "a", "b|c")], "seq int, x string, y string"
+    )
+    good, apart = changes.keyed(rows, ["x", "y"], "seq")
+    assert sorted(r.seq for r in good.collect()) == [1, 2, 4]
+    assert good.select("id").distinct().count() == 3
+    assert {(r.seq, r.reason) for r in apart.collect()} == {(3, "no natural key"), (5, "natural key repeated")}
+
+
+def test_two_keys_one_after_another(spark):
+    rng = random.Random(12)
+    base = [("u1", "m1"), ("u2", "m2")]
+    new = [(i, rng.choice([None, *(f"u{k}" for k in range(1, 40))]), rng.choice([f"m{k}" for k in range(1, 40)])) for i in range(120)]
+    names, mails, want = {u for u, _ in base}, {m for _, m in base}, {}
+    for seq, name, mail in new:
+        want[seq] = "mail" if mail in mails else "name" if name is not None and name in names else "ok"
+        if want[seq] == "ok":
+            names.add(name)
+            mails.add(mail)
+    accepted, rejected = changes.insert_unique(
+        spark.createDataFrame(base, "name string, mail string"), spark.createDataFrame(new, "seq int, name string, mail string"),
+        {"mail": ["mail"], "name": ["name"]}, "seq",
+    )
+    got = {r.seq: "ok" for r in accepted.collect()} | {r.seq: r.reason for r in rejected.collect()}
+    assert got == want
+
+
+def test_fields_beyond_a_closed_list(spark):
+    rows = spark.createDataFrame([({"status": "x", "role": "y", "a": None},), ({},)], "payload map<string,string>")
+    assert [r[0] for r in rows.select(quality.extra_fields("payload", ["status"])).collect()] == [["a", "role"], []]
+
+
+def test_profile_of_texts(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 2), (None, 2)], "s string, n int")
+    got = {r.column: (r.n, r.n_null, r.n_distinct, [tuple(t) for t in r.top]) for r in quality.profile_text(rows, ["s", "n"], 1).collect()}
+    assert got == {"s": (3, 1, 2, [("a", 2)]), "n": (4, 0, 2, [("2", 3)])}
+
+
 def test_seed_sizes():
     assert (len(seed.FEATURES), len(seed.BADGES)) == (22, 23)
 

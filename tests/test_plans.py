@@ -11,7 +11,7 @@ from limnos.operators import catalog, cleaning, correlate, forecast, joins, pagi
 from limnos.operators.cleaning import clean
 from limnos.schemas import METRICS, SOURCE_COLUMNS
 from limnos.session import settle
-from limnos.sources import readings, seed
+from limnos.sources import readings
 
 
 def plan(df):
@@ -68,12 +68,6 @@ def test_search_reaches_the_scan(spark):
     assert "GreaterThanOrEqual(price" in text and "LessThanOrEqual(price" in text
 
 
-def test_small_dimensions_need_no_shuffle(spark):
-    rooms = settle(spark.createDataFrame([(1, [1])], "id long, feature_ids array<int>"))
-    text = plan(catalog.enrich(rooms, "feature_ids", seed.dimension(spark, seed.FEATURES), "features"))
-    assert exchanges(text) == 0 and "Join" not in text
-
-
 def test_station_and_keyset_filters_reach_the_scan(obs):
     assert "EqualTo(place,24.0)" in plan(stations.station_rows(obs, 24))
     deep = paging.keyset_page(obs, ["time", "id"], [dt.datetime(2020, 2, 1), 3], 5)
@@ -95,9 +89,22 @@ def test_split_of_bounded_groups_shuffles_once(obs):
     assert exchanges(plan(forecast.chrono_split(obs))) == 1
 
 
-def test_split_of_hot_groups_never_sorts_a_group(obs):
+def test_split_of_hot_groups_sorts_ranges_only(obs):
+    """Windows over rows of hot groups are cut by range; only per-group sums of ranges are windowed by group alone."""
     text = plan(forecast.chrono_split(obs, hot=5))
-    assert "Window" not in text and "Sort " not in text
+    windows = re.findall(r"Window \[sum\(_w#\d+L?\) .*?\], \[([^\]]*)\]", text)
+    assert windows and all("_range" in keys for keys in windows)
+
+
+def test_deep_page_is_a_filter_on_the_scan(obs):
+    text = plan(paging.page(obs, ["time", "id"], number=4, items=10, shallow=0))
+    assert "GreaterThanOrEqual(time" in text and "Window" not in text
+
+
+def test_decode_has_one_generator(spark):
+    messages = settle(spark.createDataFrame([("t", "k", "{}", 1)], "topic string, key string, value string, offset long"))
+    text = plan(readings.good(readings.decode(messages)))
+    assert len(re.findall(r"Generate ", text)) == 1 and exchanges(text) == 0
 
 
 def test_no_broadcast_beyond_the_threshold(spark, obs):
