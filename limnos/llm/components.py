@@ -9,12 +9,15 @@ from limnos.session import settle
 
 
 def _roots(parents: DataFrame) -> DataFrame:
-    """``parents`` (node, parent) with every parent replaced by the last one of its chain."""
+    """``parents`` (node, parent) with every parent replaced by the last one of its chain, as a settled table."""
     while True:
         above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("_next"))
-        further = settle(parents.join(above, "parent", "left"), "links-jump")
-        parents = further.select("node", F.coalesce("_next", "parent").alias("parent"))
-        if further.filter("_next is not null").isEmpty():
+        jumped = parents.join(above, "parent", "left").select(
+            "node", F.coalesce("_next", "parent").alias("parent"), F.col("_next").isNotNull().alias("_moved")
+        )
+        jumped = settle(jumped, "links-jump")
+        parents = jumped.select("node", "parent")
+        if jumped.filter("_moved").isEmpty():
             return parents
 
 
@@ -29,7 +32,7 @@ def components(links: DataFrame) -> DataFrame:
     open_links = settle(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links-open")
     while not open_links.isEmpty():
         hooks = settle(open_links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")), "links-hooks")
-        roots = settle(_roots(hooks), "links-roots")
+        roots = _roots(hooks)
         by_label = roots.select(F.col("node").alias("component"), F.col("parent").alias("_root"))
         labels = settle(
             labels.join(by_label, "component", "left").select("id", F.coalesce("_root", "component").alias("component")), "links-labels"

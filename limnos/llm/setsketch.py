@@ -44,8 +44,10 @@ REGISTERS = ROWS * BANDS
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 # Pairs go on unless 0.75 and more is exp(14) times less likely than the best estimate (about five standard deviations).
 SLACK = 14.0
-# Members up to which a bucket is joined with itself; members of a block; rounds of further pivots.
-SMALL, BLOCK, ROUNDS = 32, 256, 3
+# Members up to which a bucket is joined with itself; members of a block; rounds of further pivots, and the part of a round's pairs that must be links for
+# another round to pay. The rounds only spare work: what they leave is compared in full.
+SMALL, BLOCK, ROUNDS = 32, 256, 6
+WORTH = 0.1
 # Words whose hashes a process keeps.
 KEPT = 500_000
 
@@ -330,22 +332,19 @@ def near_links(classes: DataFrame, docs: DataFrame, text: str = "text") -> DataF
     links = settle(confirmed(estimated(tried, classes), texts), "near-links")
     labels = components(links)
 
+    mixed = _mixed_buckets(shared, labels)
     for turn in range(ROUNDS):
-        mixed = _mixed_buckets(shared, labels)
         now = settle(_pivots(mixed, turn).join(tried, ["a", "b"], "left_anti"), "near-tried")
         found = settle(confirmed(estimated(now, classes), texts), "near-links")
-        tried = settle(tried.unionByName(now), "near-tried")
-        if found.isEmpty():
+        tried, links = tried.unionByName(now), links.unionByName(found)
+        hits = found.count()
+        if hits <= WORTH * now.count():
             break
-        links = settle(links.unionByName(found), "near-links")
         labels = components(links)
-    else:
         mixed = _mixed_buckets(shared, labels)
 
-    found = settle(_large_links(mixed, classes, texts), "near-links")
-    if not found.isEmpty():
-        links = settle(links.unionByName(found), "near-links")
-        labels = components(links)
+    links = links.unionByName(settle(_large_links(mixed, classes, texts), "near-links"))
+    labels = components(links)
     crossing = settle(_small_pairs(mixed).join(tried, ["a", "b"], "left_anti"), "near-crossing")
     left = settle(estimated(crossing, classes), "near-left")
     per_pair = 4
@@ -356,7 +355,7 @@ def near_links(classes: DataFrame, docs: DataFrame, text: str = "text") -> DataF
         ranked = settle(now.withColumn("_n", F.row_number().over(best)).select("a", "b", "estimate", "_n"), "near-ranked")
         found = settle(confirmed(ranked.filter(F.col("_n") <= per_pair), texts), "near-links")
         if not found.isEmpty():
-            links = settle(links.unionByName(found), "near-links")
+            links = links.unionByName(found)
             labels = components(links)
         left = settle(ranked.filter(F.col("_n") > per_pair).select("a", "b", "estimate"), "near-left")
         per_pair *= 16
