@@ -267,11 +267,11 @@ def _large_links(mixed: DataFrame, classes: DataFrame, texts: DataFrame) -> Data
     held = settle(_sets(texts.join(wanted, "id", "left_semi")).join(classes.select("id", "registers"), "id"), "near-sets")
 
     def spread(members: DataFrame, own: str, other: str, side: int) -> DataFrame:
-        placed = members.select("bucket", "band", "id", "component", "n_shingles").join(sizes, "bucket").withColumn(
+        placed = members.select("bucket", "band", "id", "component").join(sizes, "bucket").withColumn(
             f"_{own}", F.pmod(F.xxhash64("id"), F.col(own))
         )
         return placed.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1))).select(
-            "bucket", "band", "_rows", "_columns", F.lit(side).alias("side"), "id", "component", "n_shingles"
+            "bucket", "band", "_rows", "_columns", F.lit(side).alias("side"), "id", "component"
         )
 
     both = spread(outside, "rows", "columns", 0).unionByName(spread(large, "columns", "rows", 1))
@@ -282,11 +282,13 @@ def _large_links(mixed: DataFrame, classes: DataFrame, texts: DataFrame) -> Data
         links: list[tuple] = []
         if row.num_rows and column.num_rows:
             band = block["band"][0].as_py()
-            ids, groups, sizes_ = (column[name].to_numpy() for name in ("id", "component", "n_shingles"))
+            ids, groups = (column[name].to_numpy() for name in ("id", "component"))
             own = np.frombuffer(b"".join(column["registers"].to_pylist()), "<u2").reshape(-1, REGISTERS)
             sets = [np.frombuffer(raw, np.uint64) for raw in column["hashes"].to_pylist()]
-            for x in row.select(["id", "component", "n_shingles", "registers", "hashes"]).to_pylist():
-                mine, n = np.frombuffer(x["registers"], "<u2"), x["n_shingles"]
+            sizes_ = np.array([len(s) for s in sets])
+            for x in row.select(["id", "component", "registers", "hashes"]).to_pylist():
+                mine, full = np.frombuffer(x["registers"], "<u2"), np.frombuffer(x["hashes"], np.uint64)
+                n = len(full)
                 near = (groups != x["component"]) & (100 * np.minimum(sizes_, n) >= PERCENT * np.maximum(sizes_, n))
                 at = np.flatnonzero(near)
                 agree = (own[at] == mine).reshape(len(at), BANDS, ROWS).all(axis=2)
@@ -297,7 +299,6 @@ def _large_links(mixed: DataFrame, classes: DataFrame, texts: DataFrame) -> Data
                 at = at[keep]
                 if not len(at):
                     continue
-                full = np.frombuffer(x["hashes"], np.uint64)
                 flat, starts = np.concatenate([sets[i] for i in at]), np.cumsum([0, *(len(sets[i]) for i in at[:-1])])
                 spot = np.minimum(np.searchsorted(full, flat), n - 1)
                 shared = np.add.reduceat((full[spot] == flat).astype(np.int64), starts)

@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ import pytest
 
 from limnos.llm.queries import QUERIES
 from tests.llm import brute
-from tests.llm.tables import odd_documents, write_documents
+from tests.llm.tables import odd_documents, sentence, write_documents
 
 SF = "/root/testdata/sf0.001"
 
@@ -141,3 +142,38 @@ def test_near_duplicates(spark, corpus):
     folder, docs = corpus
     df = QUERIES["op10_minhash_near_dedup"](spark, folder)
     assert Counter(rows_of(df, "doc_id", "n_shingles", "component_id", "kept")) == brute.near(docs)
+
+
+@pytest.fixture(scope="module")
+def odd_ids(spark, tmp_path_factory):
+    """Null ids, and one id on rows with different texts and on equal rows."""
+    a, b, c = sentence(21, 90), sentence(22, 90), sentence(23, 90)
+    rows = [(5, a, "x"), (5, b, "x"), (7, a + " more", None), (9, b + " more", "y"), (None, a, "x"), (None, c, "y"), (11, c, "y"), (11, c, "y"), (None, None, None)]
+    return write_documents(spark, str(tmp_path_factory.mktemp("ids")), rows), rows
+
+
+@pytest.mark.parametrize("name", [q for q in QUERIES if q.split("_")[0] in ("op2", "op3", "op5", "op6", "op7", "op9", "op10")])
+def test_every_row_of_odd_ids_comes_back(spark, odd_ids, name):
+    folder, rows = odd_ids
+    got = Counter(r.doc_id for r in QUERIES[name](spark, folder).collect())
+    assert got == Counter(doc for doc, _, _ in rows)
+
+
+def test_near_duplicates_of_odd_ids(spark, odd_ids):
+    folder, rows = odd_ids
+    df = QUERIES["op10_minhash_near_dedup"](spark, folder)
+    assert Counter(rows_of(df, "doc_id", "n_shingles", "component_id", "kept")) == brute.near(rows)
+
+
+def test_a_large_group_of_near_copies(spark, tmp_path):
+    """More copies than a small bucket holds, some linked with few others only."""
+    pick = random.Random(9)
+    base = sentence(30, 150).split(" ")
+    rows = []
+    for k in range(160):
+        words = list(base)
+        for spot in pick.sample(range(150), pick.choice((1, 2, 4, 7, 9))):
+            words[spot] = f"new{k}x{spot}"
+        rows.append((1000 - k, " ".join(words), "s"))
+    df = QUERIES["op10_minhash_near_dedup"](spark, write_documents(spark, str(tmp_path), rows))
+    assert Counter(rows_of(df, "doc_id", "n_shingles", "component_id", "kept")) == brute.near(rows)
