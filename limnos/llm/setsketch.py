@@ -377,7 +377,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     labels = near_links(by_id, docs, text)
     homes = settle(_labelled(classes.select("digest", "id"), labels, "id", "component_id").select("digest", "component_id"), "near-homes")
     own = rows.select("doc_id", "n_shingles", "digest").join(homes, "digest", "left")
-    home = F.coalesce("component_id", "doc_id")
+    home = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return own.select("doc_id", "n_shingles", home.alias("component_id"), F.coalesce(F.col("doc_id") == home, F.lit(True)).alias("kept"))
 
 
