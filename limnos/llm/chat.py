@@ -15,6 +15,8 @@ is one row of output, so its texts meet in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,15 +70,16 @@ def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
         ),
         "chat-jumps",
     )
-    jumps = []
+    jumps, done, climbing = [], [level.filter("up_id is null")], level.filter("up_id is not null")
     limit = max(1, nodes.count()).bit_length()
-    while len(jumps) <= limit and not level.filter("up_id is not null").isEmpty():
-        jumps.append(level.filter("up_id is not null").select("message_id", "up_id"))
-        above = level.select(
+    while len(jumps) <= limit and not climbing.isEmpty():
+        # Only messages that have not met their root go on.
+        jumps.append(climbing.select("message_id", "up_id"))
+        above = reduce(DataFrame.unionByName, [*done, climbing]).select(
             F.col("message_id").alias("up_id"), F.col("up_id").alias("_next"), F.col("sum").alias("_sum"), F.col("top").alias("_top")
         )
         level = settle(
-            level.join(above, "up_id", "left").select(
+            climbing.join(above, "up_id", "left").select(
                 "message_id",
                 F.col("_next").alias("up_id"),
                 (F.col("sum") + F.coalesce("_sum", F.lit(0.0))).alias("sum"),
@@ -84,6 +87,9 @@ def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
             ),
             "chat-jumps",
         )
+        done.append(level.filter("up_id is null"))
+        climbing = level.filter("up_id is not null")
+    level = reduce(DataFrame.unionByName, done)
     leaves = level.filter("top is not null").join(parents.select(F.col("parent_id").alias("message_id")), "message_id", "left_anti")
     if branches is not None:
         best = Window.partitionBy("top").orderBy(F.desc("sum"), "message_id")
