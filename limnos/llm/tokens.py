@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 
 # Bound on kept pieces of a process (two generations of half as many), and on pieces encoded in one call.
-KEPT = 1_000_000
+KEPT = 1_100_000
 CALL = 20_000
 
 # A letter and one of these are parted by every vocabulary here, so a word before it need not be learnt twice.
@@ -24,7 +24,6 @@ _ENDS = frozenset(".,;:!?")
 
 # Characters that a tokenizer may take for blanks or drop. Where a text has none but line breaks, only these pairs are unsure.
 _ODD_RANGES = "\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"
-_ODD = frozenset(c for c in map(chr, range(0x10000)) if re.match(f"[{_ODD_RANGES}]", c))
 _UNSURE = re.compile(f"(?:^|[\\s {_ODD_RANGES}]) | (?:[\\s {_ODD_RANGES}]|$)")
 
 
@@ -32,7 +31,15 @@ def sure(text: str) -> bool:
     """Whether every blank stands between two visible characters."""
     if text[:1] in " " or text[-1] == " " or "  " in text or "\n " in text or " \n" in text:
         return False
-    return _ODD.isdisjoint(text) or not _UNSURE.search(text)
+    # Printable texts have no other blanks and nothing invisible.
+    return text.replace("\n", "").isprintable() or not _UNSURE.search(text)
+
+
+def plain(text: str) -> bool:
+    """Whether a text has no blanks but spaces and single line breaks inside it."""
+    if not text or text[0] == "\n" or text[-1] == "\n" or "\n\n" in text:
+        return False
+    return text.replace("\n", "").isprintable()
 
 
 class Encoder:
@@ -81,19 +88,30 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        heads: list[bytes] = []
-        cut: list[list[str]] = []
+        cut: list[list[str] | None] = []
         for text in texts:
-            if text and sure(text) and not any(mark in text for mark in self.marks):
-                # A single line break between visible characters is a cut as well.
-                head, *pieces = (text if "\n\n" in text or text[0] == "\n" or text[-1] == "\n" else text.replace("\n", " \n")).split(" ")
+            if plain(text) and self._known(text):
+                # Line breaks between visible characters are cuts as well; the first word reads as one after a line break.
+                cut.append(("\n" + text.replace("\n", " \n")).split(" "))
             else:
-                head, pieces = text, []
-            heads.append(self._whole(head))
-            cut.append(pieces)
-        self._keep(set().union(*cut))
-        ids = self.kept.__getitem__
-        return [head + b"".join(map(ids, pieces)) for head, pieces in zip(heads, cut, strict=True)]
+                cut.append(None)
+        self._keep(set().union(*(pieces for pieces in cut if pieces)))
+        ids, extra = self.kept.__getitem__, len(self.line_break)
+        return [
+            self._parted(text) if pieces is None else b"".join(map(ids, pieces))[extra:]
+            for text, pieces in zip(texts, cut, strict=True)
+        ]
+
+    def _known(self, text: str) -> bool:
+        return sure(text) and not any(mark in text for mark in self.marks)
+
+    def _parted(self, text: str) -> bytes:
+        """A text that line breaks cannot cut: at its blanks if they are sure, else whole."""
+        if not text or not self._known(text):
+            return self._whole(text)
+        head, *pieces = text.split(" ")
+        self._keep(set(pieces))
+        return self._whole(head) + b"".join(map(self.kept.__getitem__, pieces))
 
 
 @lru_cache(maxsize=4)

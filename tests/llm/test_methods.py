@@ -85,6 +85,7 @@ def test_pieces_give_the_ids_of_whole_texts(vocabulary):
     pick = random.Random(3)
     letters = list("ab'sÉé \n\t́‍|<>12.!?Σσ　\U0001f642ﬁ\x85") + [" "] * 8 + [" w", " word.", " It's"]
     texts = ["".join(pick.choice(letters) for _ in range(pick.randint(0, 60))) for _ in range(1500)]
+    texts += ["a\n\t\tb c\n\td", "a \t\n\n b", "a\r\nb\r\n\r\nc", "x\u2003\u2003\ny z", "\na b", "a b\n", "a\nb\n\nc d"]
     texts += ["x <|endoftext|> y <|startoftext|>", " a", "a ", "ΟΔΟΣ ΟΔΟΣ. ΟΔΟΣ", "don't 's it's 're"]
     for text, ids in zip(texts, own.encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
