@@ -33,6 +33,17 @@ OBS = (
 # Observations known by a text.
 OBS_TEXT_ID = ("orders", ["md5(cast(o_orderkey as string)) as id", *OBS[1][1:]])
 
+# Observations of stations with a long tail, each half as large as the one before: the last have a row or two at any size of the table.
+OBS_TAIL = (
+    "orders",
+    [
+        *OBS[1][:2],
+        "concat(cast(o_orderkey & -o_orderkey as string), '.0') as place",
+        "concat('Station ', cast(o_orderkey & -o_orderkey as string)) as location",
+        *OBS[1][4:],
+    ],
+)
+
 # Observations with a time of day, so that no two of a station share their time.
 OBS_TIMED = (
     "orders",

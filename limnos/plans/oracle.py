@@ -12,6 +12,7 @@ _METRICS = "ph, do_, conductivity, n_no2, n_nh4, p_po4, tss, cod, aeromonas_tota
 
 _OBS = f"obs as ({fx.as_sql(fx.OBS)})"
 _OBS_TEXT = f"obs as ({fx.as_sql(fx.OBS_TEXT_ID)})"
+_OBS_TAIL = f"obs as ({fx.as_sql(fx.OBS_TAIL)})"
 _OBS_TIMED = f"obs as ({fx.as_sql(fx.OBS_TIMED)})"
 _RAW = f"raw as ({fx.as_sql(fx.RAW_OBS)})"
 _WIDE = f"raw as ({fx.as_sql(fx.RAW_WIDE)})"
@@ -367,9 +368,9 @@ with {_OBS}, {_INDEXED}, {_SPLIT_INDEXED} select place, time, id, wqi as predict
 _UNIT_SUM = "cast(sum(cast(round(wqi * 10000) as decimal(20,0))) as double)"
 
 
-def _mean(rows: str, share: str) -> str:
+def _mean(rows: str, share: str, obs: str = _OBS) -> str:
     return f"""
-with {_OBS}, {_INDEXED}, few as (select * from indexed where {rows}), {_SPLIT.format("few").replace("0.8e0", share)}, means as (
+with {obs}, {_INDEXED}, few as (select * from indexed where {rows}), {_SPLIT.format("few").replace("0.8e0", share)}, means as (
   select place, {_UNIT_SUM} / count(*) / 10000e0 as m from split
   where part = 'history' and wqi is not null group by place)
 select s.place, s.time, s.id, m.m as predicted_wqi from split s left join means m using (place)
@@ -396,6 +397,7 @@ from days d left join lines l using (place) where {_SCORABLE.replace("0.8e0", sh
 
 ORACLE["forecast_mean"] = _mean("true", "0.8e0")
 ORACLE["forecast_mean_share"] = _mean("id % 97 < 5", "0.25e0")
+ORACLE["forecast_mean_share_all"] = _mean("true", "0.25e0", _OBS_TAIL)
 ORACLE["forecast_trend"] = _trend("0.8e0")
 ORACLE["forecast_trend_share"] = _trend("0.25e0")
 ORACLE["forecast_model"] = f"""

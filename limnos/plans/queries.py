@@ -401,11 +401,18 @@ def forecast_trend(spark, sf):
 
 @query
 def forecast_mean_share(spark, sf):
-    """A quarter of each station's rows is history; the few rows of the smallest stations leave none."""
+    """A quarter of each station's rows is history, over a few of the ids only; ``forecast_mean_share_all`` scores all rows."""
     few = index.with_wqi(_obs(spark, sf)).filter("id % 97 < 5")
     return forecast.forecast(few, forecast.mean_scorer("wqi"), share=0.25)
 
 
+@query
+def forecast_mean_share_all(spark, sf):
+    """The same over all observations, of stations from half of all rows down to one; those of up to three have no history."""
+    obs = fx.fixture(spark, sf, fx.OBS_TAIL)
+    return forecast.forecast(index.with_wqi(obs), forecast.mean_scorer("wqi"), share=0.25)
+
+
 @query
 def forecast_trend_share(spark, sf):
     return forecast.forecast(index.with_wqi(_obs(spark, sf)), forecast.trend_scorer("wqi"), share=0.25)

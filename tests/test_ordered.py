@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from collections import Counter
 from decimal import Decimal
 
 import pytest
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from limnos.operators import forecast, paging, quality
 from limnos.operators.ordered import forward_fill, mark_first, running_sums, sort_columns
 from limnos.operators.quantiles import exact_quantiles
+from limnos.plans import fixtures as fx
+from limnos.plans.queries import QUERIES
 
 
 def skewed_rows(n=600, seed=1):
@@ -178,6 +181,17 @@ def test_scorers_honour_the_share(spark):
         assert forecast.forecast(df, scorer, share=0.34).count() == 2
 
 
+def test_tail_keeps_all_rows_and_has_stations_without_history(spark, tmp_path):
+    """The fixture loses no order, and stations of one to three rows give no score."""
+    orders = [(i, i, dt.datetime(2020, 1, 1) + dt.timedelta(days=i)) for i in range(1, 41)]
+    fields = "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz"
+    spark.createDataFrame(orders, fields).write.parquet(f"{tmp_path}/orders.parquet")
+    sizes = Counter(r.place for r in fx.fixture(spark, str(tmp_path), fx.OBS_TAIL).collect())
+    assert sizes == {"1.0": 20, "2.0": 10, "4.0": 5, "8.0": 3, "16.0": 1, "32.0": 1}
+    scored = QUERIES["forecast_mean_share_all"](spark, str(tmp_path)).collect()
+    assert Counter(r.place for r in scored) == {"1.0": 15, "2.0": 8, "4.0": 4}
+
+
 def test_trend_predicts_a_line_exactly(spark):
     rows = [(i, "1.0", dt.datetime(2020, 1, 1 + i), 10.0 + 2 * i) for i in range(10)]
     df = spark.createDataFrame(rows, "id long, place string, time timestamp, wqi double")
