@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limnos.operators.ordered import key_at, sort_columns
+from limnos.operators.ordered import key_at, ranked_in_ranges, sort_columns
 from limnos.session import settle
 
 # Deepest row a top-k may reach: each task keeps that many rows and one task merges them.
@@ -69,7 +69,10 @@ def keyset_page(df: DataFrame, order: Sequence[str], after: Sequence | None, ite
 
 
 def keyset_walk(df: DataFrame, order: Sequence[str], items: int) -> Iterator[DataFrame]:
-    """All pages one after another; each starts after the last row of the one before, of which the driver sees the key."""
+    """All pages one after another; each starts after the last row of the one before, of which the driver sees the key.
+
+    For a client that reads on: a page is a job. :func:`numbered` tells the page of all rows at once.
+    """
     names = [name.removeprefix("-") for name in order]
     after = None
     while True:
@@ -82,6 +85,14 @@ def keyset_walk(df: DataFrame, order: Sequence[str], items: int) -> Iterator[Dat
         after = tuple(last)
 
 
+def numbered(df: DataFrame, order: Sequence[str], items: int) -> DataFrame:
+    """``df`` with ``page`` (from 0): the pages of :func:`keyset_walk`, without a job for each.
+
+    Rows are ranked in ranges of ``order``, so no task sorts more than a range.
+    """
+    return ranked_in_ranges(df, [], order).withColumn("page", F.floor((F.col("_upto") - 1) / items)).drop("_upto", "n")
+
+
 def _first_last(name: str) -> Column:
     """The reverse of a sort with nulls last."""
     return F.col(name[1:]).desc_nulls_first() if name.startswith("-") else F.col(name).asc_nulls_first()

@@ -122,12 +122,11 @@ def ingest_csv(spark, sf):
 
 @query
 def keyset_walk(spark, sf):
-    """All pages of the cleaned observations in both directions; rows without a time come last."""
+    """All pages of the cleaned observations in both directions, numbered at once; rows without a time come last."""
     rows = settle(cleaning.to_warehouse(cleaning.clean(fx.fixture(spark, sf, fx.RAW_WIDE))).select("id", "time"), "walked")
     pages = [
-        page.select("id", F.lit(name).alias("direction"), F.lit(number).alias("page"))
+        paging.numbered(rows, order, 2500).select("id", F.lit(name).alias("direction"), F.col("page").cast("int").alias("page"))
         for name, order in (("up", ["time", "id"]), ("down", ["-time", "-id"]))
-        for number, page in enumerate(paging.keyset_walk(rows, order, 2500))
     ]
     return reduce(DataFrame.unionByName, pages)
 

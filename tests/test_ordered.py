@@ -157,6 +157,14 @@ def test_ranking_means_the_same_at_every_size(spark, kind, descending):
     assert sum(map(len, walked)) == 90
 
 
+@pytest.mark.parametrize("order", [["k", "id"], ["-k", "-id"]])
+def test_numbered_pages_are_those_of_the_walk(spark, order):
+    df = spark.createDataFrame([(i, None if i % 9 == 0 else i * 7 % 5) for i in range(53)], "id long, k int").repartition(3)
+    walked = {(r.id, number) for number, page in enumerate(paging.keyset_walk(df, order, 10)) for r in page.collect()}
+    assert {(r.id, r.page) for r in paging.numbered(df, order, 10).collect()} == walked
+    assert len(walked) == 53 and paging.numbered(df.limit(0), order, 10).count() == 0
+
+
 @pytest.mark.parametrize("hot", [10**6, 5])
 def test_quantiles_of_unbounded_values(spark, hot):
     values = [float("-inf"), 1.0, 2.0, 3.0, 4.0, float("inf"), float("inf"), float("nan")]
