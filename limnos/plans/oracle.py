@@ -293,6 +293,11 @@ with {_OBS_TIMED}, {_INDEXED}, loaded as (
   from indexed where time >= timestamp '1995-01-01')
 select * from loaded where place = '24.0' order by time, id limit 50 offset 50
 """
+ORACLE["stream_ingest_all"] = f"""
+with {_OBS_TIMED}, {_INDEXED}
+select md5({_STATION_TIME}) as id, time, place, location, {_METRICS}, wqi as actual_wqi, wqi as predicted_wqi
+from indexed where time >= timestamp '1995-01-01'
+"""
 ORACLE["stream_correlate_wqi"] = f"with {_OBS}, {_INDEXED} select id, place, time, {_METRICS}, wqi from indexed"
 _CLEAN_PATH = "replace(trim(path, '/'), '/', '_')"
 ORACLE["stream_request_windows"] = f"""

@@ -242,8 +242,7 @@ def correlate_ambiguous(spark, sf):
     return correlate.ambiguous(long, ["place", "time"])
 
 
-@query
-def stream_ingest(spark, sf):
+def _ingested(spark, sf):
     """Messages, read as a stream, become rows of the warehouse table; what comes later than the watermark is dropped."""
     obs = fx.fixture(spark, sf, fx.OBS_TIMED).withColumn("time", F.col("time").cast("timestamp"))
     messages, target, state = (new_path(spark, x) for x in ("messages", "warehouse", "warehouse-state"))
@@ -255,8 +254,20 @@ def stream_ingest(spark, sf):
         rows = jobs.warehouse_stream(decoded, watermark="10 days")
         # The second round's messages are older than the first round's watermark.
         sink.start(rows, sink.batch_sink(target, "time"), state, available_now=True).awaitTermination()
-    loaded = sink.read_latest(spark, target, ["id"], WATER_QUALITY).drop("year")
-    return stations.station_page(loaded, 24, number=2, items=50).withColumn("time", F.col("time").cast("timestamp_ntz"))
+    return sink.read_latest(spark, target, ["id"], WATER_QUALITY).drop("year")
+
+
+@query
+def stream_ingest(spark, sf):
+    """A page of one station from the table that the stream loaded; ``stream_ingest_all`` has its whole content."""
+    page = stations.station_page(_ingested(spark, sf), 24, number=2, items=50)
+    return page.withColumn("time", F.col("time").cast("timestamp_ntz"))
+
+
+@query
+def stream_ingest_all(spark, sf):
+    """All rows of all stations that the stream loaded."""
+    return _ingested(spark, sf).withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 
 @query
