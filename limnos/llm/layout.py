@@ -3,7 +3,8 @@
 ``parse`` reads tags, comments and text with one pattern and builds a tree: end tags that pages leave out are implied, stray ones
 ignored. ``render`` walks the tree without recursion and writes what a reader sees: blocks on lines of their own with empty lines around
 paragraphs and headings, list items with their marks, preformatted text as it is, and tables as columns of equal width. Hidden elements (by kind, ``hidden``
-attribute or inline style) are left out with all that they hold.
+attribute or inline style) are left out with all that they hold. Of invisible ones (``visibility``) the children that are set visible again are kept.
+Formulas, the ``text`` of drawings and what an object holds for lack of its data are inline text.
 
 Null and empty pages give empty text. Markup of any nesting and length is read whole; tables within cells are laid out as lines.
 """
@@ -25,7 +26,11 @@ from limnos.llm.words import whole
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas svg math datalist area base link meta".split())
+HIDDEN = frozenset("head script style template title noscript iframe noembed noframes audio video canvas datalist area base link meta".split())
+# Drawings and formulas, in which "/>" ends an element; elements of theirs that hold markup of pages, and those that are not shown.
+FOREIGN = frozenset("svg math".split())
+EMBEDS = frozenset("foreignobject desc title mtext".split())
+UNDRAWN = frozenset("title desc defs annotation annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr fieldset details".split())
 BLOCK = SPACED | frozenset(
     "address article aside body caption center dd dialog dir div dt figcaption footer form header hgroup html legend li main menu "
@@ -63,17 +68,19 @@ _TAG = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.DOTALL)
-_INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)", re.I)
+_GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|content-visibility\s*:\s*hidden)", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse|initial|inherit|unset)(?![\w-])", re.I)
+_UNQUOTED_SLASH = re.compile(r"=\s*[^\s\"']*/$")
 _BLANKS = re.compile("[ \t\n\r\f]+")
 
 
 class Node:
     """An element; children are elements and texts."""
 
-    __slots__ = ("name", "attributes", "children")
+    __slots__ = ("name", "attributes", "children", "foreign")
 
-    def __init__(self, name: str, attributes: dict[str, str] | None = None):
-        self.name, self.attributes, self.children = name, attributes or {}, []
+    def __init__(self, name: str, attributes: dict[str, str] | None = None, foreign: bool = False):
+        self.name, self.attributes, self.children, self.foreign = name, attributes or {}, [], foreign
 
 
 def _attributes(rest: str) -> dict[str, str]:
@@ -136,12 +143,14 @@ class Builder:
         if name in ("td", "th") and "table" in self.count and "tr" not in self.count:
             self._push("tr", "")
         self._push(name, rest)
-        if name in VOID:
+        if name in VOID or (self.open[-1].foreign and rest.endswith("/") and not _UNQUOTED_SLASH.search(rest)):
             self._pop()
 
     def _push(self, name: str, rest: str) -> None:
-        node = Node(name, _attributes(rest) if rest and not rest.isspace() else None)
-        self.open[-1].children.append(node)
+        around = self.open[-1]
+        foreign = name in FOREIGN or (around.foreign and around.name not in EMBEDS)
+        node = Node(name, _attributes(rest) if rest and not rest.isspace() else None, foreign)
+        around.children.append(node)
         self.open.append(node)
         self.count[name] = self.count.get(name, 0) + 1
 
@@ -180,7 +189,7 @@ def parse(page: str) -> Node:
             build.end(name)
             continue
         build.start(name, match["rest"])
-        if name in RAW:
+        if name in RAW and build.open[-1].name == name:
             close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             stop, after = (close.start(), close.end()) if close else (end, end)
             raw = page[at:stop]
@@ -192,17 +201,42 @@ def parse(page: str) -> Node:
     return build.root
 
 
+def visibility(node: Node) -> str | None:
+    """``visible``, ``hidden`` or ``collapse`` as the element says itself; None if it takes that of its parent."""
+    found = _VISIBILITY.findall(node.attributes["style"]) if "style" in node.attributes else None
+    value = found[-1].lower() if found else node.attributes.get("visibility", "").lower() if node.foreign else ""
+    return "visible" if value == "initial" else value if value in ("visible", "hidden", "collapse") else None
+
+
 def hidden(node: Node) -> bool:
+    """Is the element left out with all that it holds?"""
     has = node.attributes
     return (
         node.name in HIDDEN
         or "hidden" in has
         or (node.name == "input")
-        or bool(has.get("style") and _INVISIBLE.search(has["style"]))
+        or bool(has.get("style") and _GONE.search(has["style"]))
         or (node.name == "dialog" and "open" not in has)
+        or (node.foreign and (node.name in UNDRAWN or has.get("display", "").lower() == "none"))
+        or (node.name in ("tr", "tbody", "thead", "tfoot") and visibility(node) == "collapse")
     )
 
 
+def showing(root: Node) -> set[int]:
+    """``id`` of the elements that hold one that is set visible, or are set so themselves."""
+    order: list[tuple[Node, int]] = [(root, -1)]
+    for at, (node, _) in enumerate(order):
+        order.extend((child, at) for child in node.children if isinstance(child, Node) and not hidden(child))
+    marked = bytearray(len(order))
+    for at in range(len(order) - 1, -1, -1):
+        node, parent = order[at]
+        if marked[at] or visibility(node) == "visible":
+            marked[at] = 1
+            if parent >= 0:
+                marked[parent] = 1
+    return {id(node) for at, (node, _) in enumerate(order) if marked[at]}
+
+
 class Flow:
     """Lines of text under way: blanks run together, blocks start lines, and paragraphs are parted by one empty line."""
 
@@ -323,6 +357,8 @@ def _number(node: Node, name: str, low: int, high: int) -> int:
 
 
 ENTER, LEAVE = 0, 1
+# Where text stands: in the page or a formula, in a drawing (not shown), in the text of a drawing.
+PAGE, DRAWING, LETTERING = 0, 1, 2
 
 
 def render(root: Node) -> str:
@@ -332,10 +368,13 @@ def render(root: Node) -> str:
     tables: list[Table] = []
     lists: list[list] = []  # kind and next number of the open lists
     pre = 0
-    todo: list[tuple[int, object]] = [(ENTER, root)]
+    shows: set[int] | None = None
+    todo: list[tuple[int, object, int, bool]] = [(ENTER, root, PAGE, True)]
     while todo:
-        what, node = todo.pop()
+        what, node, place, visible = todo.pop()
         if isinstance(node, str):
+            if not visible or place == DRAWING:
+                continue
             if pre:
                 flow.verbatim(node)
             elif not (node.isspace() and not flow.line):
@@ -345,6 +384,19 @@ def render(root: Node) -> str:
         if what == ENTER:
             if hidden(node):
                 continue
+            own = visibility(node)
+            visible = visible if own is None else own == "visible"
+            if not visible:
+                shows = showing(root) if shows is None else shows
+                if id(node) not in shows:
+                    continue
+            if name == "svg":
+                place = DRAWING
+            elif place and name == "foreignobject":
+                place = PAGE
+            elif place == DRAWING and name == "text":
+                place = LETTERING
+                flow.blank = True
             if name == "br":
                 flow.newline()
                 continue
@@ -357,11 +409,11 @@ def render(root: Node) -> str:
                 continue
             if name == "wbr":
                 continue
-            todo.append((LEAVE, node))
+            todo.append((LEAVE, node, place, visible))
             shown = node.children
             if name == "details" and "open" not in node.attributes:
                 shown = [c for c in shown if isinstance(c, Node) and c.name == "summary"][:1]
-            todo.extend((ENTER, child) for child in reversed(shown))
+            todo.extend((ENTER, child, place, visible) for child in reversed(shown))
             if name in BLOCK:
                 flow.stop(gap=name in SPACED and not (name in ("ul", "ol") and lists))
             if name in ("ul", "ol", "menu", "dir"):
@@ -375,14 +427,14 @@ def render(root: Node) -> str:
                     lists[-1][1] += 1
                 else:
                     mark = "- "
-                flow.prefix = [depth, mark]
+                flow.prefix = [depth, mark] if visible else []
             elif name == "dd":
                 flow.prefix = ["  "]
             elif name == "pre":
                 pre += 1
                 if shown and isinstance(shown[0], str) and shown[0].startswith("\n"):
-                    todo[-1] = (ENTER, shown[0][1:])
-            elif name == "q":
+                    todo[-1] = (ENTER, shown[0][1:], place, visible)
+            elif name == "q" and visible:
                 flow.words('"')
             elif name == "table":
                 tables.append(Table())
@@ -407,8 +459,10 @@ def render(root: Node) -> str:
             lists.pop()
             flow.prefix = []
             flow.stop(gap=not lists and name in SPACED)
-        elif name == "q":
+        elif name == "q" and visible:
             flow.line.append('"')
+        elif name == "text" and place == LETTERING:
+            flow.blank = True
         else:
             if name == "pre":
                 pre -= 1

@@ -105,6 +105,24 @@ def test_layout(page, text):
     assert text_of(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>.", "so x=2."),
+        ("<svg><title/><defs><text>no</text></defs><path d='M0'/><g>no<text x=1>one</text><text>two</text></g><desc>no</desc></svg>end", "one two end"),
+        ("<svg><style>no</style><defs/><text display=none>no</text><foreignObject><p>a<br/>b</p></foreignObject></svg>", "a\nb"),
+        ("<object data=x><p>instead</p></object>y", "instead\n\ny"),
+        ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes<i style='visibility:hidden'>no</i></b><p>no</p></div>z", "yes\nz"),
+        ("a<span style='visibility:hidden'><div>no</div></span>b", "ab"),
+        ("<ul><li style='visibility:hidden'>no<span style='visibility:visible'>x</span><li>y</ul>", "x\n- y"),
+        ("<p style='visibility:hidden'>" * 3000 + "no<q style='visibility:visible'>in</q>", '"in"'),
+        ("<table><tr style='visibility:collapse'><td style='visibility:visible'>no<tr><td>a</table>", "a"),
+    ],
+)
+def test_text_of_embedded_and_visible_again(page, text):
+    assert text_of(page) == text
+
+
 def test_rendered_rows(spark, odd):
     got = Counter((r.page_id, r.text) for r in QUERIES["op8_html_extraction"](spark, odd).collect())
     assert got == Counter((page, text_of(html or "")) for page, _, html in ODD)
