@@ -382,6 +382,17 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One document of each component: the one with the smallest id."""
-    dropped = near_duplicates(docs, text).filter("not kept").select("doc_id").distinct()
-    return docs.join(settle(dropped, "near-dropped"), "doc_id", "left_anti").select(docs.columns)
+    """One row of each component: the one with the smallest id, nulls last, and of several with that id the one with the smallest hash.
+
+    Rows are judged one by one, so rows without id and repeats of an id are thinned too, and a second text of an id stays where it is
+    no copy. Texts without shingles are all kept.
+    """
+    hashed = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    rows = docs.withColumns({"_own": F.col("doc_id"), "_hash": F.xxhash64(*hashed)}).withColumn("doc_id", F.monotonically_increasing_id())
+    rows = settle(rows, "near-rows")
+    homes = settle(near_duplicates(rows, text).select("doc_id", "component_id"), "near-found")
+    order = F.struct(F.col("_own").isNull(), "_own", "_hash", "doc_id")
+    first = rows.select("doc_id", "_own", "_hash").join(homes, "doc_id").groupBy("component_id").agg(F.min(order)["doc_id"].alias("doc_id"))
+    dropped = settle(homes.select("doc_id").join(first.select("doc_id"), "doc_id", "left_anti"), "near-dropped")
+    kept = rows.join(dropped, "doc_id", "left_anti")
+    return kept.select(*[F.col("_own").alias(c) if c == "doc_id" else F.col(c) for c in docs.columns])

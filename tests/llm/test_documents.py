@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from limnos.llm.queries import QUERIES
+from limnos.llm.setsketch import drop_near_duplicates
 from tests.llm import brute
 from tests.llm.tables import odd_documents, sentence, write_documents
 
@@ -177,3 +178,16 @@ def test_a_large_group_of_near_copies(spark, tmp_path):
         rows.append((1000 - k, " ".join(words), "s"))
     df = QUERIES["op10_minhash_near_dedup"](spark, write_documents(spark, str(tmp_path), rows))
     assert Counter(rows_of(df, "doc_id", "n_shingles", "component_id", "kept")) == brute.near(rows)
+
+
+def test_dropping_decides_by_row(spark, odd_ids):
+    """Repeats and rows without id are thinned, and the second text of an id stays."""
+    _, rows = odd_ids
+    a, b, c, d = rows[0][1], rows[1][1], rows[5][1], sentence(24, 90)
+    docs = spark.createDataFrame([*rows, (None, d, "x"), (None, d + " more", "x")], "doc_id bigint, text string, source string")
+    kept = drop_near_duplicates(docs.repartition(3))
+    assert kept.columns == docs.columns
+    left = Counter(rows_of(kept, "doc_id", "text"))
+    last = {key for key in left if key[0] is None and key[1] is not None}
+    assert last < {(None, d), (None, d + " more")} and len(last) == 1
+    assert left == Counter([(5, a), (5, b), (11, c), (None, None), *last])
