@@ -23,6 +23,8 @@ from limnos.session import settle
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+# Letters of scripts that are written without blanks between words.
+UNPARTED = r"[\p{L}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]]"
 
 # Rows of the sample that costs and rejections are estimated on.
 SAMPLE_ROWS = 2000
@@ -104,17 +106,21 @@ class Rule:
 
 
 def standard_rules() -> list[Rule]:
-    """Rules over ``measured`` rows: symbol soup, odd word lengths, copied lines, capitals, words without letters."""
+    """Rules over ``measured`` rows: symbol soup, odd word lengths, copied lines, capitals, words without letters.
+
+    Where most letters belong to scripts without blanks between words, what stands between blanks is no word and may be long.
+    """
     letters = F.size(F.filter("_words", lambda w: w.rlike(r"\p{L}")))
     lines = F.size(lines_with_words(F.col("_text")))
     mean = F.col("word_chars") / F.nullif(F.col("n_words"), F.lit(0))
     upper, lower = (F.regexp_count("_text", F.lit(kind)) for kind in (r"\p{Lu}", r"\p{Ll}"))
+    parted = 2 * F.regexp_count("_text", F.lit(UNPARTED)) <= F.regexp_count("_text", F.lit(r"\p{L}"))
     return [
         Rule("capitals", upper > lower),
         Rule("few_letters", 10 * letters < 7 * F.col("n_words")),
         Rule("copied_lines", 2 * F.col("n_dup_lines") > lines),
         Rule("symbols", 10 * F.col("n_symbols") > 3 * F.col("n_words")),
-        Rule("word_length", (mean < 2.5) | (mean > 14)),
+        Rule("word_length", (mean < 2.5) | ((mean > 14) & parted)),
     ]
 
 

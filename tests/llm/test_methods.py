@@ -125,6 +125,15 @@ def test_quotas_are_highest_quotients(spark, sizes):
     assert max(totals) - min(totals) <= 1
 
 
+def test_word_length_asks_scripts_with_blanks(spark):
+    lines = {1: "清潔的文字沒有空格所以一行就是一個很長的詞", 2: "ภาษาไทยเขียนติดกันโดยไม่มีช่องว่างระหว่างคำ", 3: "unbrokenlatinlettersarenowords", 4: "1234567890123456789"}
+    docs = spark.createDataFrame([(k, "\n".join(f"{line}{n}" for n in range(60))) for k, line in lines.items()], "doc_id int, text string")
+    rule = next(r for r in rules.standard_rules() if r.name == "word_length")
+    got = {r.doc_id: r.out for r in rules.measured(docs).select("_row.doc_id", rule.rejects.alias("out")).collect()}
+    assert got == {1: False, 2: False, 3: True, 4: True}
+    assert {r.doc_id for r in rules.keep_documents(docs).collect()} == {1, 2}
+
+
 def test_sketches_merge(spark):
     a, b = " ".join(f"w{k}" for k in range(900)), " ".join(f"w{k}" for k in range(600, 1500))
     df = spark.createDataFrame([(1, a), (1, b), (2, None), (2, "x")], "key int, text string")
