@@ -4,6 +4,7 @@ Every source is a stream: its documents one after another, in the order of a see
 of ``block`` words. ``quotas`` deals as many blocks as the corpus has to the sources, one after another to the highest
 quotient target / (2 * blocks so far + 1), and splits each source's quota over shards. Shards then
 take consecutive blocks of the stream, which starts over at its end, so a quota above the number of blocks repeats documents.
+``dealt`` tells which words of a document go to which shard, and in which blocks they lie.
 
 Null texts have size 0; a null source is a source of its own and comes last. Rows that agree in id and size are
 interchangeable: either may stand first. Empty input gives empty output. Columns of the input are carried along untouched.
@@ -127,7 +128,8 @@ def mix(
     repeats: int = REPEATS,
 ) -> DataFrame:
     """``docs`` as ``_row`` with ``size``, ``source_size``, ``target``, ``first`` (place in its source's stream),
-    ``rounds`` (times that the whole stream is taken) and ``edge`` (end of the part that is taken once more).
+    ``rounds`` (times that the whole stream is taken), ``edge`` (end of the part that is taken once more), ``block``, ``n_blocks`` of the
+    stream and ``ends``: the block at which each shard stops, counted on when the stream starts over; the next shard starts there.
 
     A stream is summed in ``lanes`` slices, so no source is sorted by one task.
     """
@@ -142,10 +144,14 @@ def mix(
     earlier = Window.partitionBy("_key").orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)
     lanes_at = sums.select("_key", "_lane", F.coalesce(F.sum("lane_size").over(earlier), F.lit(0)).alias("_at"))
     rounds = F.floor(F.coalesce(F.col("quota") / F.nullif(F.col("n_blocks"), F.lit(0)), F.lit(0.0)))
+    ends = F.transform(
+        "shard_quotas", lambda _, s: F.aggregate(F.slice("shard_quotas", F.lit(1), s + 1), F.lit(0).cast("long"), lambda a, b: a + b)
+    )
     plan = plan.select(
         _key(F.col("source")).alias("_key"), "source_size", "target", "quota",
         rounds.alias("rounds"),
         F.least((F.col("quota") - rounds * F.col("n_blocks")) * block, F.col("source_size")).alias("edge"),
+        "n_blocks", ends.alias("ends"),
     )
     lane_plan = settle(lanes_at.join(plan, "_key"), "mix-starts")
     within = Window.partitionBy("_key", "_lane").orderBy("_order", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
@@ -154,15 +160,37 @@ def mix(
         .join(lane_plan, ["_key", "_lane"])
         .select(
             "_row", F.col("_size").alias("size"), "source_size", "target", "rounds", "edge",
+            F.lit(block).cast("long").alias("block"), "n_blocks", "ends",
             (F.col("_at") + F.col("_in_lane")).alias("first"),
         )
     )
 
 
+def dealt() -> Column:
+    """Parts of a document that shards take, in order: ``shard``, ``round`` (from 0), ``start`` and ``stop`` in words of the document,
+    ``first_block`` and ``last_block`` of its source's stream."""
+    block = F.col("block")
+
+    def of_round(r: Column) -> Column:
+        at = r * F.col("n_blocks") * block + F.col("first")
+
+        def part(end: Column, s: Column) -> Column:
+            begin = F.when(s > 0, F.get("ends", s - 1)).otherwise(0)
+            start = F.greatest(begin * block - at, F.lit(0))
+            stop = F.least(end * block - at, F.col("size"))
+            return F.struct(
+                s.alias("shard"), r.alias("round"), start.alias("start"), stop.alias("stop"),
+                F.floor((F.col("first") + start) / block).alias("first_block"), F.floor((F.col("first") + stop - 1) / block).alias("last_block"),
+            )
+
+        return F.filter(F.transform("ends", part), lambda p: p["stop"] > p["start"])
+
+    return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("rounds").cast("long")), of_round))
+
+
 def taken() -> Column:
-    """Words of a document that the mix takes, repeats counted."""
-    once_more = F.greatest(F.lit(0), F.least(F.col("first") + F.col("size"), F.col("edge")) - F.col("first"))
-    return (F.col("rounds") * F.col("size") + once_more).cast("long")
+    """Words of a document that the shards take, repeats counted."""
+    return F.aggregate(dealt(), F.lit(0).cast("long"), lambda total, p: total + p["stop"] - p["start"])
 
 
 def copies() -> Column:
@@ -174,3 +202,8 @@ def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as often as the mix takes it."""
     mixed = mix(docs, **options).withColumn("_copies", copies()).filter("_copies > 0")
     return mixed.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+
+
+def shard_parts(docs: DataFrame, **options) -> DataFrame:
+    """The columns of ``docs`` with one row per part of :func:`dealt`: a shard's blocks are its rows."""
+    return mix(docs, **options).select("_row", F.explode(dealt()).alias("_part")).select("_row.*", "_part.*")

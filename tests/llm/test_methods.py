@@ -125,6 +125,34 @@ def test_quotas_are_highest_quotients(spark, sizes):
     assert max(totals) - min(totals) <= 1
 
 
+def test_shards_take_consecutive_blocks(spark):
+    """Each shard has its quota of blocks, one after another in the stream, which starts over at its end."""
+    pick = random.Random(12)
+    docs = [(k, "abc"[k % 3] if k % 7 else "a", pick.randint(0, 40)) for k in range(120)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, size bigint")
+    options = {"size": F.col("size"), "block": 16, "shards": 5}
+    plan = {r.source: r for r in mixing.quotas(mixing.targets(df.groupBy("source").agg(F.sum("size").alias("source_size"))), 16, 5).collect()}
+    firsts = {r.doc_id: r.first for r in mixing.mix(df, **options).select("_row.doc_id", "first").collect()}
+    sources = {doc: source for doc, source, _ in docs}
+    words = {}
+    for r in mixing.shard_parts(df, **options).collect():
+        stream = [firsts[r.doc_id] + k for k in range(r.start, r.stop)]
+        assert (stream[0] // 16, stream[-1] // 16) == (r.first_block, r.last_block)
+        for w in stream:
+            words.setdefault((sources[r.doc_id], r.shard), []).append((r["round"], w))
+    for source, row in plan.items():
+        at = 0
+        for shard, quota in enumerate(row.shard_quotas):
+            blocks = [divmod(b, row.n_blocks) for b in range(at, at + quota)]
+            want = [(n, w) for n, b in blocks for w in range(16 * b, min(16 * b + 16, row.source_size))]
+            assert sorted(words.get((source, shard), [])) == want
+            at += quota
+        assert at == row.quota
+    parts = mixing.mix(df, **options)
+    once_more = F.greatest(F.lit(0), F.least(F.col("first") + F.col("size"), F.col("edge")) - F.col("first"))
+    assert parts.filter(mixing.taken() != F.col("rounds") * F.col("size") + once_more).count() == 0
+
+
 def test_word_length_asks_scripts_with_blanks(spark):
     lines = {1: "清潔的文字沒有空格所以一行就是一個很長的詞", 2: "ภาษาไทยเขียนติดกันโดยไม่มีช่องว่างระหว่างคำ", 3: "unbrokenlatinlettersarenowords", 4: "1234567890123456789"}
     docs = spark.createDataFrame([(k, "\n".join(f"{line}{n}" for n in range(60))) for k, line in lines.items()], "doc_id int, text string")
