@@ -83,3 +83,25 @@ select s.doc_id, len(s.own) as n_shingles, coalesce(h.component_id, s.doc_id) as
   coalesce(h.component_id, s.doc_id) = s.doc_id as kept
 from sets s left join homes h using (doc_id)
 """
+
+_TERM = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+_SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE["op12_ranked_search"] = f"""
+with texts as (select row_number() over () as row, doc_id, regexp_extract_all({_SMALL}, '{_TERM}') as terms from documents),
+sizes as (select row, doc_id, cast(len(terms) as bigint) as n from texts where len(terms) > 0),
+totals as (select count(*) as docs, cast(sum(n) as bigint) as terms from sizes),
+found as (select row, term, count(*) as tf from (select row, unnest(terms) as term from texts) group by row, term),
+items as (select row_number() over () as item, item_id, regexp_extract_all({_SMALL}, '{_TERM}') as terms from benchmark),
+wanted as (select item, item_id, term, count(*) as times from (select item, item_id, unnest(terms) as term from items) group by item, item_id, term),
+weights as (
+  select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as w
+  from found, totals where term in (select term from wanted) group by term, docs),
+scores as (
+  select i.item, i.item_id, s.row, s.doc_id,
+    cast(sum(i.times * g.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * (25 + (75 * s.n * t.docs) // t.terms)))) as bigint) as score
+  from wanted i join weights g using (term) join found f using (term) join sizes s using (row), totals t
+  group by i.item, i.item_id, s.row, s.doc_id),
+ranked as (
+  select *, row_number() over (partition by item order by score desc, doc_id nulls last) as rank from scores where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 10
+"""

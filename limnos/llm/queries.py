@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnos.llm import bitplanes, chat, fingerprints, layout, mixing, packing, rules, setsketch, sharding, warc
+from limnos.llm import bitplanes, chat, dualtree, fingerprints, layout, mixing, packing, pieces, rules, setsketch, sharding, spelling, warc
 from limnos.llm.words import table
 from limnos.session import settle
 
@@ -99,10 +99,28 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decode=True)
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dualtree.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc_index, op2_best_fit_packing, op3_document_fingerprints, op4_chat_formatting, op5_mixing_sources, op6_sharding,
-        op7_token_output, op8_html_extraction, op9_quality_rules, op10_minhash_near_dedup,
+        op7_token_output, op8_html_extraction, op9_quality_rules, op10_minhash_near_dedup, op11_sentencepiece, op12_ranked_search,
+        op13_spelling_variants,
     )
 }

@@ -47,3 +47,11 @@ def write_conversations(spark, folder: str, rows: list[tuple]) -> str:
         "overwrite"
     ).parquet(f"{folder}/conversations.parquet")
     return folder
+
+
+def write_benchmark(spark, folder: str, rows: list[tuple]) -> str:
+    full = [(item, text, 7, 8) for item, text in rows]
+    spark.createDataFrame(full, "item_id bigint, text string, doc_id bigint, rank int").repartition(2).write.mode("overwrite").parquet(
+        f"{folder}/benchmark.parquet"
+    )
+    return folder
