@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from limnos.llm import files
-from limnos.llm.tokens import encoder, in_parts
+from limnos.llm.tokens import blocks, encoder
 from limnos.llm.words import whole
 from limnos.session import settle
 
@@ -144,18 +144,20 @@ def write_tokens(
         encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
         mark, writer, name = np.array([end], dtype="<u4").tobytes(), None, ""
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in in_parts(texts):
+            keys = batch.column(0).to_pylist()
+            for lo, texts in blocks(batch.column(1)):
                 if writer is None:
                     out, name = files.write(base, f"part-{part:06d}", ".planes")
                     writer = Writer(out, block, bits)
-                for key, ids in zip(keys[lo:hi], encode(texts[lo:hi]), strict=True):
+                for key, ids in zip(keys[lo : lo + len(texts)], encode(texts), strict=True):
                     writer.add(key, ids + mark)
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [len(writer.docs)], "n_ids": [writer.n_ids]})
 
-    in_order = docs.select("doc_id", whole(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # Rows without id, or with one id, are cut by their texts.
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    in_order = docs.select("doc_id", whole(text).alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
     listed = settle(in_order.mapInArrow(written, "part bigint, file string, n_docs bigint, n_ids bigint"), "planes-files")
     # One row per file.
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -44,7 +44,8 @@ def from_turns(rows: DataFrame, key: str = "conv_id", turn: str = "turn") -> Dat
     """
     by_turn = Window.partitionBy(key).orderBy(F.col(turn).asc_nulls_first(), "role", "text")
     place = F.row_number().over(by_turn)
-    tree = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    # A key that reads "null", or anything else, is none that is null.
+    tree = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("-"))
     return rows.select(key, "role", "text", place.alias("_at")).select(
         F.concat_ws(":", tree, F.col("_at")).alias("message_id"),
         F.when(F.col("_at") > 1, F.concat_ws(":", tree, F.col("_at") - 1)).alias("parent_id"),

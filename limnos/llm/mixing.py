@@ -205,5 +205,5 @@ def repeat_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def shard_parts(docs: DataFrame, **options) -> DataFrame:
-    """The columns of ``docs`` with one row per part of :func:`dealt`: a shard's blocks are its rows."""
-    return mix(docs, **options).select("_row", F.explode(dealt()).alias("_part")).select("_row.*", "_part.*")
+    """``_row``, the columns of ``docs``, with one row per part of :func:`dealt`: a shard's blocks are its rows."""
+    return mix(docs, **options).select("_row", F.explode(dealt()).alias("_part")).select("_row", "_part.*")

@@ -39,6 +39,8 @@ select conv_id, count(*) as n_turns,
 from told group by conv_id
 """
 
+# Scripts that are written without blanks between words.
+_UNPARTED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]"
 ORACLE["op9_quality_rules"] = f"""
 with texts as (select doc_id, coalesce(text, '') as t from documents),
 parts as (
@@ -61,7 +63,9 @@ select doc_id, n_words, coalesce(chars, 0) as word_chars, n_symbols, n_dup_lines
   not base_failed and not coalesce(len(regexp_extract_all(t, '\\p{{Lu}}')) > len(regexp_extract_all(t, '\\p{{Ll}}'))
     or 10 * len(list_filter(words, lambda w: regexp_matches(w, '\\p{{L}}'))) < 7 * n_words
     or 2 * n_dup_lines > n_lines or 10 * n_symbols > 3 * n_words
-    or chars / n_words < 2.5 or chars / n_words > 14, false) as kept
+    or chars / n_words < 2.5
+    or (chars / n_words > 14 and 2 * len(list_filter(regexp_extract_all(t, '\\p{{L}}'), lambda c: regexp_matches(c, '{_UNPARTED}')))
+      <= len(regexp_extract_all(t, '\\p{{L}}'))), false) as kept
 from judged
 """
 

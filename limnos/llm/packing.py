@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from limnos.llm.files import ship
-from limnos.llm.tokens import encoder, in_parts
+from limnos.llm.tokens import blocks, encoder
 from limnos.llm.words import whole
 from limnos.session import settle
 
@@ -109,11 +110,11 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = EN
         encode, part, seen = encoder(tokenizer).encode, TaskContext.get().partitionId(), {}
         mark = np.array([end], dtype="<u4").tobytes()
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for lo, hi in in_parts(texts):
+            keys = batch.column(0)
+            for lo, texts in blocks(batch.column(1)):
                 out: dict[str, list] = {name: [] for name in ("piece", "start", "length", "ids", "nth")}
                 rows = []
-                for row, ids in enumerate(encode(texts[lo:hi]), lo):
+                for row, ids in enumerate(encode(texts), lo):
                     ids += mark
                     total = len(ids) // 4
                     at, stop, piece = 0, (total - 1) % capacity + 1, 0
@@ -143,7 +144,8 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = EN
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to rows with ``length``, ``part`` and ``nth``; all other columns are carried along.
+    """Add ``sequence_id`` and ``offset``, in place of columns of that name, to rows with ``length``, ``part`` and ``nth``; all other columns are
+    carried along.
 
     ``pieces`` is read twice and must be a settled table, as its numbers come from tasks.
     """
@@ -154,24 +156,24 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     span = max(1, sum(lengths.values())) + 1
     keys = runs["length"] * span + runs["start"]
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("length", "part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_at"))
-    numbered = pieces.join(settle(starts, "pack-starts"), ["length", "part"]).withColumn("_n", F.col("_at") + F.col("nth"))
+    starts = counts.select("length", "part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("at"))
+    kept = [c for c in pieces.columns if c not in ("part", "nth", "sequence_id", "offset")]
+    carried = pieces.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), "length", "part", "nth")
+    numbered = carried.join(settle(starts, "pack-starts"), ["length", "part"]).select("row", "length", (F.col("at") + F.col("nth")).alias("n"))
 
     def placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = batch.column("length").to_numpy(zero_copy_only=False)
-            n = batch.column("_n").to_numpy(zero_copy_only=False)
+            n = batch.column("n").to_numpy(zero_copy_only=False)
             run = np.searchsorted(keys, length * span + n, side="right") - 1
             nth = n - runs["start"][run]
             sequence = runs["bin"][run] + nth // runs["number"][run]
             offset = runs["offset"][run] + nth % runs["number"][run] * length
-            columns = [batch.column(name) for name in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sequence), pa.array(offset)], names=["row", "sequence_id", "offset"])
 
     ship(pieces.sparkSession)
-    kept = [c for c in pieces.columns if c not in ("part", "nth")]
-    schema = ", ".join(f"`{c}` {numbered.schema[c].dataType.simpleString()}" for c in kept) + ", sequence_id bigint, offset bigint"
-    return numbered.select(*kept, "_n").mapInArrow(placed, schema)
+    schema = T.StructType([numbered.schema["row"], *[T.StructField(c, T.LongType()) for c in ("sequence_id", "offset")]])
+    return numbered.mapInArrow(placed, schema).select("row.*", "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

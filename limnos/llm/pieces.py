@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from limnos.llm.files import ship
-from limnos.llm.tokens import in_parts
+from limnos.llm.tokens import blocks
 from limnos.llm.words import whole
 
 MARK = "▁"
@@ -126,12 +126,11 @@ def encoded(docs: DataFrame, model: str, text: str = "text", decode: bool = Fals
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _chunks(model)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in in_parts(texts, 1_000_000):
-                found = table.encode(texts[lo:hi])
+            for lo, texts in blocks(batch.column(1)):
+                found = table.encode(texts)
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 flat = np.concatenate(found) if found else np.empty(0, np.int32)
-                columns = [batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))]
+                columns = [batch.column(0).slice(lo, len(texts)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))]
                 if decode:
                     columns.append(pa.array(map(table.decode, found), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])

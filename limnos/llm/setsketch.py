@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from limnos.llm.components import components
 from limnos.llm.files import ship
 from limnos.llm.words import whole
+from limnos.operators.ordered import ranked_in_ranges
 from limnos.session import settle
 
 WIDTH = 5
@@ -48,8 +49,8 @@ SLACK = 14.0
 # another round to pay. The rounds only spare work: what they leave is compared in full.
 SMALL, BLOCK, ROUNDS = 32, 256, 6
 WORTH = 0.1
-# Words whose hashes a process keeps.
-KEPT = 500_000
+# Words whose hashes a task keeps.
+KEPT = 200_000
 
 _FACTORS = np.random.default_rng(20).integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -139,6 +140,8 @@ def sketched(docs: DataFrame, text: str = "text") -> DataFrame:
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(found, pa.binary())],
                 names=["doc_id", "n_shingles", "digest", "registers"],
             )
+        # Workers live on; the words would stay beside whatever the next stage holds.
+        _words().clear()
 
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -364,7 +367,9 @@ def near_links(classes: DataFrame, docs: DataFrame, text: str = "text") -> DataF
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every row of ``docs``."""
+    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every row of ``docs``. Ids are of any type that sorts."""
+    if docs.schema["doc_id"].dataType.simpleString() not in ("int", "bigint"):
+        return _by_number(docs, text)
     rows = settle(sketched(docs, text), "near-sketches")
     usable = rows.filter("digest is not null and doc_id is not null")
     classes = settle(
@@ -381,18 +386,30 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     return own.select("doc_id", "n_shingles", home.alias("component_id"), F.coalesce(F.col("doc_id") == home, F.lit(True)).alias("kept"))
 
 
+def _by_number(docs: DataFrame, text: str) -> DataFrame:
+    """The same for ids that are no whole numbers: they are numbered in their order, so that the smallest id has the smallest number."""
+    ids = docs.select("doc_id").filter("doc_id is not null").distinct()
+    numbers = settle(ranked_in_ranges(ids, [], ["doc_id"]).select("doc_id", F.col("_upto").alias("number")), "near-numbers")
+    rows = docs.select("doc_id", F.col(text).alias("text")).join(numbers, "doc_id", "left")
+    found = near_duplicates(rows.select(F.col("number").alias("doc_id"), "text"))
+    for name in ("doc_id", "component_id"):
+        found = found.join(numbers.select(F.col("number").alias(name), F.col("doc_id").alias(f"_{name}")), name, "left").drop(name)
+    return found.select(F.col("_doc_id").alias("doc_id"), "n_shingles", F.col("_component_id").alias("component_id"), "kept")
+
+
 def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row of each component: the one with the smallest id, nulls last, and of several with that id the one with the smallest hash.
 
     Rows are judged one by one, so rows without id and repeats of an id are thinned too, and a second text of an id stays where it is
     no copy. Texts without shingles are all kept.
     """
-    hashed = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
-    rows = docs.withColumns({"_own": F.col("doc_id"), "_hash": F.xxhash64(*hashed)}).withColumn("doc_id", F.monotonically_increasing_id())
+    hashed = [F.col(f"`{c}`") for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("doc_id"), F.col("doc_id").alias("own"), F.xxhash64(*hashed).alias("hash"), F.struct("*").alias("row")
+    )
     rows = settle(rows, "near-rows")
-    homes = settle(near_duplicates(rows, text).select("doc_id", "component_id"), "near-found")
-    order = F.struct(F.col("_own").isNull(), "_own", "_hash", "doc_id")
-    first = rows.select("doc_id", "_own", "_hash").join(homes, "doc_id").groupBy("component_id").agg(F.min(order)["doc_id"].alias("doc_id"))
+    homes = settle(near_duplicates(rows.select("doc_id", F.col("row")[text].alias("text"))).select("doc_id", "component_id"), "near-found")
+    order = F.struct(F.col("own").isNull(), "own", "hash", "doc_id")
+    first = rows.select("doc_id", "own", "hash").join(homes, "doc_id").groupBy("component_id").agg(F.min(order)["doc_id"].alias("doc_id"))
     dropped = settle(homes.select("doc_id").join(first.select("doc_id"), "doc_id", "left_anti"), "near-dropped")
-    kept = rows.join(dropped, "doc_id", "left_anti")
-    return kept.select(*[F.col("_own").alias(c) if c == "doc_id" else F.col(c) for c in docs.columns])
+    return rows.join(dropped, "doc_id", "left_anti").select("row.*")

@@ -69,14 +69,15 @@ def plan(counts: dict[int, int], shards: int, nodes: int = NODES, cells: int = C
 
 
 def assign(rows: DataFrame, key: list[str], order: list[str], shards: int = 16, lanes: int = 16) -> DataFrame:
-    """Add ``shard`` and ``slot``. ``order`` names the columns that tell rows of a cell apart.
+    """Add ``shard`` and ``slot``, in place of columns of that name. ``order`` names the columns that tell rows of a cell apart.
 
     ``rows`` is read several times and should be a settled table. A cell is ranked in ``lanes`` slices.
     """
     spark = rows.sparkSession
     order_hash = F.xxhash64(*key, *order)
     on_ring = rows.select(
-        "*",
+        F.struct("*").alias("_row"),
+        F.struct(*key, *order).alias("_tie"),
         F.pmod(F.xxhash64(*key), F.lit(CELLS)).cast("int").alias("_cell"),
         lane_of(F.lit("lane"), *key, *order, lanes=lanes).cast("int").alias("_lane"),
         order_hash.alias("_order"),
@@ -94,7 +95,7 @@ def assign(rows: DataFrame, key: list[str], order: list[str], shards: int = 16,
             )
         )
     )
-    within = Window.partitionBy("_cell", "_lane").orderBy("_order", *key, *order)
+    within = Window.partitionBy("_cell", "_lane").orderBy("_order", "_tie")
     ranked = on_ring.withColumn("_n", F.row_number().over(within) - 1)
     place = F.col("_at") + F.col("_n")
     hit = (F.col("_cell") == F.col("cell")) & (F.col("_place") >= F.col("start")) & (F.col("_place") < F.col("stop"))
@@ -102,7 +103,7 @@ def assign(rows: DataFrame, key: list[str], order: list[str], shards: int = 16,
         ranked.join(starts, ["_cell", "_lane"])
         .withColumn("_place", place)
         .join(settle(ranges, "ring-ranges"), hit)
-        .select(*[rows[c] for c in rows.columns], "shard", (F.col("slot") + F.col("_place") - F.col("start")).alias("slot"))
+        .select(*[F.col("_row")[c].alias(c) for c in rows.columns if c not in ("shard", "slot")], "shard", (F.col("slot") + F.col("_place") - F.col("start")).alias("slot"))
     )
 
 

@@ -1,8 +1,11 @@
 """Token ids of whole texts by the tokenizers library, for use inside tasks.
 
 Most words come back again and again. A text is cut where the tokenizer is sure to cut, at a blank between two visible characters;
-the pieces' ids are kept, and unknown pieces are encoded together, many in one call. Texts that hold one of the tokenizer's own marks, or have other
-blanks at a cut, are encoded as they are.
+the pieces' ids are kept, and unknown pieces are encoded many in one text and parted again: where tokens say that a word
+begins or ends, or at a separator word between them that comes out as a single id. Texts that hold one of the tokenizer's own marks, or have other blanks at a cut, are encoded as they are.
+
+Two thirds of the distinct pieces of a corpus come once. A piece is therefore kept from the second block of texts on that has it; what a process
+keeps is bounded.
 """
 
 from __future__ import annotations
@@ -11,13 +14,23 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-
-# Bound on kept pieces of a process (two generations of half as many), and on pieces encoded in one call.
-KEPT = 1_100_000
-CALL = 20_000
+import pyarrow as pa
+import pyarrow.compute as pc
+
+# Bound on kept pieces of a process (two generations of half as many, about 200 bytes each), pieces in one joined text, and such texts in one call.
+KEPT = 300_000
+JOINED = 500
+CALL = 40
+# Slots (bytes) that remember pieces seen, and the number of new pieces after which they are forgotten.
+SLOTS, FORGET = 1 << 21, 1 << 19
+# Characters of a block.
+BLOCK = 1_000_000
+# One of these parts joined pieces: the first that is a single id. Pieces that hold it are encoded alone.
+_SEPARATORS = "¬¦¶§^|~"
 
 # A letter and one of these are parted by every vocabulary here, so a word before it need not be learnt twice.
 _ENDS = frozenset(".,;:!?")
@@ -52,23 +65,70 @@ class Encoder:
             self.marks = [mark["content"] for mark in json.load(file)["added_tokens"]]
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.seen, self.n_seen = bytearray(SLOTS), 0
         self.ends = {end: self._whole("a" + end)[len(self._whole("a")) :] for end in _ENDS}
         self.line_break = self._whole("\n")
+        self.small = self._whole("AZ Z") == self._whole("az z")
+        self.separator = next((c for c in _SEPARATORS if len(self._whole(f"a {c}")) == len(self._whole("a")) + 4), None)
+        # Tokens that tell where a word begins or ends, by vocabulary: a blank in front of it, or a mark at its end.
+        names = sorted(self.tokenizer.get_vocab().items(), key=lambda item: item[1])
+        size = names[-1][1] + 1
+        self.begins, self.stops = np.zeros(size, bool), np.zeros(size, bool)
+        for name, number in names:
+            self.begins[number], self.stops[number] = name.startswith("Ġ"), name.endswith("</w>")
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Keep the ids of pieces that stand after a blank or, as their first character says, after a line break."""
-        for at in range(0, len(pieces), CALL):
-            part = pieces[at : at + CALL]
-            texts = [piece[1:] if piece[:1] == "\n" else " " + piece for piece in part]
-            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            for piece, encoding in zip(part, found, strict=True):
-                ids = array("I", encoding.ids).tobytes()
-                self.kept[piece] = self.line_break + ids if piece[:1] == "\n" else ids
-
-    def _keep(self, needed: set[str]) -> None:
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, pieces: list[str], before: str, separator: str, cuts: Callable[[np.ndarray], np.ndarray], skip: int) -> list[bytes]:
+        """Ids of pieces that each stand after ``before``: many are encoded as one text and parted at ``cuts`` (bytes), leaving out ``skip`` bytes there.
+        A text that does not give as many parts as it has pieces is encoded piece by piece."""
+        groups = [pieces[at : at + JOINED] for at in range(0, len(pieces), JOINED)]
+        out: list[bytes] = []
+        for at in range(0, len(groups), CALL):
+            part = groups[at : at + CALL]
+            for group, raw in zip(part, self._batch([before + separator.join(group) for group in part]), strict=True):
+                edges = cuts(np.frombuffer(raw, "<u4")).tolist()
+                if len(edges) == len(group) - 1:
+                    out += [raw[a:b] for a, b in zip([0, *[e + skip for e in edges]], [*edges, len(raw)], strict=True)]
+                else:
+                    out += self._batch([before + piece for piece in group])
+        return out
+
+    def _at(self, mark: bytes) -> Callable[[np.ndarray], np.ndarray]:
+        number = int.from_bytes(mark, "little")
+        return lambda ids: 4 * np.flatnonzero(ids == number)
+
+    def _after_blank(self, pieces: list[str]) -> list[tuple[str, bytes]]:
+        if self.begins.sum() > 1000:
+            ids = self._joined(pieces, " ", " ", lambda found: 4 * np.flatnonzero(self.begins[found])[1:], 0)
+            return list(zip(pieces, ids, strict=True))
+        single = [piece for piece in pieces if piece.isalpha()] if self.stops.sum() > 1000 else []
+        ids = self._joined(single, " ", " ", lambda found: 4 * np.flatnonzero(self.stops[found])[:-1] + 4, 0)
+        rest = list(set(pieces).difference(single))
+        parted = [piece for piece in rest if self.separator and self.separator not in piece]
+        if parted:
+            ids += self._joined(parted, " ", f" {self.separator} ", self._at(self._whole(f"a {self.separator}")[-4:]), 4)
+        alone = list(set(rest).difference(parted))
+        return list(zip([*single, *parted, *alone], [*ids, *self._batch([" " + piece for piece in alone])], strict=True))
+
+    def _learn(self, pieces: list[str]) -> list[tuple[str, bytes]]:
+        """Ids of pieces that stand after a blank or, as their first character says, after a line break."""
+        bare = [piece[1:] for piece in pieces if piece[:1] == "\n"]
+        if not self.line_break:
+            found = self._after_blank(bare)
+        elif len(self.line_break) == 4:
+            found = list(zip(bare, self._joined(bare, "", "\n", self._at(self.line_break), 4), strict=True))
+        else:
+            found = list(zip(bare, self._batch(bare), strict=True))
+        learnt = [("\n" + piece, self.line_break + ids) for piece, ids in found]
+        return learnt + self._after_blank([piece for piece in pieces if piece[:1] != "\n"])
+
+    def _hold(self, needed: set[str]) -> list[str]:
+        """Have the ids of all pieces needed; returns the pieces learnt just now."""
         if len(self.kept) > KEPT // 2:
             self.older, self.kept = self.kept, {}
         kept, older = self.kept, self.older
@@ -76,31 +136,66 @@ class Encoder:
         for piece in new.intersection(older):
             kept[piece] = older[piece]
         new.difference_update(older)
+        if not new:
+            return []
         ended = [piece for piece in new if piece[-1] in _ENDS and piece[:-1].removeprefix("\n").isalpha()]
         new.difference_update(ended)
         bare = {piece[:-1] for piece in ended}
         for piece in bare.intersection(older):
             kept[piece] = older[piece]
         new.update(bare)
-        self._learn(list(new.difference(kept)))
+        learnt = list(new.difference(kept))
+        kept.update(self._learn(learnt))
         for piece in ended:
             kept[piece] = kept[piece[:-1]] + self.ends[piece[-1]]
+        return learnt + ended
+
+    def _release(self, learnt: list[str]) -> None:
+        """Forget the ids of pieces that no other block had."""
+        if self.n_seen > FORGET:
+            self.seen, self.n_seen = bytearray(SLOTS), 0
+        self.n_seen += len(learnt)
+        seen, kept = self.seen, self.kept
+        for piece in learnt:
+            slot = hash(piece) % SLOTS
+            if not seen[slot]:
+                seen[slot] = 1
+                del kept[piece]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        cut: list[list[str] | None] = []
+        """Ids of each text as little-endian unsigned 32-bit numbers. Repeated texts are encoded once."""
+        cut: dict[str, str | None] = {}
         for text in texts:
-            if plain(text) and self._known(text):
+            if text in cut:
+                continue
+            if not plain(text) or not self._known(text):
+                cut[text] = None
+            elif self.line_break:
                 # Line breaks between visible characters are cuts as well; the first word reads as one after a line break.
-                cut.append(("\n" + text.replace("\n", " \n")).split(" "))
+                cut[text] = "\n" + text.replace("\n", " \n")
             else:
-                cut.append(None)
-        self._keep(set().union(*(pieces for pieces in cut if pieces)))
-        ids, extra = self.kept.__getitem__, len(self.line_break)
-        return [
-            self._parted(text) if pieces is None else b"".join(map(ids, pieces))[extra:]
-            for text, pieces in zip(texts, cut, strict=True)
-        ]
+                # Line breaks are blanks then, and letters that the vocabulary makes small anyway need not be learnt twice.
+                cut[text] = (text.encode().lower().decode() if self.small else text).replace("\n", " ")
+        ready = {text: spaced for text, spaced in cut.items() if spaced is not None}
+        found = dict(zip(ready, self._spaced(list(ready.values())), strict=True))
+        return [found[text] if text in found else self._parted(text) for text in texts]
+
+    def _spaced(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts whose pieces stand between single blanks. Only distinct pieces become Python objects; positions take ids by number."""
+        parts = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        names, slots = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        learnt = self._hold(set(names))
+        own = list(map(self.kept.__getitem__, names))
+        self._release(learnt)
+        flat = np.frombuffer(b"".join(own), "<u4")
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        starts = np.cumsum(sizes) - sizes
+        counts = sizes[slots]
+        stops = np.concatenate([[0], np.cumsum(counts)])
+        ids = flat[np.repeat(starts[slots] - stops[:-1], counts) + np.arange(stops[-1])]
+        edges, extra = stops[parts.offsets.to_numpy()], len(self.line_break) // 4
+        return [ids[a + extra : b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
     def _known(self, text: str) -> bool:
         return sure(text) and not any(mark in text for mark in self.marks)
@@ -110,23 +205,26 @@ class Encoder:
         if not text or not self._known(text):
             return self._whole(text)
         head, *pieces = text.split(" ")
-        self._keep(set(pieces))
-        return self._whole(head) + b"".join(map(self.kept.__getitem__, pieces))
+        learnt = self._hold(set(pieces))
+        ids = self._whole(head) + b"".join(map(self.kept.__getitem__, pieces))
+        self._release(learnt)
+        return ids
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One encoder per process and vocabulary."""
+    """One encoder per process: that of the vocabulary used last."""
     return Encoder(path)
 
 
-def in_parts(texts: list[str], chars: int = 4_000_000):
-    """Slices of a list whose texts have about ``chars`` characters, so that memory does not follow the batch."""
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= chars:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, list[str]]]:
+    """Texts of a column in blocks of about ``size`` bytes, each with its first row; only one block at a time is Python text."""
+    if not len(column):
+        return
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(column):
+        before = ends[start - 1] if start else 0
+        stop = min(len(column), int(np.searchsorted(ends, before + size)) + 1)
+        yield start, column.slice(start, stop - start).to_pylist()
+        start = stop

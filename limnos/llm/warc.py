@@ -39,6 +39,8 @@ NO_URL = "-"
 # Index files that one read of the top level may list: its size bound.
 INDEX_FILES = 1024
 
+# Bytes of records that a task reads.
+READ = 8_000_000
 CAPTURE = "key string, page_id bigint, record_type string, file string, offset bigint, length bigint"
 
 
@@ -272,7 +274,7 @@ def lookup(index: Index, urls: DataFrame, url: str = "url") -> DataFrame:
     keys = urls.select(url_key(F.col(url)).alias("key")).distinct()
     wanted = settle(keys.mapInArrow(holders, "index_file string, key string"), "warc-wanted")
     order = ["index_file", "key"]
-    return wanted.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(found, CAPTURE)
+    return wanted.repartitionByRange(max(1, len(top)), *order).sortWithinPartitions(*order).mapInArrow(found, CAPTURE)
 
 
 def read_records(spark: SparkSession, base: str, captures: DataFrame, payload: bool = False) -> DataFrame:
@@ -301,5 +303,7 @@ def read_records(spark: SparkSession, base: str, captures: DataFrame, payload: b
     names = set(schema.names)
     kinds = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
     order = ["file", "offset"]
-    placed = captures.select("file", "offset", "length").repartitionByRange(*order).sortWithinPartitions(*order)
+    # The rows are small and the records are not: tasks follow the bytes to be read.
+    tasks = -(-(captures.agg(F.sum("length")).first()[0] or 0) // READ) or 1
+    placed = captures.select("file", "offset", "length").repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     return placed.mapInArrow(records, kinds + ", payload binary" * payload)

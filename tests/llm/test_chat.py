@@ -85,3 +85,11 @@ def test_spans_cover_trained_texts(spark):
     parts = [made.formatted[s.first : s.first + s.length] for s in made.loss_spans]
     assert parts == ["\\s", ""]
     assert made.formatted.count(chat.CLOSE) == 4
+
+
+def test_a_null_key_is_no_key_that_reads_null(spark):
+    rows = [("null", 1, "user", "a"), ("null", 2, "user", "b"), (None, 1, "user", "c"), (None, 2, "user", "d"), ("-", 1, "user", "e"), ("", 1, "user", "f")]
+    messages = chat.from_turns(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string"))
+    assert messages.select("message_id").distinct().count() == 6
+    held = chat.read_back(chat.formatted(messages, chat.paths(messages)))
+    assert {r.conv_id: [t.text for t in r.turns] for r in held.collect()} == {"null": ["a", "b"], None: ["c", "d"], "-": ["e"], "": ["f"]}

@@ -7,9 +7,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from limnos.llm import mixing, packing, rules, sharding
 from limnos.llm.queries import QUERIES
-from limnos.llm.setsketch import drop_near_duplicates
+from limnos.llm.setsketch import drop_near_duplicates, near_duplicates
+from limnos.session import settle
 from tests.llm import brute
 from tests.llm.tables import odd_documents, sentence, write_documents
 
@@ -166,6 +169,37 @@ def test_near_duplicates_of_odd_ids(spark, odd_ids):
     assert Counter(rows_of(df, "doc_id", "n_shingles", "component_id", "kept")) == brute.near(rows)
 
 
+def test_near_duplicates_of_text_ids(spark, odd_ids):
+    """Ids of any type that sorts; the smallest in their own order names the component."""
+    _, rows = odd_ids
+    named = [(None if doc is None else f"d{doc}", text, source) for doc, text, source in rows]
+    df = near_duplicates(spark.createDataFrame(named, "doc_id string, text string, source string"))
+    assert Counter(rows_of(df, "doc_id", "n_shingles", "component_id", "kept")) == brute.near(named)
+
+
+CLASHING = "doc_id bigint, text string, source string, _own string, _hash int, hash string, `row` int, own int, slot int, start int, part string, sequence_id int, at int, n int, `odd name` int"
+
+
+def test_clashing_columns_come_back_as_they_were(spark):
+    rows = [(k, sentence(40 + k // 2, 60), "ab"[k % 2], "o", k, "h", 1, 2, 3, 4, "p", 5, 6, 7, 8) for k in range(8)]
+    docs = spark.createDataFrame(rows, CLASHING)
+    kept = drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [r for r in rows if r[0] % 2 == 0]
+    placed = sharding.assign(docs, ["doc_id"], ["text"], 3)
+    others = [c for c in docs.columns if c != "slot"]
+    assert sorted(rows_of(placed, *[f"`{c}`" for c in others])) == sorted(rows_of(docs, *[f"`{c}`" for c in others]))
+    assert Counter(r["slot"] for r in placed.filter("shard = 0").collect()) == Counter(range(3))
+    parts = mixing.shard_parts(docs, block=8, shards=2)
+    assert parts.columns.count("start") == 1 and {r["_row"]["start"] for r in parts.collect()} == {4}
+    assert mixing.repeat_documents(docs, block=8).columns == docs.columns
+    pieces = docs.withColumns({"length": F.col("doc_id") * 100 + 1, "part": F.lit(0), "nth": F.lit(0).cast("long")})
+    packed = packing.pack(settle(pieces), 1024)
+    want = [c for c in pieces.columns if c not in ("part", "nth", "sequence_id")]
+    assert packed.columns == [*want, "sequence_id", "offset"]
+    assert sorted(rows_of(packed, *[f"`{c}`" for c in want])) == sorted(rows_of(pieces, *[f"`{c}`" for c in want]))
+    assert {tuple(r.asDict(True)) for r in rules.keep_documents(docs).collect()} <= {tuple(docs.columns)}
+
+
 def test_a_large_group_of_near_copies(spark, tmp_path):
     """More copies than a small bucket holds, some linked with few others only."""
     pick = random.Random(9)

@@ -135,7 +135,7 @@ def test_shards_take_consecutive_blocks(spark):
     firsts = {r.doc_id: r.first for r in mixing.mix(df, **options).select("_row.doc_id", "first").collect()}
     sources = {doc: source for doc, source, _ in docs}
     words = {}
-    for r in mixing.shard_parts(df, **options).collect():
+    for r in mixing.shard_parts(df, **options).select("_row.doc_id", "shard", "round", "start", "stop", "first_block", "last_block").collect():
         stream = [firsts[r.doc_id] + k for k in range(r.start, r.stop)]
         assert (stream[0] // 16, stream[-1] // 16) == (r.first_block, r.last_block)
         for w in stream:
