@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from limnos.operators.joins import live
@@ -132,6 +132,76 @@ def clashes(candidates: DataFrame, bookings: DataFrame, hot: int = HOT) -> DataF
     )
 
 
+def _neighbours(stays: DataFrame, asked: DataFrame | None, hot: int) -> DataFrame:
+    """Rows to be judged (``room_id``, ``row``, ``at``, ``until``) with ``before``: of the stays that come earlier in a room, by start, the one
+    that ends last (until, id); and ``after``: the first stay that comes later (at, id).
+
+    One running maximum and one look ahead, so no pair of stays is made. A large room is cut into ranges of its order; each takes the maximum of the
+    ranges before it and the first stay of those after it. Of equal ends the highest id counts.
+    """
+
+    def points(df: DataFrame, is_stay: bool) -> DataFrame:
+        row = F.struct(*[F.col(c) for c in df.columns]) if is_stay == (asked is None) else F.lit(None)
+        return df.select(
+            "room_id", F.col("check_in").alias("at"), F.col("check_out").alias("until"), F.lit(0 if is_stay else 1).alias("late"),
+            F.col("id").alias("own"), row.alias("row"),
+        )
+
+    rows = points(stays, True) if asked is None else points(stays, True).drop("row").unionByName(points(asked, False), allowMissingColumns=True)
+    order = ["at", "late", "own"]
+    ends = F.when(F.col("late") == 0, F.struct("until", F.col("own").alias("id")))
+    starts = F.when(F.col("late") == 0, F.struct("at", F.col("own").alias("id")))
+
+    def swept(df: DataFrame, by: Sequence[str]) -> DataFrame:
+        group = Window.partitionBy(*by).orderBy(*sort_columns(order))
+        earlier, later = group.rowsBetween(Window.unboundedPreceding, -1), group.rowsBetween(1, Window.unboundedFollowing)
+        return df.withColumns({"before": F.max(ends).over(earlier), "after": F.min(starts).over(later)})
+
+    if not _too_large(stays, asked, hot):
+        return swept(rows, ["room_id"]).filter(F.col("row").isNotNull())
+    ranged = rows.repartitionByRange("room_id", *sort_columns(order)).withColumn("_range", F.spark_partition_id())
+    ranged = settle(ranged, "swept")
+    sums = ranged.groupBy("room_id", "_range").agg(F.max(ends).alias("last"), F.min(starts).alias("first"))
+    group = Window.partitionBy("room_id").orderBy("_range")
+    carried = sums.select(
+        F.col("room_id").alias("_room"), F.col("_range").alias("_in"),
+        F.max("last").over(group.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.min("first").over(group.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    inside = swept(ranged, ["room_id", "_range"]).filter(F.col("row").isNotNull())
+    on = F.col("room_id").eqNullSafe(F.col("_room")) & (F.col("_range") == F.col("_in"))
+    return inside.join(settle(carried, "carried"), on).withColumns(
+        {"before": F.greatest("before", "_before"), "after": F.least("after", "_after")}
+    )
+
+
+def _witnessed(swept: DataFrame) -> DataFrame:
+    """The judged rows with ``witness``: a stay that overlaps, or null. If any earlier stay overlaps, the one that ends last does; if any later one does,
+    the next does."""
+    earlier = F.when(F.col("before.until") >= F.col("at"), F.col("before.id"))
+    later = F.when(F.col("after.at") <= F.col("until"), F.col("after.id"))
+    return swept.select("row.*", F.coalesce(earlier, later).alias("witness"))
+
+
+def conflict_witness(bookings: DataFrame, hot: int = HOT) -> DataFrame:
+    """Active bookings that overlap others of their room, with the id of one that they overlap: the earlier one that ends last, else the next one.
+
+    Ids are unique; bookings without room, or with ends out of order, overlap nothing.
+    """
+    stays = active(bookings).filter("room_id is not null and check_in <= check_out")
+    return _witnessed(_neighbours(stays, None, hot)).filter(F.col("witness").isNotNull())
+
+
+def blocked_by(requests: DataFrame, bookings: DataFrame, hot: int = HOT) -> DataFrame:
+    """``requests`` plus ``witness``: the id of an active booking of the room that stands in the way, or null. Requests are new, so none of the
+    bookings is their own; one without room or with ends out of order is in nobody's way and gets null."""
+    stays = active(bookings).filter("room_id is not null and check_in <= check_out")
+    proper = F.coalesce(F.col("room_id").isNotNull() & (F.col("check_in") <= F.col("check_out")), F.lit(False))
+    found = _witnessed(_neighbours(stays, requests.filter(proper), hot))
+    kind = stays.schema["id"].dataType
+    return found.unionByName(requests.filter(~proper).withColumn("witness", F.lit(None).cast(kind)))
+
+
 def clusters(stays: DataFrame, hot: int = HOT) -> DataFrame:
     """``stays`` plus ``cluster``: stays of a room that are linked by overlaps share a number.
 

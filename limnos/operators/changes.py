@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limnos.functions.text import natural_id
+from limnos.operators.graph import components
+from limnos.operators.ordered import largest_group, mark_first
 from limnos.session import settle
 
 ACCEPTED = "accepted"
+# The reason of a row that does not say where it comes in the order.
+UNORDERED = "no place in the order"
+
+# Rounds in which rows that are first for all their keys go ahead, and rows of one component that a task settles at a time.
+ROUNDS = 2
+BLOCK = 200_000
 
 
 def with_defaults(df: DataFrame, defaults: Mapping[str, Column], key: Sequence[str] = ()) -> DataFrame:
@@ -38,16 +48,22 @@ def keyed(new: DataFrame, key: Sequence[str], seq: str) -> tuple[DataFrame, Data
 
 
 def insert_unique(
-    base: DataFrame, new: DataFrame, keys: Mapping[str, Sequence[str]], seq: str
+    base: DataFrame, new: DataFrame, keys: Mapping[str, Sequence[str]], seq: str, block: int = BLOCK
 ) -> tuple[DataFrame, DataFrame]:
     """Split ``new`` into accepted rows and rejected rows with a ``reason``.
 
     ``keys`` maps a reason to the columns that must be unique, checked in that order. A row is
     rejected when ``base`` or an earlier accepted row (by ``seq``, which is unique) has the same key; a
-    key with a null in it is free. A row that is first for all its keys is accepted; with one
-    key that decides everything, with several the rest goes round again until none is left.
+    key with a null in it is free. A row without ``seq`` has no place in the order: it is rejected, whatever its keys.
+
+    With one key the first row of each key decides everything. With several, rows that are first for all their keys are accepted and those
+    that these rule out rejected, ``ROUNDS`` times; that settles nearly all of a usual batch. What is left are chains, in which each row
+    waits for the one before: components of rows that share keys are independent, and a task settles them row by row. Of a component above
+    ``block`` rows the first ``block`` are settled, and what is left goes round again.
     """
     columns = new.columns
+    unplaced = new.filter(F.col(seq).isNull()).select(*columns, F.lit(UNORDERED).alias("reason"))
+    new = new.filter(F.col(seq).isNotNull())
     if len(keys) == 1:
         ((reason, cols),) = keys.items()
         known = base.select(*cols).dropna().distinct().withColumn("_known", F.lit(True))
@@ -55,7 +71,7 @@ def insert_unique(
         refused = F.coalesce("_known", F.lit(False)) | F.coalesce(F.col("_first") != F.col(seq), F.lit(False))
         return (
             judged.filter(~refused).select(*columns),
-            judged.filter(refused).select(*columns, F.lit(reason).alias("reason")),
+            judged.filter(refused).select(*columns, F.lit(reason).alias("reason")).unionByName(unplaced),
         )
 
     accepted: list[DataFrame] = []
@@ -66,27 +82,79 @@ def insert_unique(
         rejected.append(pending.join(known, list(cols), "left_semi").select(*columns))
         pending = pending.join(known, list(cols), "left_anti").select(*columns)
     pending = settle(pending, "pending")
+    turn = 0
     while not pending.isEmpty():
-        ranked = pending
-        wins = F.lit(True)
-        for i, cols in enumerate(keys.values()):
-            ranked = _look_up(ranked, _firsts(pending, cols, seq), cols).withColumnRenamed("_first", f"_first{i}")
-            wins = wins & F.coalesce(F.col(f"_first{i}") == F.col(seq), F.lit(True))
-        ranked = settle(ranked.withColumn("_wins", wins), "ranked")
-        won = ranked.filter("_wins").select(*columns)
+        if turn < ROUNDS:
+            judged = _first_of_all(pending, keys, seq)
+        else:
+            judged = _in_components(pending, keys, seq, block)
+        turn += 1
+        won = judged.filter("_wins").select(*columns)
         accepted.append(won)
-        rest = ranked.filter(~F.col("_wins")).select(*columns)
-        clash = None
-        for reason, cols in keys.items():
-            taken = won.select(*cols).dropna().withColumn(f"_t_{reason}", F.lit(True))
+        rejected.append(judged.filter(~F.col("_wins")).select(*columns))
+        rest = judged.filter(F.col("_wins").isNull()).select(*columns)
+        hit = F.lit(False)
+        for i, cols in enumerate(keys.values()):
+            taken = won.select(*cols).dropna().withColumn(f"_taken{i}", F.lit(True))
             rest = rest.join(taken, list(cols), "left")
-            hit = F.col(f"_t_{reason}")
-            clash = F.when(hit, reason) if clash is None else clash.when(hit, reason)
-        rest = settle(rest.withColumn("_clash", clash).select(*columns, "_clash"), "rest")
-        rejected.append(rest.filter(F.col("_clash").isNotNull()).drop("_clash"))
-        pending = rest.filter(F.col("_clash").isNull()).drop("_clash")
+            hit = hit | F.col(f"_taken{i}").isNotNull()
+        rest = settle(rest.withColumn("_hit", hit).select(*columns, "_hit"), "rest")
+        rejected.append(rest.filter("_hit").drop("_hit"))
+        pending = rest.filter(~F.col("_hit")).drop("_hit")
     taken = settle(_union(accepted or [pending]), "accepted")
-    return taken, _with_reason(_union(rejected), base, taken, keys, seq)
+    return taken, _with_reason(_union(rejected), base, taken, keys, seq).unionByName(unplaced)
+
+
+def _first_of_all(pending: DataFrame, keys: Mapping[str, Sequence[str]], seq: str) -> DataFrame:
+    """``pending`` with ``_wins``: true for rows that are first for all their keys, null for others."""
+    ranked, wins = pending, F.lit(True)
+    for i, cols in enumerate(keys.values()):
+        ranked = _look_up(ranked, _firsts(pending, cols, seq), cols).withColumnRenamed("_first", f"_first{i}")
+        wins = wins & F.coalesce(F.col(f"_first{i}") == F.col(seq), F.lit(True))
+    return settle(ranked.withColumn("_wins", F.when(wins, True)).select(*pending.columns, "_wins"), "ranked")
+
+
+def _in_components(pending: DataFrame, keys: Mapping[str, Sequence[str]], seq: str, block: int) -> DataFrame:
+    """``pending`` with ``_wins``: the verdict for the first ``block`` rows of every component of rows that share keys, null for others."""
+    links = []
+    for cols in keys.values():
+        # Every row of a key is linked with the key's first, so a key with many rows makes as many links and no pairs.
+        firsts = _look_up(pending.select(seq, *cols), _firsts(pending, cols, seq), cols)
+        links.append(firsts.select(F.col("_first").alias("a"), F.col(seq).alias("b")))
+    labels = components(_union(links)).withColumnRenamed("id", seq)
+    grouped = settle(
+        pending.join(labels, seq, "left").withColumn("_component", F.coalesce("component", seq)).drop("component"), "components"
+    )
+    part = "_component"
+    if largest_group(grouped, [part]) > block:
+        grouped = settle(mark_first(grouped, [part], [seq], block, out="_now").drop("n"), "components")
+    else:
+        grouped = grouped.withColumn("_now", F.lit(True))
+    held = [F.to_json(F.struct(*cols)).alias(f"_k{i}") for i, cols in enumerate(keys.values())]
+    free = [reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols]) for cols in keys.values()]
+    told = grouped.filter("_now").select(seq, part, *[F.when(~f, h).alias(f"_k{i}") for i, (f, h) in enumerate(zip(free, held, strict=True))])
+    kind = pending.schema[seq].dataType.simpleString()
+    verdicts = (
+        told.repartition(part).sortWithinPartitions(part, seq).select(part, F.col(seq).alias("seq"), F.array(*[f"_k{i}" for i in range(len(keys))]).alias("held"))
+        .mapInPandas(_one_by_one, f"seq {kind}, wins boolean")
+    )
+    verdicts = settle(verdicts.select(F.col("seq").alias(seq), F.col("wins").alias("_wins")), "verdicts")
+    return settle(grouped.join(verdicts, seq, "left").select(*pending.columns, "_wins"), "judged")
+
+
+def _one_by_one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Verdicts in order, over rows sorted by component and then by their place in it: a row wins if nobody before it took one of its keys."""
+    at, taken = None, set()
+    for batch in batches:
+        wins = np.zeros(len(batch), dtype=bool)
+        for row, (component, held) in enumerate(zip(batch["_component"], batch["held"], strict=True)):
+            if component != at:
+                at, taken = component, set()
+            mine = [(i, key) for i, key in enumerate(held) if key is not None]
+            if not any(key in taken for key in mine):
+                wins[row] = True
+                taken.update(mine)
+        yield pd.DataFrame({"seq": batch["seq"], "wins": wins})
 
 
 def _with_reason(
@@ -148,8 +216,11 @@ def without_duplicates(
     """Split updates into those that keep the unique columns unique and those that do not, with ``reason``.
 
     The new key is the given value where there is one, else the row's current one. A change may keep its
-    own value; it may not take one that another row holds or that an earlier change of another row asks for.
+    own value; it may not take one that another row holds or that an earlier change of another row asks for. A change without ``seq``
+    has no place in the order and is refused; of changes with one ``seq`` the smallest ``key`` comes first.
     """
+    unplaced = changes.filter(F.col(seq).isNull()).withColumn("reason", F.lit(UNORDERED))
+    changes = changes.filter(F.col(seq).isNotNull())
     current = base.select(key, *{c for cols in unique.values() for c in cols})
     columns = changes.columns
     verdict = None
@@ -167,7 +238,7 @@ def without_duplicates(
             wanted.filter(~F.col("_keeps"))
             .dropna(subset=wants)
             .groupBy(*wants)
-            .agg(F.min_by(key, seq).alias("_winner"))
+            .agg(F.min_by(key, F.struct(seq, key)).alias("_winner"))
         )
         decided = _look_up(wanted, asks.join(holders.distinct(), wants, "left"), wants)
         bad = ~F.col("_keeps") & (F.coalesce("_held", F.lit(False)) | (F.col("_winner") != F.col(key)))
@@ -177,7 +248,8 @@ def without_duplicates(
         flag = F.col(f"_bad_{reason}")
         verdict = F.when(flag, reason) if verdict is None else verdict.when(flag, reason)
     judged = changes.withColumn("reason", verdict).select(*columns, "reason")
-    return judged.filter(F.col("reason").isNull()).drop("reason"), judged.filter(F.col("reason").isNotNull())
+    refused = judged.filter(F.col("reason").isNotNull()).unionByName(unplaced)
+    return judged.filter(F.col("reason").isNull()).drop("reason"), refused
 
 
 def soft_delete(base: DataFrame, keys: DataFrame, key: str, at: Column) -> DataFrame:

@@ -67,6 +67,30 @@ def test_clashes_leave_out_the_booking_itself(spark, hot):
     assert got == {m[0]: any(overlap(m, o) for o in active if o[0] != m[0]) for m in moved}
 
 
+@pytest.mark.parametrize("hot", [10**6, 3])
+def test_every_conflict_has_a_witness(spark, hot):
+    rows = stays(5) + [(900, None, BASE, BASE + 200 * DAY, "booked", None), (901, 1, BASE + 50 * DAY, BASE, "booked", None)]
+    active = [r for r in rows if is_active(r) and r[1] is not None and r[2] <= r[3]]
+    by_id = {r[0]: r for r in active}
+    got = {r.id: r for r in b.conflict_witness(spark.createDataFrame(rows, STAY), hot=hot).collect()}
+    assert set(got) == {r[0] for r in active if any(overlap(r, o) for o in active if o[0] != r[0])}
+    for id_, row in got.items():
+        assert row.witness != id_ and overlap(by_id[id_], by_id[row.witness])
+    assert set(next(iter(got.values())).asDict()) == {"id", "room_id", "check_in", "check_out", "status", "deleted_at", "witness"}
+
+
+@pytest.mark.parametrize("hot", [10**6, 3])
+def test_requests_learn_what_blocks_them(spark, hot):
+    rows, asked = stays(6), stays(7, n=90, first_id=2000) + [(3000, None, BASE, BASE + DAY, "x", None), (3001, 1, BASE + 9 * DAY, BASE, "x", None)]
+    active = {r[0]: r for r in rows if is_active(r) and r[2] <= r[3]}
+    got = {r.id: r.witness for r in b.blocked_by(spark.createDataFrame(asked, STAY), spark.createDataFrame(rows, STAY), hot=hot).collect()}
+    assert set(got) == {r[0] for r in asked}
+    for r in asked:
+        blocked = r[1] is not None and r[2] <= r[3] and any(overlap(r, o) for o in active.values())
+        assert (got[r[0]] is not None) == blocked
+        assert not blocked or overlap(r, active[got[r[0]]])
+
+
 @pytest.mark.parametrize("hot", [10**6, 3])
 def test_clusters(spark, hot):
     rows = stays(4, n=80)

@@ -260,3 +260,60 @@ def test_room_and_booking_rules(spark):
 
 def test_query_names_are_plain():
     assert not [n for n in QUERIES if n == "pipeline" or n.startswith("op")]
+
+
+def in_order(new):
+    """Verdicts of rows (seq, name, mail) one after another."""
+    names, mails, want = set(), set(), {}
+    for seq, name, mail in sorted(new, key=lambda r: r[0]):
+        want[seq] = "mail" if mail is not None and mail in mails else "name" if name is not None and name in names else "ok"
+        if want[seq] == "ok":
+            names.add(name)
+            mails.add(mail)
+    return want
+
+
+SIGN_UP = "seq int, name string, mail string"
+UNIQUE = {"mail": ["mail"], "name": ["name"]}
+
+
+def settled_rows(spark, new, **options):
+    accepted, rejected = changes.insert_unique(
+        spark.createDataFrame([], "name string, mail string"), spark.createDataFrame(new, SIGN_UP), UNIQUE, "seq", **options
+    )
+    return {r.seq: "ok" for r in accepted.collect()} | {r.seq: r.reason for r in rejected.collect()}
+
+
+@pytest.mark.parametrize("block", [200_000, 40])
+def test_a_chain_of_sign_ups_takes_few_rounds(spark, monkeypatch, block):
+    """Every sign-up shares its mail or its name with the one before: each verdict hangs on the last."""
+    n = 120
+    new = [(k, f"n{(k + 1) // 2}", f"m{k // 2}") for k in range(n)] + [(n + k, f"a{k % 9}", f"b{k % 7}") for k in range(40)]
+    rounds = []
+    own = changes._in_components
+    monkeypatch.setattr(changes, "_in_components", lambda *args: rounds.append(1) or own(*args))
+    assert settled_rows(spark, new, block=block) == in_order(new)
+    assert len(rounds) == 1 if block > n else 1 < len(rounds) <= 4
+
+
+def test_rows_without_a_place_in_the_order_are_rejected(spark):
+    one = [(1, "a"), (None, "a"), (None, "a"), (2, "b"), (None, None)]
+    accepted, rejected = changes.insert_unique(
+        spark.createDataFrame([], "name string"), spark.createDataFrame(one, "seq int, name string"), {"name": ["name"]}, "seq"
+    )
+    assert sorted((r.seq, r.name) for r in accepted.collect()) == [(1, "a"), (2, "b")]
+    assert [r.reason for r in rejected.collect()] == [changes.UNORDERED] * 3
+    two = [(1, "a", "x"), (None, "a", "y"), (None, "c", "z"), (2, "b", "x"), (3, None, None)]
+    accepted, rejected = changes.insert_unique(
+        spark.createDataFrame([], "name string, mail string"), spark.createDataFrame(two, SIGN_UP), UNIQUE, "seq"
+    )
+    assert sorted(r.seq for r in accepted.collect()) == [1, 3]
+    assert sorted((r.seq or 0, r.reason) for r in rejected.collect()) == [(0, changes.UNORDERED), (0, changes.UNORDERED), (2, "mail")]
+
+
+def test_updates_without_a_place_in_the_order_are_refused(spark):
+    base = spark.createDataFrame([(1, "x"), (2, "y"), (3, "w")], "id int, name string")
+    asked = spark.createDataFrame([(1, None, "z"), (2, None, "z"), (3, 7, "z"), (2, 7, "z")], "id int, seq int, name string")
+    kept, refused = changes.without_duplicates(base, asked, "id", "seq", {"taken": ["name"]})
+    assert [(r.id, r.seq) for r in kept.collect()] == [(2, 7)]
+    assert sorted((r.id, r.reason) for r in refused.collect()) == [(1, changes.UNORDERED), (2, changes.UNORDERED), (3, "taken")]
