@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from limnos.operators.joins import live
-from limnos.operators.ordered import largest_group, mark_first, micros, running_sums, sort_columns
+from limnos.operators.ordered import largest_group, mark_first, micros, ranked_in_ranges, running_sums, sort_columns
 from limnos.operators.paging import page
 from limnos.session import HOT, settle
 
@@ -247,6 +247,49 @@ def _settle_clusters(pending: DataFrame) -> DataFrame:
     )
 
 
+_CLUSTER = ["room_id", "cluster"]
+
+
+def _in_stay_order(pending: DataFrame, block: int) -> tuple[DataFrame, DataFrame] | None:
+    """Clusters of more than ``block`` requests that come in the order of their stays, with ``_pos`` (place in that order) and ``n``; and all other
+    requests. None if there are no such clusters."""
+    large = settle(pending.groupBy(*_CLUSTER).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > block).drop("_rows"), "large")
+    rows = pending.join(large, _CLUSTER, "left_semi")
+    by_seq = ranked_in_ranges(rows, _CLUSTER, ["seq"]).withColumnRenamed("_upto", "_asked").drop("n")
+    ranked = settle(ranked_in_ranges(by_seq, _CLUSTER, ["check_in", "seq"]).withColumnRenamed("_upto", "_pos"), "ranked")
+    mixed = settle(ranked.filter("_asked != _pos").select(*_CLUSTER).distinct(), "mixed")
+    chosen = settle(ranked.join(mixed, _CLUSTER, "left_anti").drop("_asked"), "in-order")
+    if chosen.isEmpty():
+        return None
+    return chosen, settle(pending.join(chosen.select(*_CLUSTER).distinct(), _CLUSTER, "left_anti"), "pending")
+
+
+def _settle_in_order(rows: DataFrame) -> DataFrame:
+    """Outcome per request of clusters in stay order.
+
+    After an accepted stay the next one that starts when it has ended is accepted, and none between: its place is one above the number of stays
+    that started by then. Those pointers are doubled until they leave the cluster, and the chain from the first request is walked by the
+    doubled pointers, longest first; so rounds grow with the logarithm of what is accepted.
+    """
+    points = rows.select(
+        *_CLUSTER, F.inline(F.array(*[F.struct(F.col(c).alias("at"), F.lit(n).alias("starts")) for c, n in (("check_in", 1), ("check_out", 0))]))
+    )
+    started = running_sums(points, _CLUSTER, "at", ["starts"]).select(*_CLUSTER, F.col("at").alias("check_out"), "cum_starts")
+    following = rows.join(started, [*_CLUSTER, "check_out"]).filter(F.col("cum_starts") < F.col("n"))
+    jump = settle(following.select(*_CLUSTER, "_pos", (F.col("cum_starts") + 1).alias("_next")), "jumps")
+    jumps = []
+    while not jump.isEmpty():
+        jumps.append(jump)
+        beyond = jump.select(*_CLUSTER, F.col("_pos").alias("_next"), F.col("_next").alias("_after"))
+        jump = settle(jump.join(beyond, [*_CLUSTER, "_next"]).select(*_CLUSTER, "_pos", F.col("_after").alias("_next")), "jumps")
+    reached = settle(rows.filter("_pos = 1").select(*_CLUSTER, "_pos"), "reached")
+    for jump in reversed(jumps):
+        further = reached.join(jump, [*_CLUSTER, "_pos"]).select(*_CLUSTER, F.col("_next").alias("_pos"))
+        reached = settle(reached.unionByName(further), "reached")
+    told = rows.join(reached.withColumn("_free", F.lit(True)), [*_CLUSTER, "_pos"], "left")
+    return told.select("seq", F.when(F.col("_free"), ACCEPTED).otherwise(TAKEN_IN_BATCH).alias("outcome"))
+
+
 def admit(
     bookings: DataFrame, requests: DataFrame, seq: str = "id", block: int = BLOCK, hot: int = HOT
 ) -> DataFrame:
@@ -256,7 +299,8 @@ def admit(
     requests, in the order of ``seq``, which must be unique; a request without one is not accepted. Clusters of linked stays are
     independent and run in parallel. Of a cluster above ``block`` requests the first ``block`` are settled,
     those that overlap the accepted ones fall out, and what is left, now in smaller clusters, goes
-    round again; each round settles at least the earliest request of every cluster.
+    round again; each round settles at least the earliest request of every cluster. A cluster above ``block`` whose requests come in the order of
+    their stays, which would need a round for each ``block`` of them, is settled at once by pointers.
     """
     asked = requests.select(F.col(seq).alias("seq"), "room_id", "check_in", "check_out")
     good = F.coalesce(valid_stay() & F.col("seq").isNotNull(), F.lit(False))
@@ -271,7 +315,12 @@ def admit(
     pending = settle(clusters(checked.filter(F.col("n_overlaps") == 0).drop("n_overlaps"), hot), "pending")
     outcomes = [invalid, taken]
 
-    while largest_group(pending, ["room_id", "cluster"]) > block:
+    while largest_group(pending, _CLUSTER) > block:
+        in_order = _in_stay_order(pending, block)
+        if in_order is not None:
+            outcomes.append(settle(_settle_in_order(in_order[0]), "admitted"))
+            pending = in_order[1]
+            continue
         pending = settle(mark_first(pending, ["room_id", "cluster"], ["seq"], block, hot=hot), "pending")
         settled = settle(_settle_clusters(pending.filter("is_first")), "admitted")
         outcomes.append(settled)

@@ -167,3 +167,26 @@ def test_reads(spark):
     assert [r.id for r in b.user_bookings(df, 7, items=3).collect()] == [7, 6, 5]
     got = b.room_bookings(df, 1, F.lit(BASE + 4 * DAY), F.lit(BASE + 8 * DAY))
     assert [r.id for r in got.collect()] == [2, 4, 6]
+
+
+def test_a_cluster_in_stay_order_is_settled_at_once(spark, monkeypatch):
+    """Requests by start, each linked with the next: pointers settle them, not a round for each block. Another room's come in no order."""
+    rng = random.Random(8)
+    at, sorted_rows = BASE, []
+    for k in range(300):
+        at += dt.timedelta(hours=rng.choice([0, 1, 2]))
+        sorted_rows.append((k, 1, at, at + dt.timedelta(hours=rng.randrange(3, 30)), "booked", None))
+    other = [(1000 + k, 2, *row[2:]) for k, row in enumerate(rng.sample(sorted_rows, 60))]
+    rounds = []
+    own = b.mark_first
+    monkeypatch.setattr(b, "mark_first", lambda *args, **kw: rounds.append(1) or own(*args, **kw))
+    asked = sorted_rows + other
+    empty = spark.createDataFrame([], STAY)
+    got = {r.id: r.outcome for r in b.admit(empty, spark.createDataFrame(asked, STAY), block=50).collect()}
+    held, want = [], {}
+    for r in asked:
+        free = not any(overlap(r, o) for o in held)
+        want[r[0]] = b.ACCEPTED if free else b.TAKEN_IN_BATCH
+        held += [r] if free else []
+    assert got == want
+    assert len(rounds) <= 4
