@@ -203,6 +203,33 @@ REQUESTS = ("events", ["event_id", "user_id", "ts", "concat('/api/v1/', event_ty
 # New accounts asked for by orders: many of the names are in use, and most are asked for more than once.
 SIGN_UPS = ("orders", ["o_orderkey as seq", "concat('user', cast(o_custkey * 2 as string)) as username"])
 
+# The same, some of them without a place in the order.
+SIGN_UPS_UNPLACED = (
+    "orders",
+    ["case when o_orderkey % 19 <> 0 then o_orderkey end as seq", "concat('user', cast(o_custkey * 2 as string)) as username"],
+)
+
+# New accounts of which each shares its name or its address with the one before.
+SIGN_UPS_CHAINED = (
+    "customer",
+    [
+        "c_custkey as seq",
+        "concat('link', cast((c_custkey + 1) >> 1 as string)) as username",
+        "concat('link', cast(c_custkey >> 1 as string), '@example.com') as email",
+    ],
+)
+
+# Requests for one room in the order of their stays, each linked with the next.
+REQUESTS_IN_ORDER = (
+    "orders",
+    [
+        "o_orderkey as id",
+        "1 as room_id",
+        "timestamp '1992-01-01 00:00:00' + interval '1' hour * o_orderkey as check_in",
+        "timestamp '1992-01-01 00:00:00' + interval '1' hour * (o_orderkey + 9 + o_orderkey % 31) as check_out",
+    ],
+)
+
 # New accounts with two names that must be free.
 SIGN_UPS_TWO = (
     "customer",

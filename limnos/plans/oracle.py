@@ -288,16 +288,19 @@ having count(distinct value) > 1
 """
 _STATION_TIME = _told("cast(time as string)", "place")
 ORACLE["stream_ingest"] = f"""
-with {_OBS_TIMED}, {_INDEXED}, loaded as (
-  select md5({_STATION_TIME}) as id, time, place, location, {_METRICS}, wqi as actual_wqi, wqi as predicted_wqi
-  from indexed where time >= timestamp '1995-01-01')
-select * from loaded where place = '24.0' order by time, id limit 50 offset 50
-"""
-ORACLE["stream_ingest_all"] = f"""
 with {_OBS_TIMED}, {_INDEXED}
 select md5({_STATION_TIME}) as id, time, place, location, {_METRICS}, wqi as actual_wqi, wqi as predicted_wqi
 from indexed where time >= timestamp '1995-01-01'
 """
+ORACLE["stream_ingest_all"] = ORACLE["stream_ingest"]
+ORACLE["stream_reading_fates"] = f"""
+with {_OBS_TIMED}, {_READINGS}
+select place, time, topic, value,
+  case when time < timestamp '1995-01-01' then 'late'
+    when time > (select max(time) from obs) - interval '10' day then 'open'
+    when id % 11 = 0 then 'incomplete' else 'complete' end as fate
+from readings where id % 11 <> 0 or topic not in ('ph_topic', 'tss_topic')
+"""
 ORACLE["stream_correlate_wqi"] = f"with {_OBS}, {_INDEXED} select id, place, time, {_METRICS}, wqi from indexed"
 _CLEAN_PATH = "replace(trim(path, '/'), '/', '_')"
 ORACLE["stream_request_windows"] = f"""
@@ -401,7 +404,7 @@ from days d left join lines l using (place) where {_SCORABLE.replace("0.8e0", sh
 
 
 ORACLE["forecast_mean"] = _mean("true", "0.8e0")
-ORACLE["forecast_mean_share"] = _mean("id % 97 < 5", "0.25e0")
+ORACLE["forecast_mean_share"] = _mean("true", "0.25e0")
 ORACLE["forecast_mean_share_all"] = _mean("true", "0.25e0", _OBS_TAIL)
 ORACLE["forecast_trend"] = _trend("0.8e0")
 ORACLE["forecast_trend_share"] = _trend("0.25e0")
@@ -472,6 +475,33 @@ group by a.id, a.room_id
 """
 ORACLE["booking_conflicts"] = _CONFLICTS
 ORACLE["booking_conflicts_hot"] = _CONFLICTS
+ORACLE["booking_conflict_witness"] = f"""
+with {_BOOKINGS}, {_ACTIVE},
+swept as (
+  select *, max({{'o': check_out, 'i': id}}) over (partition by room_id order by check_in, id rows between unbounded preceding and 1 preceding) as b,
+    lead(check_in) over later as next_in, lead(id) over later as next_id
+  from active window later as (partition by room_id order by check_in, id)),
+told as (select id, room_id, case when b.o >= check_in then b.i when next_in <= check_out then next_id end as witness from swept)
+select * from told where witness is not null
+"""
+ORACLE["booking_conflict_witness_hot"] = ORACLE["booking_conflict_witness"]
+ORACLE["booking_blocked_by"] = f"""
+with {_BOOKINGS}, {_ACTIVE}, {_ASKED},
+earlier as (
+  select a.id, max({{'o': b.check_out, 'i': b.id}}) as b from asked a join active b on a.room_id = b.room_id and b.check_in <= a.check_in group by a.id),
+later as (
+  select a.id, min({{'s': b.check_in, 'i': b.id}}) as b from asked a join active b on a.room_id = b.room_id and b.check_in > a.check_in group by a.id)
+select a.id, a.room_id, case when e.b.o >= a.check_in then e.b.i when l.b.s <= a.check_out then l.b.i end as witness
+from asked a left join earlier e on e.id = a.id left join later l on l.id = a.id
+"""
+ORACLE["booking_admission_in_order"] = f"""
+with recursive asked as ({fx.as_sql(fx.REQUESTS_IN_ORDER)}),
+walk(id, check_out) as (
+  (select id, check_out from asked order by id limit 1)
+  union all
+  select a.id, a.check_out from walk w join lateral (select id, check_out from asked where check_in > w.check_out order by id limit 1) a on true)
+select id, case when id in (select id from walk) then 'accepted' else 'room taken by an earlier request' end as outcome from asked
+"""
 ORACLE["booking_clashes"] = f"""
 with {_BOOKINGS}, {_ACTIVE}, {_ASKED}
 select a.id, a.room_id, exists (select 1 from active b where b.room_id = a.room_id and b.id <> a.id
@@ -552,8 +582,10 @@ select username, seq, case when rn > 1 or username in (select username from user
   then 'username not available' else 'accepted' end as reason
 from ranked
 """
-ORACLE["insert_unique_two_keys"] = f"""
-with recursive {_USERS}, new as ({fx.as_sql(fx.SIGN_UPS_TWO)}),
+
+def _with_two_keys(sign_ups: tuple[str, list[str]]) -> str:
+    return f"""
+with recursive {_USERS}, new as ({fx.as_sql(sign_ups)}),
 queue as (
   select *, row_number() over (order by seq) as rn, email in (select email from users) as e_known,
     username in (select username from users) as u_known from new),
@@ -568,6 +600,17 @@ walk(rn, seq, username, email, reason, emails, names) as (
     from walk w join queue q on q.rn = w.rn + 1) step)
 select seq, username, email, reason from walk where rn > 0
 """
+
+
+ORACLE["insert_unique_two_keys"] = _with_two_keys(fx.SIGN_UPS_TWO)
+ORACLE["insert_unique_chained"] = _with_two_keys(fx.SIGN_UPS_CHAINED)
+ORACLE["insert_unique_unplaced"] = f"""
+with {_USERS}, new as ({fx.as_sql(fx.SIGN_UPS_UNPLACED)}),
+ranked as (select *, row_number() over (partition by username order by seq nulls last) as rn from new)
+select username, seq, case when seq is null then 'no place in the order'
+  when rn > 1 or username in (select username from users) then 'username not available' else 'accepted' end as reason
+from ranked
+"""
 ORACLE["new_booking_defaults"] = f"""
 with forms as ({fx.as_sql(fx.BOOKING_FORMS)}),
 ranked as (select *, row_number() over (partition by user_id, room_id, check_in order by id) as rn from forms)
@@ -624,6 +667,7 @@ _FIXED = f'fixed as (select event_id, user_id, ts, {_CLEAN_PATH} as path, 2 as "
 ORACLE["rate_limit_flags"] = (
     f"with {_REQUESTS}, {_FIXED}, {_flags('fixed', 'event_id, user_id, path, window_start, limited')}"
 )
+ORACLE["stream_rate_limit_flags"] = ORACLE["rate_limit_flags"]
 ORACLE["rate_limit_audit"] = f"""
 with {_REQUESTS}, {_FIXED},
 windows as (select *, cast(floor(epoch(ts)) as bigint) - cast(floor(epoch(ts)) as bigint) % period as window_start

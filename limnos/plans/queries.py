@@ -19,7 +19,7 @@ from limnos.plans import fixtures as fx
 from limnos.schemas import METRICS, SOURCE_COLUMNS, WATER_QUALITY
 from limnos.session import new_path, settle
 from limnos.sources import files, readings, seed, warehouse
-from limnos.streaming import jobs, sink
+from limnos.streaming import fates, jobs, keyed, limiter, sink
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -242,8 +242,9 @@ def correlate_ambiguous(spark, sf):
     return correlate.ambiguous(long, ["place", "time"])
 
 
-def _ingested(spark, sf):
-    """Messages, read as a stream, become rows of the warehouse table; what comes later than the watermark is dropped."""
+def _ingested(spark, sf, write):
+    """Messages, read as a stream, become rows of the warehouse table; what comes later than the watermark is dropped. ``write`` makes the
+    writer of a folder; returns the folder."""
     obs = fx.fixture(spark, sf, fx.OBS_TIMED).withColumn("time", F.col("time").cast("timestamp"))
     messages, target, state = (new_path(spark, x) for x in ("messages", "warehouse", "warehouse-state"))
     border = F.lit("1995-01-01").cast("timestamp")
@@ -253,21 +254,53 @@ def _ingested(spark, sf):
         decoded = readings.good(readings.decode(readings.read_files(spark, messages)))
         rows = jobs.warehouse_stream(decoded, watermark="10 days")
         # The second round's messages are older than the first round's watermark.
-        sink.start(rows, sink.batch_sink(target, "time"), state, available_now=True).awaitTermination()
-    return sink.read_latest(spark, target, ["id"], WATER_QUALITY).drop("year")
+        sink.start(rows, write(target), state, available_now=True).awaitTermination()
+    return target
 
 
 @query
 def stream_ingest(spark, sf):
-    """A page of one station from the table that the stream loaded; ``stream_ingest_all`` has its whole content."""
-    page = stations.station_page(_ingested(spark, sf), 24, number=2, items=50)
-    return page.withColumn("time", F.col("time").cast("timestamp_ntz"))
+    """All rows that the stream loaded, by batch and year; readers take the last row of each key."""
+    target = _ingested(spark, sf, lambda path: sink.batch_sink(path, "time"))
+    loaded = sink.read_latest(spark, target, ["id"], WATER_QUALITY).drop("year")
+    return loaded.withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 
 @query
 def stream_ingest_all(spark, sf):
-    """All rows of all stations that the stream loaded."""
-    return _ingested(spark, sf).withColumn("time", F.col("time").cast("timestamp_ntz"))
+    """The same as a table by key, which readers scan."""
+    target = _ingested(spark, sf, lambda path: keyed.keyed_sink(path, ["id"], buckets=8))
+    return keyed.read_keyed(spark, target, WATER_QUALITY).withColumn("time", F.col("time").cast("timestamp_ntz"))
+
+
+@query
+def stream_reading_fates(spark, sf):
+    """All readings of a stream that lacks some metrics and brings its first years last, with what became of each."""
+    obs = fx.fixture(spark, sf, fx.OBS_TIMED).withColumn("time", F.col("time").cast("timestamp"))
+    messages, target, state = (new_path(spark, x) for x in ("messages", "fates", "fates-state"))
+    border = F.lit("1995-01-01").cast("timestamp")
+    lacking = obs.withColumns({m: F.when(F.col("id") % 11 != 0, F.col(m)) for m in ("ph", "tss")})
+    for sent in (F.col("time") >= border, F.col("time") < border):
+        readings.publish_files(readings.to_messages(readings.to_readings(lacking.filter(sent))), messages)
+        decoded = readings.good(readings.decode(readings.read_files(spark, messages))).drop("location")
+        stream = fates.fate_stream(decoded, watermark="10 days")
+        sink.start(stream, fates.fate_sink(target), state, "append", available_now=True).awaitTermination()
+    told = fates.fates(spark, target)
+    return told.select("place", F.col("time").cast("timestamp_ntz").alias("time"), "topic", "value", "fate")
+
+
+@query
+def stream_rate_limit_flags(spark, sf):
+    """Every request flagged as it arrives, in four parts by time, with a restart between."""
+    requests = settle(_requests(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), "requests")
+    path, target, state = (new_path(spark, x) for x in ("requests", "flags", "flags-state"))
+    first, last = requests.select(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    part = F.floor((F.unix_seconds("ts") - first) * 4 / (last - first + 1))
+    for number in range(4):
+        requests.filter(part == number).write.mode("append").parquet(path)
+        arriving = spark.readStream.schema(requests.schema).parquet(path)
+        sink.run_available(limiter.flag_stream(arriving, limit=2, period=604_800, watermark="1 day"), target, state, mode="append")
+    return spark.read.parquet(target).select("event_id", "user_id", "path", "window_start", "limited")
 
 
 @query
@@ -411,9 +444,8 @@ def forecast_trend(spark, sf):
 
 @query
 def forecast_mean_share(spark, sf):
-    """A quarter of each station's rows is history, over a few of the ids only; ``forecast_mean_share_all`` scores all rows."""
-    few = index.with_wqi(_obs(spark, sf)).filter("id % 97 < 5")
-    return forecast.forecast(few, forecast.mean_scorer("wqi"), share=0.25)
+    """A quarter of each station's rows is history."""
+    return forecast.forecast(index.with_wqi(_obs(spark, sf)), forecast.mean_scorer("wqi"), share=0.25)
 
 
 @query
@@ -516,6 +548,36 @@ def booking_conflicts_hot(spark, sf):
     return stay.conflicts(_bookings(spark, sf), hot=5).select("id", "room_id", "n_overlaps")
 
 
+def _witnesses(spark, sf, **options):
+    return stay.conflict_witness(_bookings(spark, sf), **options).select("id", "room_id", "witness")
+
+
+@query
+def booking_conflict_witness(spark, sf):
+    """For every booking that overlaps others, one of them."""
+    return _witnesses(spark, sf)
+
+
+@query
+def booking_conflict_witness_hot(spark, sf):
+    """The same with every room treated as too large for one task."""
+    return _witnesses(spark, sf, hot=5)
+
+
+@query
+def booking_blocked_by(spark, sf):
+    """All requests with the booking that stands in their way, if any."""
+    asked = fx.fixture(spark, sf, fx.BOOKING_REQUESTS)
+    return stay.blocked_by(asked, _bookings(spark, sf)).select("id", "room_id", "witness")
+
+
+@query
+def booking_admission_in_order(spark, sf):
+    """One room's requests in the order of their stays, all linked, with small blocks."""
+    asked = fx.fixture(spark, sf, fx.REQUESTS_IN_ORDER)
+    return stay.admit(_bookings(spark, sf).limit(0), asked, block=500).select("id", "outcome")
+
+
 @query
 def booking_clashes(spark, sf):
     """Moving every booking to its room's next name and three days on: which moves would clash?"""
@@ -595,16 +657,35 @@ def insert_unique(spark, sf):
 
 
 @query
-def insert_unique_two_keys(spark, sf):
+def insert_unique_unplaced(spark, sf):
+    """Some sign-ups do not say where they come in the order."""
+    accepted, rejected = changes.insert_unique(
+        fx.fixture(spark, sf, fx.USERS), fx.fixture(spark, sf, fx.SIGN_UPS_UNPLACED), {"username not available": ["username"]}, "seq"
+    )
+    return accepted.withColumn("reason", F.lit("accepted")).unionByName(rejected)
+
+
+def _with_two_keys(spark, sf, sign_ups):
     accepted, rejected = changes.insert_unique(
         fx.fixture(spark, sf, fx.USERS),
-        fx.fixture(spark, sf, fx.SIGN_UPS_TWO),
+        fx.fixture(spark, sf, sign_ups),
         {"email is already registered": ["email"], "username not available": ["username"]},
         "seq",
     )
     return accepted.withColumn("reason", F.lit("accepted")).unionByName(rejected)
 
 
+@query
+def insert_unique_two_keys(spark, sf):
+    return _with_two_keys(spark, sf, fx.SIGN_UPS_TWO)
+
+
+@query
+def insert_unique_chained(spark, sf):
+    """Each sign-up hangs on the one before."""
+    return _with_two_keys(spark, sf, fx.SIGN_UPS_CHAINED)
+
+
 @query
 def new_booking_defaults(spark, sf):
     """New bookings by user, room and day; rows without a day, and repeats, are set apart."""
