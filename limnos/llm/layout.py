@@ -2,11 +2,16 @@
 
 ``parse`` reads tags, comments and text with one pattern and builds a tree: end tags that pages leave out are implied, stray ones
 ignored. ``render`` walks the tree without recursion and writes what a reader sees: blocks on lines of their own with empty lines around
-paragraphs and headings, list items with their marks, preformatted text as it is, and tables as columns of equal width. Hidden elements (by kind, ``hidden``
+paragraphs and headings, list items with their marks, preformatted text as it is, and tables as aligned columns. Hidden elements (by kind, ``hidden``
 attribute or inline style) are left out with all that they hold. Of invisible ones (``visibility``) the children that are set visible again are kept.
 Formulas, the ``text`` of drawings and what an object holds for lack of its data are inline text.
 
-Null and empty pages give empty text. Markup of any nesting and length is read whole; tables within cells are laid out as lines.
+Buttons show their value, images and image buttons their alternative text; what stands in fields is left out.
+
+Null and empty pages give empty text. Markup of any nesting and length is read whole; tables within cells are laid out as lines. A column is padded to its
+widest line of up to ``WIDE`` columns; wider lines stand out, so a page's text is at most some ``WIDE`` times its cells. Spans are as browsers
+read them: ``colspan`` from 1 to 1000, ``rowspan`` from 0 (to the end of the table) to 65534, 1 where there is no number; places that a span takes hold no text.
+Numbers of list items are whole numbers of up to 18 digits; others count as not given.
 """
 
 from __future__ import annotations
@@ -56,6 +61,10 @@ IMPLIED = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
+# Kinds of inputs that are buttons, and where their text is.
+BUTTONS = {"submit": "value", "reset": "value", "button": "value", "image": "alt"}
+# Columns to which cells are padded at most.
+WIDE = 80
 # Elements that an end tag further out does not close.
 FENCES = frozenset("table td th caption".split())
 # What may stand in a head; anything else opens the body.
@@ -214,7 +223,7 @@ def hidden(node: Node) -> bool:
     return (
         node.name in HIDDEN
         or "hidden" in has
-        or (node.name == "input")
+        or (node.name == "input" and has.get("type", "").strip().lower() not in BUTTONS)
         or bool(has.get("style") and _GONE.search(has["style"]))
         or (node.name == "dialog" and "open" not in has)
         or (node.foreign and (node.name in UNDRAWN or has.get("display", "").lower() == "none"))
@@ -308,16 +317,22 @@ def width(text: str) -> int:
 
 
 def aligned(rows: list[list[str]]) -> list[str]:
-    """Rows of cells as lines with columns of equal width. A cell of several lines takes as many lines of its row."""
+    """Rows of cells as lines with aligned columns. A cell of several lines takes as many lines of its row; lines without text are left out, and
+    so are a row's last cells if all their lines are empty."""
     split = [[cell.split("\n") for cell in row] for row in rows]
-    columns = max((len(row) for row in split), default=0)
-    widths = [max((width(line) for row in split if i < len(row) for line in row[i]), default=0) for i in range(columns)]
+    widths: list[int] = []
+    for row in split:
+        while row and row[-1] == [""]:
+            row.pop()
+        widths += [0] * (len(row) - len(widths))
+        for i, cell in enumerate(row):
+            widths[i] = max(widths[i], *(w if w <= WIDE else 0 for w in map(width, cell)))
     lines = []
     for row in split:
         for k in range(max((len(cell) for cell in row), default=0)):
             parts = [cell[k] if k < len(cell) else "" for cell in row]
-            line = " | ".join(part + " " * (widths[i] - width(part)) for i, part in enumerate(parts))
-            lines.append(line.rstrip())
+            if any(part.strip() for part in parts):
+                lines.append(" | ".join(part + " " * (widths[i] - width(part)) for i, part in enumerate(parts)).rstrip(" "))
     return lines
 
 
@@ -341,19 +356,32 @@ class Table:
             row.append("")
 
     def cell(self, text: str, across: int, down: int) -> None:
+        """``down`` 0 is to the end of the table."""
         if not self.rows:
             self.row()
         row = self.rows[-1]
         for k in range(across):
-            if down > 1:
-                self.spans[len(row)] = down - 1
+            if down != 1:
+                self.spans[len(row)] = down - 1 if down else 1 << 62
             row.append(text if k == 0 else "")
         self._fill()
 
 
-def _number(node: Node, name: str, low: int, high: int) -> int:
-    value = node.attributes.get(name, "")
-    return min(max(int(value), low), high) if value.lstrip("-").isdigit() and len(value) < 8 else max(low, 1)
+_WHOLE = re.compile(r"\s*([+-]?[0-9]{1,18})(?![0-9])")
+
+
+def _number(node: Node, name: str, default: int) -> int:
+    """The whole number that an attribute begins with, as browsers read it."""
+    found = _WHOLE.match(node.attributes.get(name, ""))
+    return int(found[1]) if found else default
+
+
+def _span(node: Node, name: str, low: int, high: int) -> int:
+    value = node.attributes.get(name, "").strip()
+    if value.isdecimal() and value.isascii() and len(value) > 18:
+        return high
+    number = _number(node, name, 1)
+    return 1 if number < low else min(number, high)
 
 
 ENTER, LEAVE = 0, 1
@@ -404,6 +432,11 @@ def render(root: Node) -> str:
                 if node.attributes.get("alt", "").strip():
                     flow.words(node.attributes["alt"])
                 continue
+            if name == "input":
+                label = node.attributes.get(BUTTONS[node.attributes["type"].strip().lower()], "")
+                if visible and label.strip():
+                    flow.words(f" {label} ")
+                continue
             if name == "hr":
                 flow.stop(gap=True)
                 continue
@@ -417,12 +450,11 @@ def render(root: Node) -> str:
             if name in BLOCK:
                 flow.stop(gap=name in SPACED and not (name in ("ul", "ol") and lists))
             if name in ("ul", "ol", "menu", "dir"):
-                lists.append([name, _number(node, "start", -(10**6), 10**6) if name == "ol" else 0])
+                lists.append([name, _number(node, "start", 1) if name == "ol" else 0])
             elif name == "li":
                 depth = "  " * (len(lists) - 1) if lists else ""
                 if lists and lists[-1][0] == "ol":
-                    if "value" in node.attributes:
-                        lists[-1][1] = _number(node, "value", -(10**6), 10**6)
+                    lists[-1][1] = _number(node, "value", lists[-1][1])
                     mark = f"{lists[-1][1]}. "
                     lists[-1][1] += 1
                 else:
@@ -447,11 +479,10 @@ def render(root: Node) -> str:
         if name in ("td", "th") and tables:
             text = flows.pop().text()
             flow = flows[-1]
-            tables[-1].cell(text, _number(node, "colspan", 1, 100), _number(node, "rowspan", 1, 1000))
+            tables[-1].cell(text, _span(node, "colspan", 1, 1000), _span(node, "rowspan", 0, 65_534))
         elif name == "table" and tables:
-            lines = [line for line in aligned(tables.pop().rows) if line.strip(" |")]
             flow.stop(gap=True)
-            for line in lines:
+            for line in aligned(tables.pop().rows):
                 flow.verbatim(line)
                 flow.stop()
             flow.stop(gap=True)

@@ -1,6 +1,7 @@
 """Archives, their index, and page layout."""
 
 import os
+import random
 from collections import Counter
 
 import pytest
@@ -126,3 +127,75 @@ def test_text_of_embedded_and_visible_again(page, text):
 def test_rendered_rows(spark, odd):
     got = Counter((r.page_id, r.text) for r in QUERIES["op8_html_extraction"](spark, odd).collect())
     assert got == Counter((page, text_of(html or "")) for page, _, html in ODD)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("a<input type=submit value='Send now'>b<input type=Image alt=go><input type=text value=no><input type=hidden value=no>", "a Send now b go"),
+        ("<table><tr><td>|<tr><td> <tr><td>x</table>", "|\nx"),
+        ("<table><tr><td colspan=150>a<td>b<tr><td>c</table>", "a" + " | " * 150 + "b\nc"),
+        ("<table><tr><td colspan=150>a<tr><td>c</table>", "a\nc"),
+        ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a | b\n  | c\n  | d"),
+        ("<table><tr><td rowspan=-2 colspan=0>a<td>b<tr><td>c</table>", "a | b\nc"),
+        ("<ol start=123456789012><li>x<li value=-5>y<li value=2000000>z<li value=abc>w</ol>", "123456789012. x\n-5. y\n2000000. z\n2000001. w"),
+        ("<ol start=99999999999999999999><li>x</ol>", "1. x"),
+    ],
+)
+def test_spans_numbers_and_buttons(page, text):
+    assert text_of(page) == text
+
+
+def test_wide_cells_do_not_widen_all_others():
+    """A thousand rows beside one long cell: the text stays near the size of the page."""
+    page = "<table>" + "<tr><td>ab<td>cd" * 1000 + f"<tr><td>{'long ' * 4000}<td>x" + "</table>"
+    text = text_of(page)
+    assert len(text) < 2 * len(page) and text.startswith("ab | cd\n") and text.endswith("| x")
+
+
+def plain_page(pick, depth=0):
+    """A random page of well-formed markup, and its lines as a list of (gap before, line)."""
+    word = lambda: "".join(pick.choice("abcxyz") for _ in range(pick.randint(1, 5)))
+    html, blocks = [], []
+    for _ in range(pick.randint(1, 4)):
+        kind = pick.choice(["p", "div", "h2", "ul", "ol", "table", "hidden", "pre", "br"] if depth < 2 else ["p", "div", "br"])
+        text = " ".join(word() for _ in range(pick.randint(1, 4)))
+        spaced = text.replace(" ", pick.choice([" ", "\n  ", " <b> ", " <!-- <p>no --> "])).replace("<b>", "<b></b>")
+        if kind in ("p", "h2"):
+            html.append(f"<{kind}>{spaced}</{kind}>")
+            blocks.append((True, [text]))
+        elif kind == "div":
+            html.append(f"<div> {spaced}\n</div>")
+            blocks.append((False, [text]))
+        elif kind == "br":
+            html.append(f"<div>{spaced}<br>{word()}z</div>")
+            blocks.append((False, [text, html[-1].rsplit(">", 2)[1].split("<")[0]]))
+        elif kind == "hidden":
+            html.append(pick.choice([f"<div hidden>{text}</div>", f"<script>{text}</script>", f"<div style='display:none'><p>{text}</div>"]))
+        elif kind == "pre":
+            html.append(f"<pre>{text}\n  {text}</pre>")
+            blocks.append((True, [text, f"  {text}"]))
+        elif kind in ("ul", "ol"):
+            items = [word() for _ in range(pick.randint(1, 4))]
+            html.append(f"<{kind}>" + "".join(f"<li>{item}" + pick.choice(["", "</li>"]) for item in items) + f"</{kind}>")
+            blocks.append((True, [f"{k}. {item}" if kind == "ol" else f"- {item}" for k, item in enumerate(items, 1)]))
+        else:
+            rows = [[word() for _ in range(pick.randint(1, 3))] for _ in range(pick.randint(1, 3))]
+            html.append("<table>" + "".join("<tr>" + "".join(f"<td>{cell}" for cell in row) for row in rows) + "</table>")
+            widths = [max(len(row[i]) for row in rows if i < len(row)) for i in range(max(map(len, rows)))]
+            blocks.append((True, [" | ".join(cell.ljust(widths[i]) for i, cell in enumerate(row)).rstrip() for row in rows]))
+    return "\n".join(html), blocks
+
+
+def test_pages_against_their_plan():
+    """Random pages, laid out from the plan that they were written from."""
+    pick = random.Random(6)
+    for _ in range(400):
+        html, blocks = plain_page(pick)
+        lines, gap = [], False
+        for spaced, own in blocks:
+            if lines and (gap or spaced):
+                lines.append("")
+            lines += own
+            gap = spaced
+        assert text_of(html) == "\n".join(lines), html
