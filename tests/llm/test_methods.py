@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from limnos.llm import bitplanes, fingerprints, mixing, packing, rules, setsketch, sharding
 from limnos.llm.components import components
 from limnos.llm.tokens import encoder
+from limnos.session import settle
 
 
 def reachable(counts, first, space):
@@ -222,3 +223,16 @@ def test_cascade_order_never_changes_the_verdict(spark):
     ]
     assert verdicts[0] == verdicts[1]
     assert len(rules.ordered(docs, own)) == len(own)
+
+
+def test_a_dear_rule_comes_last_each_time(spark):
+    """Of rules that reject the same rows the dear one is asked last, and cheap ones follow what they reject, in every run."""
+    docs = spark.createDataFrame([(k, f"{k} " + "word " * 400) for k in range(400)], "doc_id int, text string")
+    sample = settle(rules.measured(docs).drop("_row").repartition(2))
+    odd = F.col("_text").rlike("^[0-9]*[13579] ")
+    dear = odd & (F.size(F.filter("_words", lambda w: F.regexp_replace(w, "[aeiou]+|w(o|x)", "")[0:1].rlike("^z"))) == 0)
+    cheap = F.col("n_words") < 0
+    own = [rules.Rule("dear", dear), rules.Rule("never", cheap), rules.Rule("odd", odd), rules.Rule("some", F.col("_text").startswith("1"))]
+    orders = [[e.rule.name for e in rules.estimate(sample, own)] for _ in range(3)]
+    for order in orders:
+        assert order.index("odd") < order.index("dear") < order.index("never") == 3
