@@ -171,6 +171,12 @@ select metric, count(*) as n, round(avg(value), 6) as mean, round(stddev_samp(va
   round(quantile_cont(value, 0.75), 6) as p75
 from long group by metric
 """
+ORACLE["profile_of_loads"] = f"""
+with {_OBS}, long as (unpivot (select {_METRICS} from obs) on {_METRICS} into name metric value value)
+select metric, count(*) as n, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as std, min(value) as min, max(value) as max,
+  true as p25_near, true as p50_near, true as p75_near, true as n_distinct_near
+from long group by metric
+"""
 _UNBOUNDED = f"""
 with obs as ({fx.as_sql(fx.UNBOUNDED)}), long as (unpivot (select level, depth from obs) on level, depth into name metric value value)
 select metric, count(*) as n, count(distinct value) as n_distinct, min(value) as min, max(value) as max,
@@ -189,6 +195,7 @@ select c."column", cast(coalesce(sum(c) filter (value is not null), 0) as bigint
   cast(coalesce(sum(c) filter (value is null), 0) as bigint) as n_null, count(value) as n_distinct, any_value(t.top) as top
 from counts c left join tops t on t."column" = c."column" group by c."column"
 """
+ORACLE["profile_text_of_loads"] = ORACLE["profile_text"].replace("count(value) as n_distinct, ", "")
 
 
 def _rules(source: str, rules: list[tuple[str, str]]) -> str:
@@ -334,6 +341,11 @@ order by time, id limit 25
 """
 ORACLE["deep_page"] = f"with {_OBS} select * from obs order by time, id limit 20 offset 800"
 ORACLE["deep_page_text_id"] = f"with {_OBS_TEXT} select * from obs order by time desc, id limit 20 offset 800"
+ORACLE["directory_pages"] = f"""
+with {_OBS}, numbered as (select cast((row_number() over (order by time desc, id desc) - 1) // 20 + 1 as integer) as page, id, time, place from obs),
+last as (select max(page) as n from numbered)
+select page, id, time, place from numbered, last where page in (1, 2, n // 3, n // 2, n - 1, n)
+"""
 ORACLE["observation_by_id"] = f"with {_OBS} select * from obs where id = 7"
 
 # --- forecast ----------------------------------------------------------------------------
@@ -441,6 +453,15 @@ ORACLE["room_search"] = f"""
 with {_ROOMS} select id, name, price from rooms
 where price between 910 and 980 and list_has_all(feature_ids, [3]) and list_has_all(badge_ids, [4])
 """
+ORACLE["room_search_bitmaps"] = f"""
+with {_ROOMS} select id, name, price, count(*) over () as total_count from rooms
+where price between 910 and 980 and list_has_all(feature_ids, [3]) and list_has_all(badge_ids, [4])
+"""
+ORACLE["room_search_bitmaps_page"] = f"""
+with {_ROOMS}, found as (
+  select id, name, price, count(*) over () as total_count from rooms where price between 915 and 1501.5 and list_has_all(feature_ids, [3]))
+select * from found order by id limit 10 offset 10
+"""
 ORACLE["room_search_live"] = f"""
 with rooms as ({fx.as_sql(fx.ROOMS_STATE)}) select id, name, price from rooms where is_deleted is distinct from true
 """

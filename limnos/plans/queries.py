@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from limnos.functions import wqi as index
 from limnos.functions.text import around, iso_text
 from limnos.operators import bookings as stay
-from limnos.operators import catalog, changes, cleaning, correlate, forecast, joins, limits, paging, quality, stations
+from limnos.operators import (
+    bitmaps, catalog, changes, cleaning, correlate, forecast, joins, limits, paging, quality, sketches, stations,
+)
 from limnos.operators.ordered import forward_fill, sort_columns
 from limnos.plans import fixtures as fx
 from limnos.schemas import METRICS, SOURCE_COLUMNS, WATER_QUALITY
 from limnos.session import new_path, settle
-from limnos.sources import files, readings, seed, warehouse
+from limnos.sources import files, pages, readings, seed, warehouse
 from limnos.streaming import fates, jobs, keyed, limiter, sink
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,11 +126,11 @@ def ingest_csv(spark, sf):
 def keyset_walk(spark, sf):
     """All pages of the cleaned observations in both directions, numbered at once; rows without a time come last."""
     rows = settle(cleaning.to_warehouse(cleaning.clean(fx.fixture(spark, sf, fx.RAW_WIDE))).select("id", "time"), "walked")
-    pages = [
+    walks = [
         paging.numbered(rows, order, 2500).select("id", F.lit(name).alias("direction"), F.col("page").cast("int").alias("page"))
         for name, order in (("up", ["time", "id"]), ("down", ["-time", "-id"]))
     ]
-    return reduce(DataFrame.unionByName, pages)
+    return reduce(DataFrame.unionByName, walks)
 
 
 @query
@@ -146,6 +148,36 @@ def profile(spark, sf):
     return table.withColumns({c: F.round(c, 6) for c in ("mean", "std", "p25", "p50", "p75")})
 
 
+@query
+def profile_of_loads(spark, sf):
+    """Three loads summarised one by one and merged: exact where it is exact, and whether the sketches keep their stated errors."""
+    obs, target = _obs(spark, sf), new_path(spark, "profiles")
+    for load in range(3):
+        sketches.store(sketches.summary(obs.filter(F.col("id") % 3 == load), METRICS), target, str(load))
+    merged = sketches.told(sketches.merge(sketches.stored(spark, target).drop("load")))
+    values = obs.unpivot([], [F.col(m).cast("double").alias(m) for m in METRICS], "metric", "value")
+    near = []
+    for name, rank in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
+        below, upto = F.count_if(F.col("value") < F.col(name)) / F.count("*"), F.count_if(F.col("value") <= F.col(name)) / F.count("*")
+        near.append(((below - sketches.RANK_ERROR <= rank) & (upto + sketches.RANK_ERROR >= rank)).alias(f"{name}_near"))
+    told = merged.select("metric", "p25", "p50", "p75", F.col("n_distinct").alias("_distinct"))
+    distinct = F.count_distinct("value")
+    near.append((F.abs(F.first("_distinct") - distinct) <= sketches.DISTINCT_ERROR * distinct + 1).alias("n_distinct_near"))
+    judged = values.join(told, "metric").groupBy("metric").agg(*near)
+    exact = merged.select("metric", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", "max")
+    return exact.join(judged, "metric")
+
+
+@query
+def profile_text_of_loads(spark, sf):
+    """Text columns in the same way, with their most frequent values."""
+    raw = fx.fixture(spark, sf, fx.RAW_OBS)
+    parts = [sketches.text_summary(raw.filter(F.col("src_line") % 3 == load), ["coord", "ph"]) for load in range(3)]
+    table = sketches.told_text(sketches.merge_text(reduce(DataFrame.unionByName, parts)), top=3)
+    tops = F.array_join(F.transform("top", lambda t: F.concat_ws("=", t["value"], t["c"].cast("string"))), ";")
+    return table.select("column", "n", "n_null", tops.alias("top"))
+
+
 def _unbounded(spark, sf, **options):
     table = quality.profile(fx.fixture(spark, sf, fx.UNBOUNDED), ["level", "depth"], **options)
     return table.select("metric", "n", "n_distinct", "min", "max", *[F.round(c, 6).alias(c) for c in ("p25", "p50", "p75")])
@@ -379,6 +411,18 @@ def deep_page_text_id(spark, sf):
     return paging.page(fx.fixture(spark, sf, fx.OBS_TEXT_ID), ["-time", "id"], number=41, items=20, shallow=0)
 
 
+@query
+def directory_pages(spark, sf):
+    """Pages from all over a table that three loads wrote, found through its directory."""
+    obs, target, order = _obs(spark, sf), new_path(spark, "paged"), ["-time", "id"]
+    for load in range(3):
+        pages.append(obs.filter(F.col("id") % 3 == load), target, order, step=50)
+    last = -(-pages.count(spark, target) // 20)
+    wanted = sorted({1, 2, last // 3, last // 2, last - 1, last, last + 1})
+    found = [pages.page(spark, target, order, number, 20).withColumn("page", F.lit(number)) for number in wanted]
+    return reduce(DataFrame.unionByName, found).select("page", "id", "time", "place")
+
+
 @query
 def observation_by_id(spark, sf):
     return stations.lookup(_obs(spark, sf), id=7)
@@ -496,6 +540,31 @@ def room_search(spark, sf):
     return found.select("id", "name", "price")
 
 
+# Lower bounds of price bands.
+PRICE_BANDS = [900.0 + 20 * k for k in range(60)]
+
+
+def _by_bitmaps(spark, sf, **asked):
+    rooms = settle(fx.rooms(spark, sf), "rooms")
+    index = settle(bitmaps.room_index(rooms, PRICE_BANDS), "room-index")
+    return bitmaps.matching(index, rooms, PRICE_BANDS, **asked), rooms
+
+
+@query
+def room_search_bitmaps(spark, sf):
+    """The search by bits: all rooms found, with their number."""
+    found, rooms = _by_bitmaps(spark, sf, min_price=910, max_price=980, features=[3], badges=[4])
+    hits = rooms.join(bitmaps.ids(found), "id", "left_semi").select("id", "name", "price")
+    return hits.select("*", F.lit(bitmaps.total(found).first()[0]).alias("total_count"))
+
+
+@query
+def room_search_bitmaps_page(spark, sf):
+    """The second page of a search by bits, and the total, without reading other rooms."""
+    found, rooms = _by_bitmaps(spark, sf, min_price=915, max_price=1501.5, features=[3])
+    return bitmaps.page(found, rooms, 2, 10).select("id", "name", "price", "total_count")
+
+
 @query
 def room_search_live(spark, sf):
     """Rooms that are not deleted, those included that do not say; no price bound."""
