@@ -86,10 +86,27 @@ def clean(raw: DataFrame) -> DataFrame:
     return parse_date(require(df, [*METRICS, "wqi"]), "obs_date")
 
 
+def to_observations(clean_rows: DataFrame, order: Sequence[str] = ("src_file", "src_line")) -> DataFrame:
+    """Cleaned rows as observations of the warehouse table, known by station and time as those of the stream are
+    (:func:`limnos.streaming.jobs.warehouse_stream`): one loaded both ways is one row.
+
+    Rows without a date or a station name no observation and are left out, as their messages are. Of rows of one station and time the last in ``order`` counts, as the last message does. Where a file holds several observations of a station on one day,
+    which a date does not tell apart, use :func:`to_warehouse`, which knows rows by their place in the file, and keep its table apart.
+    """
+    placed = clean_rows.filter("date is not null and place is not null").select(
+        F.col("date").cast("timestamp").alias("time"),
+        station_key("place").alias("place"),
+        F.struct(*[c for c in order if c in clean_rows.columns]).alias("_order"),
+        F.struct("location", *METRICS, F.col("wqi").alias("actual_wqi"), F.col("wqi").alias("predicted_wqi")).alias("_row"),
+    )
+    last = placed.groupBy("time", "place").agg(F.max_by("_row", "_order").alias("_row"))
+    return last.select(natural_id("time", "place").alias("id"), "time", "place", "_row.*")
+
+
 def to_warehouse(clean_rows: DataFrame) -> DataFrame:
     """Cleaned rows in the shape of the warehouse table; the prediction starts as the measured index.
 
-    A row is known by its file, if there is one, and its place there.
+    A row is known by its file, if there is one, and its place there. Its id is not that of the same observation on the stream; see :func:`to_observations`.
     """
     source = [c for c in ("src_file", "src_line") if c in clean_rows.columns]
     return clean_rows.select(

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from limnos.session import HOT, settle
 
 _DAY = 86_400_000_000
+# Sums in which the sizes of groups are bounded from above.
+_BUCKETS = 65_536
 
 
 def sort_columns(order: Sequence[str]) -> list[Column]:
@@ -52,8 +54,15 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     return row[0] or 0
 
 
-def hot_groups(df: DataFrame, by: Sequence[str], hot: int) -> DataFrame:
-    """Groups of more than ``hot`` rows, with their number as ``_hot``; at most one row per ``hot`` rows of ``df``."""
+def hot_groups(df: DataFrame, by: Sequence[str], hot: int) -> DataFrame | None:
+    """Groups of more than ``hot`` rows, with their number as ``_hot``; at most one row per ``hot`` rows of ``df``. None if there are none.
+
+    Rows are counted by the hash of their group first, in ``_BUCKETS`` sums that tasks combine before the shuffle. Where none is above ``hot``, no group
+    is; only otherwise are the groups themselves counted, which may shuffle as many rows as there are.
+    """
+    bucket = F.pmod(F.xxhash64(*by), F.lit(_BUCKETS)) if by else F.lit(0)
+    if (df.groupBy(bucket.alias("_bucket")).count().agg(F.max("count")).first()[0] or 0) <= hot:
+        return None
     return settle(df.groupBy(*by).agg(F.count("*").alias("_hot")).filter(F.col("_hot") > hot), "hot")
 
 
@@ -94,7 +103,7 @@ def ranked(
         return rows.withColumns({"n": F.sum(weight).over(group), "_upto": F.sum(weight).over(upto)})
 
     large = hot_groups(df, by, hot)
-    if large.isEmpty():
+    if large is None or large.isEmpty():
         return in_windows(df)
     # Written once, since both parts and the cutting into ranges read it.
     told = settle(_join(df, large, by), "told")

@@ -116,7 +116,7 @@ def check(df: DataFrame, rules: Mapping[str, Column], allowed: Sequence[str] | N
 def profile(df: DataFrame, cols: Sequence[str], approximate: bool = False, hot: int = HOT) -> DataFrame:
     """One row per numeric column: count, mean, spread, extremes, quartiles and distinct values.
 
-    The table is read once, into the counts of each value; everything else comes from the counts. Quartiles interpolate
+    The table is read twice: for its moments, and into the counts of each value, from which the rest comes. Quartiles interpolate
     between neighbours and are exact. NaN counts as the largest number. ``approximate`` settles for one pass with sketches.
     """
     long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in cols], "metric", "value").filter(
@@ -134,25 +134,15 @@ def profile(df: DataFrame, cols: Sequence[str], approximate: bool = False, hot:
             .withColumns({name: F.col("_q")[i] for i, name in enumerate(("p25", "p50", "p75"))})
             .drop("_q")
         )
+    # Moments are merged task by task around their own means, so that large values do not swallow a small spread.
+    moments = long.groupBy("metric").agg(
+        F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")
+    )
     # Distinct values are counted in two steps, so no task keeps one metric's whole value set.
     counts = settle(long.groupBy("metric", "value").agg(F.count("*").alias("c")), "counts")
-    times = F.col("c").cast("double")
-    sums = settle(
-        counts.groupBy("metric").agg(
-            F.sum("c").alias("n"),
-            (F.sum(F.col("value") * times) / F.sum(times)).alias("mean"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-            F.count("*").alias("n_distinct"),
-        ),
-        "sums",
-    )
-    # Deviations are taken from the mean, so that large values do not swallow a small spread.
-    apart = F.pow(F.col("value") - F.col("mean"), 2) * times
-    spread = counts.join(sums.select("metric", "mean"), "metric").groupBy("metric").agg(F.sum(apart).alias("_apart"))
-    std = F.when(F.col("n") > 1, F.sqrt(F.col("_apart") / (F.col("n") - 1)))
+    distinct = counts.groupBy("metric").agg(F.count("*").alias("n_distinct"))
     quartiles = exact_quantiles(counts, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, hot)
-    return sums.join(spread, "metric").withColumn("std", std).drop("_apart").join(quartiles, "metric")
+    return moments.join(distinct, "metric").join(quartiles, "metric")
 
 
 def profile_text(df: DataFrame, cols: Sequence[str], top: int = 5) -> DataFrame:

@@ -300,6 +300,11 @@ select md5({_STATION_TIME}) as id, time, place, location, {_METRICS}, wqi as act
 from indexed where time >= timestamp '1995-01-01'
 """
 ORACLE["stream_ingest_all"] = ORACLE["stream_ingest"]
+ORACLE["warehouse_both_ways"] = f"""
+with {_WIDE}, {_CLEANED}, last as (
+  select * from warehouse where d is not null qualify row_number() over (partition by d, place order by src_line desc) = 1)
+select md5({_told("time", "place")}) as id, time, place, location, {_METRICS}, actual_wqi, predicted_wqi, true as streamed from last
+"""
 ORACLE["stream_reading_fates"] = f"""
 with {_OBS_TIMED}, {_READINGS}
 select place, time, topic, value,

@@ -305,6 +305,23 @@ def stream_ingest_all(spark, sf):
     return keyed.read_keyed(spark, target, WATER_QUALITY).withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 
+@query
+def warehouse_both_ways(spark, sf):
+    """The same observations as a cleaned file and as messages, into one table by key: each is there once."""
+    clean = settle(cleaning.clean(fx.fixture(spark, sf, fx.RAW_WIDE)), "clean")
+    messages, target, state = (new_path(spark, x) for x in ("messages", "warehouse", "warehouse-state"))
+    sent = clean.orderBy("src_line").select("place", "location", F.col("date").cast("timestamp").alias("time"), *METRICS)
+    readings.publish_files(readings.to_messages(readings.to_readings(sent, ids=["place", "location", "time"])).coalesce(1), messages)
+    decoded = readings.good(readings.decode(readings.read_files(spark, messages)))
+    write = keyed.keyed_sink(target, ["id"], buckets=8)
+    sink.start(jobs.warehouse_stream(decoded), write, state, available_now=True).awaitTermination()
+    streamed = keyed.read_keyed(spark, target).select("id", F.lit(True).alias("streamed"))
+    streamed = settle(streamed, "streamed")
+    write(cleaning.to_observations(clean), keyed.manifest(spark, target)["batch"] + 1)
+    rows = keyed.read_keyed(spark, target).join(streamed, "id", "left")
+    return rows.withColumns({"time": F.col("time").cast("string"), "streamed": F.coalesce("streamed", F.lit(False))})
+
+
 @query
 def stream_reading_fates(spark, sf):
     """All readings of a stream that lacks some metrics and brings its first years last, with what became of each."""

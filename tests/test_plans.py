@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from limnos.functions.wqi import with_wqi
-from limnos.operators import catalog, cleaning, correlate, forecast, joins, paging, stations
+from limnos.operators import catalog, cleaning, correlate, forecast, joins, ordered, paging, stations
 from limnos.operators.cleaning import clean
 from limnos.schemas import METRICS, SOURCE_COLUMNS
 from limnos.session import settle
@@ -89,6 +89,17 @@ def test_split_of_bounded_groups_shuffles_once(obs):
     assert exchanges(plan(forecast.chrono_split(obs))) == 1
 
 
+def test_small_groups_are_not_counted_one_by_one(obs, monkeypatch):
+    """Where sums over hashes are small, no table of groups is written."""
+    made = []
+    own = ordered.settle
+    monkeypatch.setattr(ordered, "settle", lambda df, label="": made.append(label) or own(df, label))
+    ordered.ranked(obs, ["place", "id"], ["time"]).collect()
+    assert made == []
+    ordered.ranked(obs, ["place"], ["time", "id"], hot=5).collect()
+    assert made[0] == "hot"
+
+
 def test_split_of_hot_groups_sorts_ranges_only(obs):
     """Windows over rows of hot groups are cut by range; only per-group sums of ranges are windowed by group alone."""
     text = plan(forecast.chrono_split(obs, hot=5))
