@@ -21,7 +21,7 @@ from limnos.plans import fixtures as fx
 from limnos.plans.queries import QUERIES
 from limnos.schemas import METRICS
 from limnos.session import local_session, new_path, settle
-from limnos.sources import seed
+from limnos.sources import pages, seed
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 4))
@@ -119,6 +119,8 @@ def pairs(spark) -> dict[str, dict[str, float]]:
     one_window = Window.orderBy("src_line").rowsBetween(Window.unboundedPreceding, 0)
     fill = ["ph", "aeromonas_total"]
     key = obs.orderBy("time", "id").offset(count * 9 // 10 - 1).limit(1).select("time", "id").first()
+    ordered = new_path(spark, "bench-paged")
+    pages.append(obs, ordered, ["time", "id"])
 
     def pair(naive, ours) -> dict[str, float]:
         return {"naive": seconds(naive), "ours": seconds(ours)}
@@ -144,6 +146,10 @@ def pairs(spark) -> dict[str, dict[str, float]]:
             lambda: drain(obs.orderBy("time", "id").offset(count * 9 // 10).limit(10)),
             lambda: drain(paging.page(obs, ["time", "id"], count * 9 // 100 + 1, 10, shallow=0)),
         ),
+        "page_directory": pair(
+            lambda: drain(obs.orderBy("time", "id").offset(count * 9 // 10).limit(10)),
+            lambda: drain(pages.page(spark, ordered, ["time", "id"], count * 9 // 100 + 1, 10)),
+        ),
         "ingest": pair(
             lambda: drain(cleaning.to_warehouse(cleaning.clean(raw.coalesce(1)))),
             lambda: drain(cleaning.to_warehouse(cleaning.clean(raw))),

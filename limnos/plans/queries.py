@@ -19,7 +19,7 @@ from limnos.operators import (
 from limnos.operators.ordered import forward_fill, sort_columns
 from limnos.plans import fixtures as fx
 from limnos.schemas import METRICS, SOURCE_COLUMNS, WATER_QUALITY
-from limnos.session import new_path, settle
+from limnos.session import new_path, settle, spread
 from limnos.sources import files, pages, readings, seed, warehouse
 from limnos.streaming import fates, jobs, keyed, limiter, sink
 
@@ -240,7 +240,7 @@ def unpivot_readings(spark, sf):
 
 @query
 def publish_decode_roundtrip(spark, sf):
-    sent = readings.to_messages(readings.to_readings(_obs(spark, sf)))
+    sent = readings.to_messages(readings.to_readings(spread(_obs(spark, sf))))
     got = readings.good(readings.decode(sent)).drop("location")
     return got.withColumn("time", F.col("time").cast("timestamp_ntz"))
 

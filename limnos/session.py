@@ -73,6 +73,12 @@ def scope(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its source has fewer partitions than that: for dear work on each row of a table in a single file or row group."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written.
 
