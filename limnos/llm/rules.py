@@ -29,7 +29,7 @@ UNPARTED = r"[\p{L}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p
 
 # Rows of the sample that costs and rejections are estimated on; seconds that a rule's job should take, and how often a row is asked at most.
 SAMPLE_ROWS = 2000
-LONG, MOST = 0.3, 64
+LONG, MOST = 0.2, 16
 # The least cost of a rule, as a part of the time that a row takes without any.
 LEAST = 0.25
 
