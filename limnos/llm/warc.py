@@ -8,7 +8,7 @@ in question and searches these. ``read_records`` reads records by place.
 
 Null html is an empty payload, a null URL has the key ``-`` and no target header. Payloads of fewer than ``least`` bytes are always responses.
 Of equal payloads the smallest page id is the response, and rows that repeat that id are responses too; with null ids only, all are.
-Empty tables give no files and no rows.
+Empty tables give no files and no rows. Columns besides ``page_id``, ``url`` and ``html`` are left out, whatever their names.
 """
 
 from __future__ import annotations

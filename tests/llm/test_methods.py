@@ -1,7 +1,10 @@
 """Parts of the methods on their own."""
 
+import bisect
 import math
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -236,3 +239,50 @@ def test_a_dear_rule_comes_last_each_time(spark):
     orders = [[e.rule.name for e in rules.estimate(sample, own)] for _ in range(3)]
     for order in orders:
         assert order.index("odd") < order.index("dear") < order.index("never") == 3
+
+
+def walked(counts, shards):
+    """Rows by (cell, shard), placed one at a time: at home while there is room, then clockwise to the first shard that has some."""
+    nodes = sorted((zlib.crc32(f"shard {s} node {n}".encode()) % sharding.CELLS, s, n) for s in range(shards) for n in range(sharding.NODES))
+    ring = [(cell, s) for cell, s, _ in nodes]
+    total = sum(counts.values())
+    room = [total // shards + (s < total % shards) for s in range(shards)]
+
+    def clockwise(cell):
+        at = bisect.bisect_left(ring, (cell, -1))
+        return (s for _, s in ring[at:] + ring[:at])
+
+    held, left = Counter(), []
+    for cell in sorted(counts):
+        home = next(clockwise(cell))
+        fits = min(room[home], counts[cell])
+        room[home] -= fits
+        held[cell, home] += fits
+        left.append((cell, counts[cell] - fits))
+    for cell, rows in left:
+        for _ in range(rows):
+            shard = next(s for s in clockwise(cell) if room[s])
+            room[shard] -= 1
+            held[cell, shard] += 1
+    return +held
+
+
+@pytest.mark.parametrize("hot", [0, 9000])
+def test_the_ring_is_walked_row_by_row(hot):
+    pick = random.Random(11)
+    counts = {cell: pick.randint(0, 9) for cell in pick.sample(range(sharding.CELLS), 1500)}
+    counts[77] = counts.get(77, 0) + hot
+    placed, slots = Counter(), {}
+    for r in sharding.plan({c: n for c, n in counts.items() if n}, 16):
+        placed[r["cell"], r["shard"]] += r["stop"] - r["start"]
+        slots.setdefault(r["shard"], []).extend(range(r["slot"], r["slot"] + r["stop"] - r["start"]))
+    assert placed == walked({c: n for c, n in counts.items() if n}, 16)
+    assert all(sorted(own) == list(range(len(own))) for own in slots.values())
+
+
+def test_a_key_goes_to_its_cell(spark):
+    """Rows are placed by the cell of their key's hash, whichever rows of a cell come first."""
+    docs = settle(spark.range(500).selectExpr("id as doc_id", "id % 3 as size"))
+    got = sharding.assign(docs, ["doc_id"], ["size"], 16).withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(sharding.CELLS)).cast("int"))
+    counts = Counter(r.cell for r in got.collect())
+    assert Counter((r.cell, r.shard) for r in got.collect()) == walked(dict(counts), 16)

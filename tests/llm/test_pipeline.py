@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm import brute
-from tests.llm.tables import write_documents
+from tests.llm.tables import odd_documents, write_documents
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,3 +55,26 @@ def test_stages(spark, tmp_path):
 
 def test_run_without_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, write_documents(spark, str(tmp_path), [])).count() == 0
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null, empty and very long texts, copies, ties, null sources, and columns whose names the stages use themselves."""
+    rows = odd_documents()
+    folder = write_documents(spark, str(tmp_path / "in"), rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, seen = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name != "pack_sequences":
+            assert docs.columns == columns
+            assert {tuple(r) for r in docs.select("lang", "size", "target", "_row", "slot").collect()} <= {("en", 5, "x", "y", 6)}
+        seen.append([tuple(r) for r in docs.select(*columns[:2], *(["source"] if "source" in docs.columns else [])).collect()] if name != "pack_sequences" else docs.collect())
+    quality, near, mixed, packed = seen
+    good = {row[0] for row in brute.quality(rows) if not row[6]}
+    assert quality and {d for d, _, _ in quality} <= good and Counter(quality) <= Counter(rows)
+    kept = {doc for doc, _, _, keep in brute.near(quality) if keep}
+    assert Counter(near) == Counter(row for row in quality if row[0] in kept)
+    assert set(mixed) <= set(near) and max(Counter(mixed).values()) <= 3
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == brute.pieces(mixed)
