@@ -29,8 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents as often as their source's target takes them, up to three times."""
-    return mixing.repeat_documents(docs, block=1)
+    """Whole documents as often as the blocks of 64 words that their source is granted take them, up to three times."""
+    return mixing.repeat_documents(docs, block=64)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
