@@ -347,7 +347,7 @@ order by time, id limit 25
 ORACLE["deep_page"] = f"with {_OBS} select * from obs order by time, id limit 20 offset 800"
 ORACLE["deep_page_text_id"] = f"with {_OBS_TEXT} select * from obs order by time desc, id limit 20 offset 800"
 ORACLE["directory_pages"] = f"""
-with {_OBS}, numbered as (select cast((row_number() over (order by time desc, id desc) - 1) // 20 + 1 as integer) as page, id, time, place from obs),
+with {_OBS}, numbered as (select cast((row_number() over (order by time desc, id) - 1) // 20 + 1 as integer) as page, id, time, place from obs),
 last as (select max(page) as n from numbered)
 select page, id, time, place from numbered, last where page in (1, 2, n // 3, n // 2, n - 1, n)
 """
