@@ -45,12 +45,12 @@ def enrich(df: DataFrame, ids_col: str, dim: DataFrame, out: str, key: str = "id
     fields = ["id", *[c for c in dim.columns if c != "id"]]
     shape = f"array<struct<{','.join(f'{c}:{dim.schema[c].dataType.simpleString()}' for c in fields)}>>"
     links = df.select(F.col(key).alias("_key"), F.explode(F.array_distinct(F.col(ids_col))).alias("_id"))
-    gathered = (
-        links.join(dim.select(*fields), F.col("_id") == F.col("id"))
-        .groupBy("_key")
-        .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(out))
-    )
-    joined = df.join(gathered, df[key] == gathered["_key"], "left").drop("_key")
+    # Of a left join only the dimension can be broadcast, never the links, of which there are more than rows.
+    found = links.join(dim.select(*fields), F.col("_id") == F.col("id"), "left")
+    rows = F.collect_list(F.when(F.col("id").isNotNull(), F.struct(*fields)))
+    gathered = found.groupBy("_key").agg(F.array_sort(rows).alias(out))
+    # There is a list for nearly every row of ``df``; by the size of compressed files alone Catalyst would broadcast them all.
+    joined = df.join(gathered.hint("merge"), df[key] == gathered["_key"], "left").drop("_key")
     return joined.withColumn(out, F.coalesce(out, F.array().cast(shape)))
 
 

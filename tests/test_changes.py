@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from limnos.operators import catalog, changes, joins, limits, quality
 from limnos.plans.queries import QUERIES
+from limnos.session import settle
 from limnos.sources import seed
 
 
@@ -128,6 +129,18 @@ def test_enriching_runs_no_job(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
+@pytest.mark.parametrize("known", [True, False])
+def test_enriching_broadcasts_nothing_that_grows_with_the_rooms(spark, known):
+    """Neither the links nor the gathered lists, though the files of many rooms are small; a dimension of unknown size changes nothing."""
+    rooms = settle(spark.range(20_000).withColumn("feature_ids", F.expr("array(cast(id % 22 + 1 as int), 99)")), "rooms")
+    dim = seed.dimension(spark, seed.FEATURES) if known else spark.createDataFrame([(3, "a"), (3, "b"), (4, "c")], "id int, name string")
+    got = catalog.enrich(rooms, "feature_ids", dim, "features")
+    by_id = {r.id: [(f.id, f.name) for f in r.features] for r in got.filter("id in (2, 3, 4)").collect()}
+    assert by_id == ({k: [(k + 1, seed.FEATURES[k])] for k in (2, 3, 4)} if known else {2: [(3, "a"), (3, "b")], 3: [(4, "c")], 4: []})
+    # Only the known dimension itself.
+    assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0].count("BroadcastExchange") == int(known)
+
+
 def test_null_flags_are_live(spark):
     rows = spark.createDataFrame([(1, None), (2, False), (3, True)], "id int, is_deleted boolean")
     assert sorted(r.id for r in joins.live(rows).collect()) == [1, 2]
