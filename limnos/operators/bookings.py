@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from limnos.operators.joins import live
@@ -132,6 +132,11 @@ def clashes(candidates: DataFrame, bookings: DataFrame, hot: int = HOT) -> DataF
     )
 
 
+def _next(name: str) -> Column:
+    """The next value after this row that is not null, found in one pass over the group."""
+    return F.expr(f"lead({name}) ignore nulls")
+
+
 def _neighbours(stays: DataFrame, asked: DataFrame | None, hot: int) -> DataFrame:
     """Rows to be judged (``room_id``, ``row``, ``at``, ``until``) with ``before``: of the stays that come earlier in a room, by start, the one
     that ends last (until, id); and ``after``: the first stay that comes later (at, id).
@@ -154,8 +159,9 @@ def _neighbours(stays: DataFrame, asked: DataFrame | None, hot: int) -> DataFram
 
     def swept(df: DataFrame, by: Sequence[str]) -> DataFrame:
         group = Window.partitionBy(*by).orderBy(*sort_columns(order))
-        earlier, later = group.rowsBetween(Window.unboundedPreceding, -1), group.rowsBetween(1, Window.unboundedFollowing)
-        return df.withColumns({"before": F.max(ends).over(earlier), "after": F.min(starts).over(later)})
+        earlier = group.rowsBetween(Window.unboundedPreceding, -1)
+        # Rows come by start, so the least start that follows is the next one: a frame up to the group's end would be read anew for every row.
+        return df.withColumns({"_start": starts, "before": F.max(ends).over(earlier)}).withColumn("after", _next("_start").over(group)).drop("_start")
 
     if not _too_large(stays, asked, hot):
         return swept(rows, ["room_id"]).filter(F.col("row").isNotNull())
@@ -166,7 +172,7 @@ def _neighbours(stays: DataFrame, asked: DataFrame | None, hot: int) -> DataFram
     carried = sums.select(
         F.col("room_id").alias("_room"), F.col("_range").alias("_in"),
         F.max("last").over(group.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.min("first").over(group.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        _next("first").over(group).alias("_after"),
     )
     inside = swept(ranged, ["room_id", "_range"]).filter(F.col("row").isNotNull())
     on = F.col("room_id").eqNullSafe(F.col("_room")) & (F.col("_range") == F.col("_in"))

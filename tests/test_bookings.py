@@ -91,6 +91,29 @@ def test_requests_learn_what_blocks_them(spark, hot):
         assert not blocked or overlap(r, active[got[r[0]]])
 
 
+@pytest.mark.parametrize("hot", [10**6, 3])
+def test_witnesses_take_one_pass_over_a_room(spark, hot):
+    """No frame reaches to the end of a room, which would be read anew for every row; the next stay is found behind requests, of equal starts by id."""
+    rows = stays(9, n=60) + [(500 + i, 1, BASE + 300 * DAY, BASE + (301 + i % 2) * DAY, "booked", None) for i in range(4)]
+    asked = [(2000 + i, 1, BASE + (290 + i % 3) * DAY, BASE + (299 + i % 2) * DAY, "x", None) for i in range(6)]
+    bookings, requests = spark.createDataFrame(rows, STAY), spark.createDataFrame(asked, STAY)
+    for found in (b.conflict_witness(bookings, hot=hot), b.blocked_by(requests, bookings, hot=hot)):
+        plan = found._jdf.queryExecution().executedPlan().toString().lower()
+        assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+    blocked = {r.id: r.witness for r in b.blocked_by(requests, bookings, hot=hot).collect()}
+    assert blocked == {2000 + i: 500 if i % 2 else None for i in range(6)}
+    active = sorted((r for r in rows if is_active(r)), key=lambda r: (r[2], r[0]))
+    want = {}
+    for k, r in enumerate(active):
+        earlier = max(((o[3], o[0]) for o in active[:k] if o[1] == r[1]), default=None)
+        later = next(((o[2], o[0]) for o in active[k + 1 :] if o[1] == r[1]), None)
+        if earlier and earlier[0] >= r[2]:
+            want[r[0]] = earlier[1]
+        elif later and later[0] <= r[3]:
+            want[r[0]] = later[1]
+    assert {r.id: r.witness for r in b.conflict_witness(bookings, hot=hot).collect()} == want
+
+
 @pytest.mark.parametrize("hot", [10**6, 3])
 def test_clusters(spark, hot):
     rows = stays(4, n=80)
