@@ -1,0 +1,58 @@
+"""Where intermediate tables go."""
+
+import datetime as dt
+import os
+
+import pytest
+
+from limnos import session
+from limnos.plans.queries import QUERIES
+from limnos.session import settle, shared_dir
+
+
+@pytest.fixture
+def cluster(spark, tmp_path, monkeypatch):
+    """The session as on a cluster whose shared folder is a mount, as ``file:`` folders are."""
+    told = {"spark.checkpoint.dir": f"file://{tmp_path}/shared/"}
+    own = spark.conf.get
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://machine:7077")
+    monkeypatch.setattr(spark.conf, "get", lambda key, *default: told[key] if key in told else own(key, *default))
+    monkeypatch.setattr(session, "_seen", set())
+    return spark
+
+
+def test_a_cluster_takes_the_folder_it_is_given(cluster, tmp_path):
+    rows = settle(cluster.range(10), "rows")
+    assert rows.count() == 10
+    assert rows.inputFiles() and all(f"{tmp_path}/shared/limnos/rows-" in f for f in rows.inputFiles())
+    # Tried once for a session.
+    shared_dir(cluster), shared_dir(cluster)
+    assert len(list((tmp_path / "shared/limnos").glob("probe-*"))) == 1
+
+
+@pytest.mark.parametrize("name", ["booking_conflicts", "booking_admission_in_order", "chrono_split_hot", "forecast_mean", "insert_unique", "ingest_csv", "keyset_walk"])
+def test_queries_run_on_a_cluster_with_a_mount(spark, cluster, tmp_path, monkeypatch, name):
+    orders = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    made = [(k, 37, "O", 60_000.0, dt.datetime(1996, 1, k), "5-LOW") for k in (1, 2, 3, 9)]
+    spark.createDataFrame(made, orders).write.parquet(f"{tmp_path}/in/orders.parquet")
+    users = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    spark.createDataFrame([(74, "a", 1, 1.0, "BUILDING")], users).write.parquet(f"{tmp_path}/in/customer.parquet")
+    got = sorted(map(repr, QUERIES[name](cluster, f"{tmp_path}/in").collect()))
+    monkeypatch.undo()
+    assert got and got == sorted(map(repr, QUERIES[name](spark, f"{tmp_path}/in").collect()))
+
+
+def test_a_folder_that_loses_rows_is_refused(cluster, monkeypatch):
+    monkeypatch.setattr(session, "_sees_all", lambda *_: False)
+    with pytest.raises(RuntimeError, match="local to each machine"):
+        shared_dir(cluster)
+
+
+def test_a_named_warehouse_serves_a_cluster(cluster, tmp_path, monkeypatch):
+    named = {"spark.checkpoint.dir": None, "spark.sql.warehouse.dir": f"file:{os.getcwd()}/spark-warehouse", "spark.limnos.sharedMount": "false"}
+    monkeypatch.setattr(cluster.sparkContext, "getCheckpointDir", lambda: None)
+    monkeypatch.setattr(cluster.conf, "get", lambda key, *_: named[key])
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(cluster)
+    named["spark.sql.warehouse.dir"] = f"file:{tmp_path}/warehouse"
+    assert shared_dir(cluster) == f"file:{tmp_path}/warehouse"
