@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from limnos.llm import files
-from limnos.llm.tokens import blocks, encoder
+from limnos.llm.tokens import blocks, encoder, give_back
 from limnos.llm.words import whole
 from limnos.session import settle
 
@@ -158,8 +158,8 @@ def write_tokens(
     # Rows without id, or with one id, are cut by their texts.
     order = [F.col("doc_id"), F.xxhash64("text")]
     in_order = docs.select("doc_id", whole(text).alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
-    listed = settle(in_order.mapInArrow(written, "part bigint, file string, n_docs bigint, n_ids bigint"), "planes-files")
-    # One row per file.
+    listed = in_order.mapInArrow(written, "part bigint, file string, n_docs bigint, n_ids bigint")
+    # One row per file, all listed in one file: on a local file system Spark starts a process for each file that it writes.
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return base, settle(listed.select("file", "n_docs", "n_ids", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("start")), "planes-list")
 
@@ -181,6 +181,8 @@ def read_tokens(base: str, listed: DataFrame, kind: str = "bigint") -> DataFrame
                             found, size = [], 0
                     if found:
                         yield rows(found)
+                    del found
+                give_back()
 
     def rows(found: list[tuple]) -> pa.RecordBatch:
         keys, starts, numbers, ids = zip(*found, strict=True)

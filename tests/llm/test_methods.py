@@ -2,19 +2,24 @@
 
 import bisect
 import math
+import platform
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from limnos import session
 from limnos.llm import bitplanes, fingerprints, mixing, packing, rules, setsketch, sharding
 from limnos.llm.tokens import encoder
 from limnos.operators.graph import components
-from limnos.session import settle
+from limnos.session import new_path, settle
 
 
 def reachable(counts, first, space):
@@ -95,6 +100,52 @@ def test_pieces_give_the_ids_of_whole_texts(vocabulary):
         assert np.frombuffer(ids, "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_token_files_are_listed_once(spark, monkeypatch):
+    """The list of the token files is the only table that writing them leaves, in one file."""
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(40)], "doc_id long, text string")
+    tables = []
+    monkeypatch.setattr(session, "new_path", lambda *to: tables.append(new_path(*to)) or tables[-1])
+    base, listed = bitplanes.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+    assert len([part for table in tables for part in Path(table.removeprefix("file:")).rglob("part-*.parquet")]) == 1
+    assert [tuple(row) for row in bitplanes.read_tokens(base, listed).select("doc_id").orderBy("doc_id").collect()] == [(k,) for k in range(40)]
+
+
+HELD = """
+import ctypes, random, re, sys
+import pyarrow as pa
+from limnos.llm import tokens
+
+def held():
+    with open("/proc/self/smaps_rollup") as file:
+        return int(re.search(r"\\nAnonymous: +(\\d+) kB", file.read())[1]) // 1024
+
+pick = random.Random(8)
+words = ["".join(pick.choices("abcdefghij", k=pick.randint(2, 7))) for _ in range(60_000)]
+column = pa.array([" ".join(pick.choices(words, k=500)) for _ in range(3000)])
+own, seen, most = tokens.encoder(sys.argv[1]), 0, 0
+for _, texts in tokens.blocks(column):
+    seen += len(own.encode(texts))
+    most = max(most, held())
+del texts
+after = held()
+pa.default_memory_pool().release_unused()
+ctypes.CDLL(None).malloc_trim(0)
+print(seen, most, after, held())
+"""
+
+
+@pytest.mark.skipif(
+    platform.libc_ver()[0] != "glibc" or not Path("/proc/self/smaps_rollup").exists(), reason="reads Linux's account of a process with glibc"
+)
+def test_blocks_leave_no_freed_memory_behind():
+    """What encoding blocks of texts has freed is not held by the worker that waits for its next task."""
+    run = [sys.executable, "-c", HELD, public_tokenizers.path("word_bpe_49k.json")]
+    out = subprocess.run(run, capture_output=True, text=True, check=True, timeout=120, cwd=Path(__file__).parents[2]).stdout
+    seen, most, after, least = map(int, out.split())
+    assert seen == 3000 and most > after
+    assert after - least < 10, (most, after, least)
+
+
 def test_ring_moves_little():
     """A shard more takes rows from all; few others move."""
     pick = random.Random(4)
