@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +49,51 @@ def components(links: DataFrame) -> DataFrame:
             open_links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links-open"
         )
     return labels
+
+
+def components_by_range(links: DataFrame, block: int) -> DataFrame:
+    """As :func:`components`, for links most of whose ends lie near each other: a chain of any length takes a few rounds.
+
+    Tasks bring together what the links of one range of ``b`` connect, about ``block`` of them. What is left are the ends that several ranges have; a link for
+    each of those connects what the ranges found.
+    """
+    ends = settle(links.filter("a is not null and b is not null and a != b").select("a", "b"), "links-ends")
+    kind = ends.schema["a"].dataType.simpleString()
+    ranges = -(-ends.count() // block)
+    if ranges > 1:
+        ends = ends.repartitionByRange(ranges, "b")
+    else:
+        ends = ends.coalesce(1)
+    local = ends.mapInArrow(_connected, f"id {kind}, root {kind}")
+    if ranges <= 1:
+        return settle(local.withColumnRenamed("root", "component"), "links-local")
+    local = settle(local, "links-local")
+    own = settle(local.groupBy("id").agg(F.min("root").alias("_root"), F.max("root").alias("_top")), "links-own")
+    shared = own.filter("_root != _top").select("id", "_root")
+    labels = components(local.join(shared, "id").select(F.col("_root").alias("a"), F.col("root").alias("b")))
+    return settle(
+        own.join(labels.withColumnRenamed("id", "_root"), "_root", "left").select("id", F.coalesce("component", "_root").alias("component")), "links-labels"
+    )
+
+
+def _connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id`` and ``root``, the smallest end that the links of a task connect it with."""
+    above: dict = {}
+
+    def top(end):
+        while above[end] != end:
+            above[end] = end = above[above[end]]
+        return end
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(above.setdefault(a, a)), top(above.setdefault(b, b))
+            if a < b:
+                above[b] = a
+            elif b < a:
+                above[a] = b
+    if above:
+        ids = pa.array(above, kind)
+        yield pa.RecordBatch.from_arrays([ids, pa.array([top(end) for end in above], kind)], ["id", "root"])

@@ -1,10 +1,11 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from limnos.operators import catalog, changes, joins, limits, quality
+from limnos.operators import catalog, changes, graph, joins, limits, quality
 from limnos.plans.queries import QUERIES
 from limnos.session import settle
 from limnos.sources import seed
@@ -309,6 +310,40 @@ def test_a_chain_of_sign_ups_takes_few_rounds(spark, monkeypatch, block):
     assert len(rounds) == 1 if block > n else 1 < len(rounds) <= 4
 
 
+def test_a_chain_of_many_blocks_takes_two_rounds(spark, monkeypatch):
+    """Keys are forgotten after their last row, so a chain is walked to its end whatever its length; keys that stay open send the rest round again."""
+    rounds = []
+    own = changes._in_components
+    monkeypatch.setattr(changes, "_in_components", lambda *args: rounds.append(1) or own(*args))
+    chain = [(k, f"n{(k + 1) // 2}", f"m{k // 2}") for k in range(200)]
+    assert settled_rows(spark, chain, block=20) == in_order(chain)
+    assert len(rounds) == 2
+
+
+def test_a_task_stops_before_it_holds_too_many_keys():
+    """Rows of component, place, first and last place of two keys, over batches; copies of a row stay together."""
+    rows = [(1, 1, 1, 4, None, None), (1, 2, 2, 5, 2, 2), (1, 2, 2, 5, 2, 2), (1, 3, 3, 6, None, None), (1, 4, 1, 4, None, None), (7, 7, 7, 7, 7, 8), (7, 8, 8, 9, 7, 8)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip("cpabyz", (c, p, f0, f1, l0, l1), strict=True)) for c, p, f0, l0, f1, l1 in part]) for part in (rows[:4], rows[4:])]
+
+    def verdicts(*limits):
+        return [(r["seq"], r["wins"]) for b in changes._one_by_one(2, *limits)(iter(batches)) for r in b.to_pylist()]
+
+    whole = [(1, True), (2, True), (2, False), (3, True), (4, False), (7, True), (8, False)]
+    assert verdicts(None, 100) == whole
+    assert verdicts(None, 2) == whole[:3] + whole[5:]
+    assert verdicts(1, 100) == [(1, True), (7, True)]
+
+
+def test_components_by_range(spark):
+    rng = random.Random(9)
+    links = [(k, k + 1) for k in range(100, 300)] + [(k, k + 7) for k in range(500, 600)] + [(5, 900), (900, 7), (7, 7), (None, 3)]
+    links += [tuple(rng.sample(range(1000, 1200), 2)) for _ in range(90)]
+    table = spark.createDataFrame(links, "a bigint, b bigint")
+    want = sorted(map(tuple, graph.components(table).collect()))
+    for block in (16, 10_000):
+        assert sorted(map(tuple, graph.components_by_range(table, block).select("id", "component").collect())) == want
+
+
 def test_rows_without_a_place_in_the_order_are_rejected(spark):
     one = [(1, "a"), (None, "a"), (None, "a"), (2, "b"), (None, None)]
     accepted, rejected = changes.insert_unique(
